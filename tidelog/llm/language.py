@@ -1,8 +1,8 @@
 """Language identification by compression.
 
 For each language a zstandard compressor holds a raw-content dictionary of that language's text. A
-text's letters (lower case, anything else as one space) are encoded block by block with every
-dictionary; the language whose blocks come out smallest is chosen. Each block follows an anchor, a
+text's distinct words (letters in lower case, in the order in which they first appear, so that
+repetition doesn't hide the language) are encoded block by block with every dictionary; the language whose blocks come out smallest is chosen. Each block follows an anchor, a
 passage of the dictionary's language that warms the coder up and whose own size is taken off, so that
 even a word changes the size; several dictionaries a language make the sizes finer than whole bytes.
 If the lead over the second language is too narrow, the text is rejected.
@@ -29,15 +29,15 @@ from . import common
 #: Bounds of the fit: documents a language, characters of each, bytes of a dictionary, dictionaries a language.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, DICTIONARIES, ANCHOR = 400, 2_000, 48_000, 3, 1_000
 FOLDS, HELD_OUT = 5, 0
-BLOCK, LEVEL, SHORT, SHORT_LEVEL = 16_384, 3, 1_024, 19
+BLOCK, LEVEL = 16_384, 3
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Bytes (mean over a language's dictionaries) by which the best language has to lead.
 MIN_MARGIN = 0.3
 UNDETERMINED = "und"
 
 
-def letters(text: str) -> bytes:
-    return NOT_LETTERS.sub(" ", text.lower()).encode("utf-8", "replace")
+def distinct_words(text: str) -> bytes:
+    return " ".join(dict.fromkeys(NOT_LETTERS.sub(" ", text.lower()).split())).encode("utf-8", "replace")
 
 
 class CompressionClassifier:
@@ -45,7 +45,7 @@ class CompressionClassifier:
 
     def __init__(self, dictionaries: dict[str, list[bytes]], min_margin: float = MIN_MARGIN):
         self.dictionaries, self.min_margin = dictionaries, min_margin
-        self._compressors: dict[int, list[list[tuple]]] | None = None
+        self._compressors: list[list[tuple]] | None = None
 
     def __getstate__(self) -> tuple:
         return self.dictionaries, self.min_margin
@@ -56,13 +56,12 @@ class CompressionClassifier:
     def sizes(self, text: str) -> np.ndarray:
         """Encoded bytes of the whole text for each language, the mean over its dictionaries."""
         if self._compressors is None:
-            self._compressors = {level: self._prepare(level) for level in (LEVEL, SHORT_LEVEL)}
-        data = letters(text)
-        level = SHORT_LEVEL if len(data) < SHORT else LEVEL
+            self._compressors = self._prepare()
+        data = distinct_words(text)
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        return np.array([sum(len(c.compress(anchor + b)) - base for c, anchor, base in cs for b in blocks) / len(cs) for cs in self._compressors[level]])
+        return np.array([sum(len(c.compress(anchor + b)) - base for c, anchor, base in cs for b in blocks) / len(cs) for cs in self._compressors])
 
-    def _prepare(self, level: int) -> list[list[tuple]]:
+    def _prepare(self) -> list[list[tuple]]:
         """For each language and dictionary a compressor, its anchor and the anchor's size."""
         import zstandard as z
 
@@ -71,7 +70,7 @@ class CompressionClassifier:
             out.append([])
             for raw in raws:
                 anchor, raw = raw[:ANCHOR], raw[ANCHOR:]
-                params = z.ZstdCompressionParameters.from_level(level, source_size=BLOCK + ANCHOR, dict_size=len(raw), write_content_size=0, write_checksum=0, write_dict_id=0)
+                params = z.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK + ANCHOR, dict_size=len(raw), write_content_size=0, write_checksum=0, write_dict_id=0)
                 held = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
                 held.precompute_compress(compression_params=params)
                 c = z.ZstdCompressor(dict_data=held, compression_params=params)
@@ -104,7 +103,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_margin: float = M
     dictionaries = {}
     for lang, found in texts.items():
         found = list(dict.fromkeys(found))[:sample_docs]
-        parts = [letters(" ".join(found[k::DICTIONARIES]))[: DICTIONARY_BYTES + ANCHOR] for k in range(DICTIONARIES)]
+        parts = [distinct_words(" ".join(found[k::DICTIONARIES]))[: DICTIONARY_BYTES + ANCHOR] for k in range(DICTIONARIES)]
         parts = [p if len(p) >= 2 * ANCHOR else p * (2 * ANCHOR // len(p) + 1) for p in parts if p.strip()]
         if parts:
             dictionaries[lang] = parts
