@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import iso_media, language, packing, token_files, toxicity
+from . import bpe_automaton, iso_media, language, packing, token_files, toxicity
 from .common import table
 from .tokens import public_path
 
@@ -22,6 +22,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), public_path(WORD_BPE))
 
 
+def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.tokenization_digests(table(spark, sf_dir, "documents"), public_path(WORD_BPE))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
 
