@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, iso_media, language, packing, token_files, toxicity
+from . import bpe_automaton, iso_media, language, packing, prefix_forest, site_templates, token_files, toxicity
 from .common import table
 from .tokens import public_path
 
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), public_path(WORD_BPE))
 
@@ -39,6 +43,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(docs, language.train(docs))
 
 
+def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
