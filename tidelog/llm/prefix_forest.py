@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Trees, bits of a hash string, vectors of a block, queries of a cell, and the share of a block that a query's candidates make up at least.
-TREES, BITS, BLOCK, CELL, SHARE, LEAST = 48, 24, 16_384, 8_192, 0.45, 256
+TREES, BITS, BLOCK, CELL, SHARE, LEAST = 48, 24, 16_384, 8_192, 0.55, 1_000
 NEIGHBOURS, QUERY_DIVISOR = 10, 100
 SEED = 20_240_229
 
