@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, iso_media, language, packing, prefix_forest, site_templates, token_files, toxicity
+from . import bpe_automaton, iso_media, language, packing, prefix_forest, set_join, site_templates, token_files, toxicity
 from .common import table
 from .tokens import public_path
 
@@ -47,6 +47,10 @@ def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
