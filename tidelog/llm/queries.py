@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, iso_media, language, packing, prefix_forest, set_join, site_templates, token_files, toxicity
+from . import bpe_automaton, compact_windows, iso_media, language, packing, prefix_forest, set_join, site_templates, token_files, toxicity
 from .common import table
 from .tokens import public_path
 
@@ -43,6 +43,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(docs, language.train(docs))
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages_by_document(table(spark, sf_dir, "documents"))
+
+
 def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
