@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import replay
@@ -17,15 +17,16 @@ class CorruptSnapshot(ValueError):
     pass
 
 
-def row_hashes(state: DataFrame) -> DataFrame:
+def row_hash() -> Column:
+    """A row's digest, whatever the order of its keys."""
     entries = F.concat_ws(",", F.array_sort(F.transform(F.map_entries("data"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))))
-    return state.select(F.sha2(F.concat_ws("|", "table_name", F.col("row_id").cast("string"), F.col("deleted").cast("string"), entries), 256).alias("h"))
+    return F.sha2(F.concat_ws("|", "table_name", F.col("row_id").cast("string"), F.col("deleted").cast("string"), entries), 256)
 
 
 def state_hash(state: DataFrame) -> tuple[str, int]:
     """A digest that doesn't depend on the order of rows, and their number: sums of 60-bit parts of row digests, no row gathered."""
     parts = [F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")) for k in range(4)]
-    *sums, n = row_hashes(state).agg(*parts, F.count("*")).first()
+    *sums, n = state.select(row_hash().alias("h")).agg(*parts, F.count("*")).first()
     return "-".join(f"{int(s or 0):x}" for s in sums), n
 
 
