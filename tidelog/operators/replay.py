@@ -7,6 +7,7 @@ A column's value is its latest one since the last insertion, which replaces the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,22 +15,30 @@ from pyspark.sql import functions as F
 from tidelog.sources.log import DELETED, INSERTED, UPDATED
 
 KEY = ("table_name", "row_id")
+BOUNDS = ("__inserted", "__deleted", "__put")
 
 
 @dataclass(frozen=True)
 class Field:
-    """A column of the replayed table: its value in an event, and whether the event has it."""
+    """A column of the replayed table, read from the events' maps of JSON texts as a Spark type."""
 
     name: str
-    value: Column
-    present: Column
+    kind: str = "string"
+
+    @property
+    def value(self) -> Column:
+        """Its value in an event."""
+        raw = F.col("data")[self.name]
+        return F.get_json_object(F.concat(F.lit('{"x":'), raw, F.lit("}")), "$.x") if self.kind == "string" else raw.try_cast(self.kind)
+
+    @property
+    def present(self) -> Column:
+        """Whether an event has it, be it null."""
+        return F.coalesce(F.map_contains_key("data", F.lit(self.name)), F.lit(False))
 
 
 def field(name: str, kind: str = "string") -> Field:
-    """A field from the event's map of JSON texts."""
-    raw = F.col("data")[name]
-    value = F.get_json_object(F.concat(F.lit('{"x":'), raw, F.lit("}")), "$.x") if kind == "string" else raw.try_cast(kind)
-    return Field(name, value, F.coalesce(F.map_contains_key("data", F.lit(name)), F.lit(False)))
+    return Field(name, kind)
 
 
 def up_to(log: DataFrame, event_id: int | None = None, timestamp: str | None = None) -> DataFrame:
@@ -65,16 +74,39 @@ def state(log: DataFrame, fields: list[Field], include_deleted: bool = False) ->
     return grouped.select(*KEY, *values, *([F.expr(HIDDEN).alias("deleted")] if include_deleted else []))
 
 
-def state_maps(log: DataFrame) -> DataFrame:
-    """table_name, row_id, data (whatever keys the events have), deleted, for every row ever put."""
-    entries = log.where(F.col("type").isin(INSERTED, UPDATED, DELETED)).select(*KEY, "id", "type", F.explode_outer("data").alias("key", "value"))
-    entries = entries.withColumn("key", F.when(F.col("type") != DELETED, F.col("key")))
-    by_key = entries.groupBy(*KEY, "key").agg(*_bounds(), F.max(F.struct("id", "value")).alias("latest"))
+_PAIR = "struct<key: string, value: string, id: bigint>"
+
+
+def _gathered(entries: DataFrame) -> DataFrame:
+    """Partial states from rows (key of the table's row, bounds, one column's key, id and value)."""
+    by_key = entries.groupBy(*KEY, "key").agg(*[F.max(c).alias(c) for c in BOUNDS], F.max(F.when(F.col("key").isNotNull(), F.struct("id", "value"))).alias("latest"))
     pairs = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", F.col("latest.value").alias("value"), F.col("latest.id").alias("id"))))
-    rows = by_key.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in ("__inserted", "__deleted", "__put")], pairs.alias("pairs"))
+    return by_key.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in BOUNDS], pairs.cast(f"array<{_PAIR}>").alias("pairs"))
+
+
+def partial_state(log: DataFrame) -> DataFrame:
+    """Per row its bounds and each column's latest value with its event: states that merge in any order."""
+    known = log.where(F.col("type").isin(INSERTED, UPDATED, DELETED))
+    ids = [F.when(F.col("type").isin(*kinds), F.col("id")).alias(c) for c, kinds in zip(BOUNDS, ([INSERTED], [DELETED], [INSERTED, UPDATED]), strict=True)]
+    return _gathered(known.select(*KEY, "id", *ids, F.explode_outer(F.when(F.col("type") != DELETED, F.col("data"))).alias("key", "value")))
+
+
+def merged_states(*states: DataFrame) -> DataFrame:
+    """One partial state of several. Merging a state twice changes nothing."""
+    rows = reduce(DataFrame.unionByName, states)
+    return _gathered(rows.select(*KEY, *BOUNDS, F.explode_outer("pairs").alias("p")).select(*KEY, *BOUNDS, "p.key", "p.value", "p.id"))
+
+
+def finished(partial: DataFrame) -> DataFrame:
+    """table_name, row_id, data, deleted, for every row ever put."""
     kept = F.filter("pairs", lambda p: p["id"] >= F.coalesce(F.col("__inserted"), F.lit(0)))
     data = F.map_from_entries(F.transform(kept, lambda p: F.struct(p["key"], p["value"])))
-    return rows.where("__put is not null").select(*KEY, data.alias("data"), F.expr(HIDDEN).alias("deleted"))
+    return partial.where("__put is not null").select(*KEY, data.alias("data"), F.expr(HIDDEN).alias("deleted"))
+
+
+def state_maps(log: DataFrame) -> DataFrame:
+    """table_name, row_id, data (whatever keys the events have), deleted, for every row ever put."""
+    return finished(partial_state(log))
 
 
 def fold(log: DataFrame) -> DataFrame:

@@ -407,9 +407,9 @@ def state_row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("row_id", "table_name", "data", "deleted").withColumn("h", snapshots.row_hash()).select("row_id", "h")
 
 
-@_query()
-def streaming_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log as a stream of batches, merged into a snapshot."""
+@_query(CURRENT)
+def streaming_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream of batches, merged into the state."""
     from tidelog.streaming import ingest
 
     store = _store(spark)
@@ -418,5 +418,5 @@ def streaming_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = _cut(events)
     log.append(events.where(F.col("id") <= cut))
     log.append(events.where(F.col("id") > cut))
-    ingest.maintain(ingest.events_stream(spark, log.path), store, f"{store.path}/checkpoint").awaitTermination()
-    return _typed(store.restore()[0])
+    ingest.maintain(ingest.events_stream(spark, log.path), f"{store.path}/state", f"{store.path}/checkpoint").awaitTermination()
+    return _typed(ingest.maintained(spark, f"{store.path}/state"))

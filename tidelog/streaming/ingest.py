@@ -1,12 +1,12 @@
-"""Incremental ingest: a stream of events becomes log batches and a maintained snapshot."""
+"""Incremental ingest: a stream of events maintains the derived state."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.operators import integrity, replay, snapshots
+from tidelog.operators import integrity, replay
 from tidelog.sources import log as logs
 
 
@@ -16,31 +16,46 @@ def events_stream(spark, path: str, max_files: int | None = None) -> DataFrame:
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-def maintain(stream: DataFrame, store: snapshots.SnapshotStore, checkpoint: str, quarantine: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Merge each micro-batch into the newest snapshot. Corrupt events go to ``quarantine``.
+def maintain(stream: DataFrame, path: str, checkpoint: str, quarantine: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """Merge each micro-batch into the state kept under ``path``; corrupt events go to ``quarantine``.
 
-    A batch that was merged before a failure is merged again: replay by latest event id makes that harmless.
+    States merge by event id, so neither the order of arrival nor a repeated batch matters: each batch
+    writes a folder of its own from the one before it.
     """
+    spark = stream.sparkSession
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         good = batch
         if quarantine:
-            integrity.with_issues(batch).where("issue is not null").write.mode("append").parquet(quarantine)
+            integrity.with_issues(batch).where("issue is not null").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
             good = integrity.valid(batch)
-        last = good.agg(F.max("id")).first()[0]
-        if last is None:
-            return
-        newest = store.latest()
-        if newest is None:
-            store.create(replay.state_maps(good), last)
-            return
-        snapshot, base = store.restore(newest.snapshot_id)
-        store.create(replay.state_maps(replay.with_tail(snapshot, base, good)), max(base, last))
+        new, before = replay.partial_state(good), _newest(spark, path, number)
+        (new if before is None else replay.merged_states(before, new)).write.mode("overwrite").parquet(f"{path}/batch-{number}")
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _newest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The state after the last whole batch, of those before a number if one is given."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    done = [int(n[6:]) for n in names if n.startswith("batch-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    done = [n for n in done if before is None or n < before]
+    return spark.read.parquet(f"{path}/batch-{max(done)}") if done else None
+
+
+def maintained(spark: SparkSession, path: str) -> DataFrame:
+    """table_name, row_id, data, deleted as of the last whole batch."""
+    state = _newest(spark, path)
+    if state is None:
+        raise LookupError("no batch was merged yet")
+    return replay.finished(state)
+
+
 def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events a type and window, late ones accepted for so long."""
     stamped = stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
