@@ -10,9 +10,10 @@ of the number of documents.
 
 Documents with equal sets form a class. In each bucket of classes that share a signature one class is
 the centre, and the others are verified against it, exactly, on their whole texts. Links join classes to
-components; after some rounds with other centres, every pair of a bucket whose classes still lie in
-different components is verified. So no link that would change a component is lost, while a large
-group of copies never yields all of its pairs.
+components. Buckets whose classes still lie in different components are joined to groups; a group is
+dealt into cells of bounded size, and each cell counts what its sets share through an inverted index and
+hands on a spanning forest of the links between components. So no link that would change a component is
+lost, and no pair is ever a row of its own.
 
 N-grams and sets are compared by 64-bit digests.
 """
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from . import common, graph
 
 WORDS, PERCENT = 3, 90
-#: Ratio of a band's bounds; rounds with one centre a bucket; n-grams that one verifying group holds.
-BAND_RATIO, CENTRE_ROUNDS, GROUP_NGRAMS = 1.5, 2, 400_000
+#: Ratio of a band's bounds; n-grams that one verifying group, or half a cell, holds.
+BAND_RATIO, GROUP_NGRAMS = 1.5, 400_000
 #: Cost of a chance meeting against that of a signature.
 MEETING_COST = 20.0
 
@@ -190,17 +191,21 @@ def signatures(docs: DataFrame, words: int, percent: int, documents: int) -> Dat
     return common.texts(docs).mapInArrow(run, "sig long, cls long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the ``pairs`` (a, b) of classes whose sets are similar. ``classes``: cls, n, rep (a document of it)."""
-    ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    chosen = classes.join(ids, "cls").select("cls", "n", F.col("rep").alias("doc_id"))
+def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, n, text of the ``wanted`` classes (cls). ``classes``: cls, n, rep (a document of it)."""
+    chosen = classes.join(wanted.distinct(), "cls").select("cls", "n", F.col("rep").alias("doc_id"))
     found = common.texts(docs).join(chosen, "doc_id").groupBy("cls").agg(F.first("n").alias("n"), F.min("text").alias("text"))
-    found = common.staged(found, "candidates", compression="zstd")
-    members = pairs.join(found.withColumnRenamed("cls", "b"), "b")
-    groups = members.groupBy("a").agg(F.ceil(F.sum("n") / GROUP_NGRAMS).alias("groups"))
-    # a centre's members are dealt into groups of bounded size, each with the centre's own text
-    members = members.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("part"), F.lit(1).alias("role"), "b", "text")
-    centres = groups.join(found.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"), "text")
+    return common.staged(found, "candidates", compression="zstd")
+
+
+def verified(pairs: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the ``pairs`` (a: a centre, b) of classes whose sets are similar. ``found``: cls, n, text."""
+    # a centre's members are dealt into groups of bounded size, each with the centre's own text; texts join last
+    sized = pairs.join(found.select(F.col("cls").alias("b"), "n"), "b")
+    groups = sized.groupBy("a").agg(F.ceil(F.sum("n") / GROUP_NGRAMS).alias("groups"))
+    members = sized.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("part"), F.lit(1).alias("role"), "b")
+    centres = groups.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"))
+    rows = centres.unionByName(members).join(found.select(F.col("cls").alias("b"), "text"), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = np.zeros(0, np.uint64)
@@ -215,10 +220,75 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
                     out["b"].append(b)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    dealt = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
+    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
     return dealt.select("a", "role", "b", "text").mapInArrow(run, "a long, b long")
 
 
+def cell_links(sets: list[np.ndarray], components: list[int], half: list[bool], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between different components, of pairs with one set in each half
+    (in one half if the other is empty), as positions. Sets shared counts come from an inverted index."""
+    inside = all(half) or not any(half)
+    left = [k for k in range(len(sets)) if inside or not half[k]]
+    right = [k for k in range(len(sets)) if inside or half[k]]
+    if not left or not right:
+        return []
+    lengths = np.array([len(sets[k]) for k in right])
+    grams = np.concatenate([sets[k] for k in right])
+    order = np.argsort(grams, kind="stable")
+    sorted_grams, owner = grams[order], np.repeat(np.arange(len(right)), lengths)[order]
+    names = np.array([components[k] for k in right])
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for k in left:
+        low, high = np.searchsorted(sorted_grams, sets[k], "left"), np.searchsorted(sorted_grams, sets[k], "right")
+        counts = high - low
+        at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        hit = (100 * both >= percent * (len(sets[k]) + lengths - both)) & (names != components[k]) & (both > 0)
+        for j in np.flatnonzero(hit).tolist():
+            x, y = find(components[k]), find(components[right[j]])
+            if x != y:
+                parent[x] = y
+                out.append((k, right[j]))
+    return out
+
+
+def group_links(members: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components inside groups. ``members``: cls, component, grp; ``found``: cls, n, text."""
+    sized = members.join(found.select("cls", "n"), "cls")
+    halves = sized.groupBy("grp").agg(F.ceil(F.sum("n") / GROUP_NGRAMS).alias("halves"))
+    placed = sized.join(halves, "grp").withColumn("h", F.pmod(F.xxhash64("cls"), "halves"))
+    # a set goes to each cell (i, j), i <= j, that its part h belongs to
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("halves") - 1))
+    cells = placed.withColumn("o", other).select("grp", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), "cls", "component", (F.col("h") > F.col("o")).alias("half"))
+    cells = cells.join(found.select("cls", "text"), "cls").select("grp", "i", "j", "cls", "component", "text", "half")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            found = cell_links(sets, components, half, percent)
+            return pa.RecordBatch.from_pydict({"a": pa.array([classes[x] for x, _ in found], pa.int64()), "b": pa.array([classes[y] for _, y in found], pa.int64())})
+
+        key, sets, components, half, classes = None, [], [], [], []
+        for b in batches:
+            for grp, i, j, cls, component, text, in_half in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if (grp, i, j) != key:
+                    yield flush()
+                    key, sets, components, half, classes = (grp, i, j), [], [], [], []
+                sets.append(ngram_set(text, words))
+                components.append(component)
+                half.append(in_half)
+                classes.append(cls)
+        yield flush()
+
+    return cells.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls").mapInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
@@ -232,37 +302,21 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     shared = signatures(docs, words, percent, docs.count()).repartition("sig")
     several = shared.groupBy("sig").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("sig")
     buckets = common.staged(shared.join(several.hint("merge"), "sig").distinct(), "buckets")
-    size_a, size_b = (classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes allow the similarity."""
-        sized = pairs.distinct().join(size_a, "a").join(size_b, "b")
-        return sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-
-    links, labels, tried = None, None, None
-    for step in range(CENTRE_ROUNDS + 1):
-        labelled = buckets.withColumn("component", F.col("cls")) if labels is None else buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        if step < CENTRE_ROUNDS:
-            order = F.struct(F.xxhash64("cls", F.lit(step)), "cls", "component")
-            centre = labelled.groupBy("sig").agg(F.min(order).alias("c")).select("sig", F.col("c.cls").alias("a"), F.col("c.component").alias("of"))
-            pairs = labelled.join(centre, "sig").where("component <> of").select("a", F.col("cls").alias("b"))
-        else:
-            mixed = labelled.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("sig")
-            rest = common.staged(labelled.join(mixed, "sig"), "rest")
-            pairs = rest.select("sig", F.col("cls").alias("a"), F.col("component").alias("of")).join(rest.select("sig", F.col("cls").alias("b"), "component"), "sig").where("a < b and component <> of").select("a", "b")
-        pairs = candidates(pairs)
-        if tried is not None:
-            seen = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = common.staged(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = common.staged(verified(pairs, docs, classes, words, percent), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = common.staged(graph.components(links), "labels")
-    if labels is None:
-        labels = classes.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
+    texts = class_texts(docs, classes, buckets.select("cls"))
+    n_of = classes.select("cls", "n")
+    centre = buckets.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls"), "cls")).alias("c")).select("sig", F.col("c.cls").alias("a"))
+    pairs = buckets.join(centre, "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    sized = pairs.join(n_of.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(n_of.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b")
+    pairs = sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+    links = common.staged(verified(common.staged(pairs, "pairs"), texts, words, percent), "links")
+    labels = common.staged(graph.components(links), "labels")
+    labelled = buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = labelled.groupBy("sig").agg(F.min("cls").alias("first"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("sig", "first")
+    rest = common.staged(labelled.join(mixed, "sig").select("first", "cls", "component").distinct(), "rest")
+    groups = graph.components(rest.select(F.col("first").alias("a"), F.col("cls").alias("b")))
+    members = rest.select("cls", "component").distinct().join(groups.select(F.col("node").alias("cls"), F.col("component").alias("grp")), "cls")
+    more = common.staged(group_links(members, texts, words, percent), "links")
+    labels = common.staged(graph.components(links.unionByName(more)), "labels")
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     member = named.join(first, "component").select("cls", "component_id")
