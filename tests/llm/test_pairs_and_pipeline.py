@@ -66,8 +66,9 @@ def brute_components(docs, n, percent):
     return {k: (len(sets[k]), find(k)) for k in sets}
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
-def test_op10_equals_brute_force(spark, words, percent):
+@pytest.mark.parametrize(("words", "percent", "held"), [(3, 90, 400_000), (5, 80, 400_000), (3, 90, 1_500)])
+def test_op10_equals_brute_force(spark, monkeypatch, words, percent, held):
+    monkeypatch.setattr(set_join, "GROUP_NGRAMS", held)  # 1,500: groups and cells are split
     docs = list(enumerate(near_copies(random.Random(percent)), 100))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in set_join.jaccard_components(documents(spark, docs), words, percent).collect()}
     assert got == brute_components(docs, words, percent)
@@ -103,9 +104,10 @@ def test_pigeonhole_allotments():
 
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 30)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
-    got = {r.node: r.component for r in graph.components(edges).collect()}
-    assert got == {k: 0 for k in range(31)} | {90: 90, 95: 90, 100: 90}
-    assert graph.components(edges.limit(0)).count() == 0
+    for one_task in (0, 1000):
+        got = {r.node: r.component for r in graph.components(edges, one_task).collect()}
+        assert got == {k: 0 for k in range(31)} | {90: 90, 95: 90, 100: 90}
+        assert graph.components(edges.limit(0), one_task).count() == 0
 
 
 def test_cartesian_windows_equal_brute_force():
