@@ -225,7 +225,9 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head>
 <aside>side</aside><!-- c --><div id="comments"><p>Reader {k}</p></div><footer>&copy; host</footer></body></html>"""
 
 
-def test_op2(spark):
+@pytest.mark.parametrize("large", [4_000, 3])
+def test_op2(spark, monkeypatch, large):
+    monkeypatch.setattr(site_templates, "LARGE", large)  # 3: hosts are dealt into parts
     pages = [(k, "http://A.example/x", PAGE.format(k=k), 1) for k in range(12)]
     pages += [(50 + k, "http://B.example/", f"<body><div>Box of the site</div><div><p>Text {k}<p>More &lt;{k}&gt;</div></body>", 1) for k in range(8)]
     pages += [(90, None, None, 1), (91, "nonsense", "", 1), (92, "http://c.example", "plain <b>text</b> only", 1), (93, "http://d.example", "<article><p>open", 1), (93, "http://d.example", "<article><p>open", 1), (94, "http://e.example", "<p>a" + " b" * 50000, 1)]

@@ -27,8 +27,8 @@ from . import common
 
 #: A subtree is template if it is on at least so many pages of its host, and on at least this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.1
-#: Into so many parts each host's pages are dealt.
-SALTS = 32
+#: A host of more pages than this share of all, and than LARGE, is dealt into parts; there are at most 1 / PART_SHARE of them.
+PART_SHARE, LARGE = 0.001, 4_000
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -234,8 +234,8 @@ def host(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host and the digests of its template subtrees; at most the mean number of a page's subtrees over min_share for a host."""
+def subtree_counts(pages: DataFrame, min_pages: int) -> DataFrame:
+    """host, digest, n: the host's pages that hold the subtree, of those on ``min_pages`` at least; a null digest: all its pages."""
     common.small_batches(pages.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,21 +248,30 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
             yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "digest": pa.array(found, pa.int64())})
 
     counts = pages.select(host("url").alias("host"), "html").mapInArrow(run, "host string, digest long").groupBy("host", "digest").agg(F.count("*").alias("n"))
-    counts = common.staged(counts.where(F.col("digest").isNull() | (F.col("n") >= min_pages)), "subtrees")
+    return common.staged(counts.where(F.col("digest").isNull() | (F.col("n") >= min_pages)), "subtrees")
+
+
+def templates(counts: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """host and the digests of its template subtrees; at most the mean number of a page's subtrees over min_share for a host."""
     total = counts.where("digest is null").select("host", F.col("n").alias("pages"))
     return counts.where("digest is not null").join(total, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("digest").alias("template"))
 
 
 def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    counts = subtree_counts(pages, min_pages)
+    totals = counts.where("digest is null")
+    part = max(LARGE, (totals.agg(F.sum("n")).first()[0] or 0) * PART_SHARE)
+    hosts = F.broadcast(totals.where(F.col("n") > part).select("host", F.ceil(F.col("n") / part).alias("parts")))  # at most 1 / PART_SHARE hosts
+    parts = F.coalesce("parts", F.lit(1))
+    known = templates(counts, min_share).join(hosts, "host", "left").select("host", "template", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    dealt = pages.select("page_id", "url", "html", host("url").alias("host")).join(hosts, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "html"), parts)).drop("parts")
     common.small_batches(pages.sparkSession)
-    known = templates(pages, min_pages, min_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = pages.select("page_id", "url", "html", host("url").alias("host"), F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int").alias("salt"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [main_text(source or "", set(found or ())) for source, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": b.column(0), "url": b.column(1), "text": pa.array(out, pa.string()), "n_chars": pa.array(map(len, out), pa.int64())})
 
-    joined = dealt.join(known, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    joined = dealt.join(known, ["host", "part"], "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
