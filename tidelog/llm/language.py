@@ -95,8 +95,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_margin: float = M
     if not counts:
         return CompressionClassifier({}, min_margin)
     draw = F.xxhash64("doc_id")
-    below = F.coalesce(*(F.when(F.col("lang") == lang, int(min(1.0, 2 * sample_docs / n) * (1 << 20)) + 1) for lang, n in counts.items()))
-    sample = named.where(F.pmod(draw, F.lit(1 << 20)) < below).select("lang", draw.alias("draw"), "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    below = F.coalesce(*(F.when(F.col("lang") == lang, int(min(1.0, 2 * sample_docs / n) * (1 << 40)) + 1) for lang, n in counts.items()))
+    sample = named.where(F.pmod(draw, F.lit(1 << 40)) < below).select("lang", draw.alias("draw"), "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     texts: dict[str, list[str]] = {lang: [] for lang in counts}
     for r in sample.limit(4 * sample_docs * len(counts)).orderBy("draw", "doc_id", "text").collect():
         texts[r.lang].append(r.text)

@@ -122,8 +122,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     for k, n in per_part.items():
         base[k + 1] = n
     base = np.cumsum(base)
-    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert int(small) <= 512
+    common.small_batches(spark, 8)  # a row is a whole file
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     p = [text_features(r.text) for r in chosen.orderBy(draw, "doc_id").limit(positives).collect()]
     u_rows = short.select("doc_id").count()
     share = min(1.0, 1.5 * unlabelled / max(u_rows, 1))
-    u_docs = short.where(F.pmod(draw, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(3 * unlabelled)
+    u_docs = short.where(F.pmod(draw, F.lit(1 << 40)) < int(share * (1 << 40)) + 1).limit(3 * unlabelled)
     u = [text_features(r.text) for r in u_docs.orderBy(draw, "doc_id").limit(unlabelled).collect()]
     if not p or not u:
         return LinearModel({}, float(np.log(prior / (1 - prior))))
