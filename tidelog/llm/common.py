@@ -10,11 +10,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,15 +33,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
-def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def staged(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back. Inside ``scratch`` the table goes at its end, unless it is to ``keep``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.options(**options)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    scope = len(_scopes) - 1 - keep
+    if scope >= 0:
+        _scopes[scope].append(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Staged tables of the block are dropped at its end; what is returned from it must rest on kept ones."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
