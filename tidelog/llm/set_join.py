@@ -2,11 +2,11 @@
 
 Two sets with Jaccard similarity t or more and sizes below u differ in at most H = (1-t)/(1+t) * 2(u-1)
 n-grams. Sizes are dealt into bands; in a band, hashing splits the universe of n-grams into m segments
-of which d also take the neighbourhood of one deletion, with m + d = H + 1. By the pigeonhole principle
-two similar sets agree on some segment, or differ by one n-gram on one of those d. A set's signatures
-are its subsets by segment, and on d segments also each subset less one n-gram. d is the one of least
-cost: signatures to ship against chance meetings of (almost) empty segments, which grow with the square
-of the number of documents.
+of which d also take the neighbourhood of one deletion, with m + d = H + 1 + e. By the pigeonhole
+principle two similar sets agree on e + 1 segments, or differ by one n-gram on one of those d. A set's
+signatures are its subsets by segment, and on d segments also each subset less one n-gram; a set with at
+most e empty subsets leaves these out, as another agreement remains. d is the one of least cost:
+signatures to ship against chance meetings, which grow with the square of the number of documents.
 
 Documents with equal sets form a class. In each bucket of classes that share a signature one class is
 the centre, and the others are verified against it, exactly, on their whole texts. Links join classes to
@@ -33,7 +33,7 @@ from . import common, graph
 
 WORDS, PERCENT = 3, 90
 #: Ratio of a band's bounds; n-grams that one verifying group, or half a cell, holds.
-BAND_RATIO, GROUP_NGRAMS = 1.5, 400_000
+BAND_RATIO, GROUP_NGRAMS = 1.5, 1_000_000
 #: Cost of a chance meeting against that of a signature.
 MEETING_COST = 20.0
 
@@ -116,19 +116,24 @@ class Bands:
             k += 1
 
     @lru_cache(maxsize=None)  # noqa: B019  one object a task
-    def allotment(self, band: int) -> tuple[int, int]:
-        """Segments, and how many of them take one deletion: the cheapest that the pigeonhole principle allows."""
+    def allotment(self, band: int) -> tuple[int, int, int]:
+        """Segments, how many of them take one deletion, and how many empty ones a set may leave out: the cheapest
+        for which the pigeonhole principle holds."""
         low, high = self._edge(band), self._edge(band + 1) - 1
         needed = (100 - self.percent) * 2 * high // (100 + self.percent) + 1
-        best = (math.inf, needed, 0)
+        best = (math.inf, needed, 0, 0)
         for deleting in {needed * k // 64 for k in range(33)}:
-            segments = needed - deleting
+            segments = spare = needed - deleting
             if deleting > segments:
                 continue
+            empty = segments * math.exp(-low / segments)
+            spare = math.ceil(empty + 4 * math.sqrt(empty)) if segments > 1 else 0
+            segments += spare
             held = low / segments
             signatures = self.documents * (segments + deleting * (held + 1))
-            meetings = self.documents**2 * (segments * math.exp(-2 * held) + deleting * held * math.exp(-2 * held))
-            best = min(best, (signatures + MEETING_COST * meetings * 1e-2, segments, deleting))
+            # sets with more empty segments than they may leave out, and equal subsets of one n-gram
+            meetings = self.documents**2 * (1e-4 + held / low) * segments * math.exp(-2 * held)
+            best = min(best, (signatures + MEETING_COST * meetings * 1e-2, segments, deleting, spare))
         return best[1:]
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
@@ -137,12 +142,16 @@ class Bands:
         with np.errstate(over="ignore"):
             spread = mix(grams ^ _PRIME)
             for band in self.of(len(grams)):
-                segments, deleting = self.allotment(band)
+                segments, deleting, spare = self.allotment(band)
                 segment = (mix(grams + np.uint64(band)) % np.uint64(segments)).astype(np.int64)
                 sums = np.zeros(segments, np.uint64)
                 np.add.at(sums, segment, spread)
                 names = mix(np.arange(segments, dtype=np.uint64) + np.uint64(band << 32) + np.uint64(1))
-                out.append(mix(sums) + names)
+                kept = np.bincount(segment, minlength=segments) > 0
+                if segments - kept.sum() > spare:
+                    kept[:] = True
+                kept[:deleting] = True
+                out.append(mix(sums[kept]) + names[kept])
                 if deleting:
                     has = segment < deleting
                     out.append(mix(sums[segment[has]] - spread[has]) + names[segment[has]])
@@ -289,16 +298,8 @@ def group_links(members: DataFrame, found: DataFrame, words: int, percent: int)
     return cells.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``.
-
-    Defined cases: a null text, or one without words, has an empty set that is linked with nothing, its
-    component its own id; rows that repeat an id and text give as many rows; a null id gives a null
-    component unless linked; an empty table gives no rows; other columns are ignored.
-    """
-    common.small_batches(docs.sparkSession)
-    sizes = common.staged(set_sizes(docs, words), "sizes")
-    classes = common.staged(sizes.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep")), "classes")
+def _labels(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that are linked with others."""
     shared = signatures(docs, words, percent, docs.count()).repartition("sig")
     several = shared.groupBy("sig").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("sig")
     buckets = common.staged(shared.join(several.hint("merge"), "sig").distinct(), "buckets")
@@ -316,7 +317,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     groups = graph.components(rest.select(F.col("first").alias("a"), F.col("cls").alias("b")))
     members = rest.select("cls", "component").distinct().join(groups.select(F.col("node").alias("cls"), F.col("component").alias("grp")), "cls")
     more = common.staged(group_links(members, texts, words, percent), "links")
-    labels = common.staged(graph.components(links.unionByName(more)), "labels")
+    return graph.components(links.unionByName(more))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``.
+
+    Defined cases: a null text, or one without words, has an empty set that is linked with nothing, its
+    component its own id; rows that repeat an id and text give as many rows; a null id gives a null
+    component unless linked; an empty table gives no rows; other columns are ignored.
+    """
+    sizes = common.staged(set_sizes(docs, words), "sizes")
+    classes = common.staged(sizes.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep")), "classes")
+    with common.scratch(docs.sparkSession):
+        labels = common.staged(_labels(docs, classes, words, percent), "labels", keep=True)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     member = named.join(first, "component").select("cls", "component_id")
