@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -340,5 +340,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 def keep_one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The rows of ``docs`` whose id is their component's least; one row of those that repeat an id and text."""
-    kept = jaccard_components(docs, words, percent).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = jaccard_components(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
+    again = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))  # in the join's partitions
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("__again", again).where("__again = 1").select(docs.columns)
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
