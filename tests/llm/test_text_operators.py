@@ -193,8 +193,9 @@ def test_op1(spark, empty):
 
 def test_nnpu_corrects_for_the_prior():
     draw = random.Random(4)
-    make = lambda toxic: {f"1{draw.randint(0, 5)}"} | ({"1bad", "1worse"} if toxic else set())
-    model = toxicity.fit_nnpu([make(True) for _ in range(200)], [make(draw.random() < 0.3) for _ in range(2000)], 0.3)
+    features = [*(f"1{k}" for k in range(6)), "1bad", "1worse"]
+    make = lambda toxic: np.array([draw.randint(0, 5)] + ([6, 7] if toxic else []))
+    model = toxicity.fit_nnpu([make(True) for _ in range(200)], [make(draw.random() < 0.3) for _ in range(2000)], features, 0.3)
     z = lambda *f: model.bias + sum(model.weights.get(x, 0) for x in f)
     assert toxicity.sigmoid(z("1bad", "1worse")) > 0.8 and toxicity.sigmoid(z("12")) < 0.2
 

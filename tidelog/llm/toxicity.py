@@ -93,27 +93,41 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
-def choose_features(positive: list[set[str]], unlabelled: list[set[str]], prior: float, most: int = FEATURES) -> list[str]:
-    """Features that make a text likely to be toxic: pi * P(f | toxic) / P(f) is at least MIN_POSTERIOR and the
-    two rates differ by MIN_Z standard errors; the largest differences first, ties by name."""
-    p, u = Counter(f for x in positive for f in x), Counter(f for x in unlabelled for f in x)
-    n, m = len(positive), max(len(unlabelled), 1)
-    names = sorted(f for f, c in p.items() if c >= 3)
-    a, b = np.array([p[f] for f in names]) / n, np.array([u[f] for f in names]) / m
+def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], known: int, prior: float, most: int = FEATURES) -> np.ndarray:
+    """Of features numbered below ``known``, those that make a text likely to be toxic: pi * P(f | toxic) / P(f) is at
+    least MIN_POSTERIOR and the two rates differ by MIN_Z standard errors; the largest differences first."""
+    n, m = len(positive), len(unlabelled)
+    a, b = np.bincount(np.concatenate(positive), minlength=known) / n, np.bincount(np.concatenate(unlabelled), minlength=known) / m
     pooled = (a * n + b * m + 0.5) / (n + m + 1)
     z = (a - b) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
     order = np.argsort(-z, kind="stable")[:most]
-    return [names[i] for i in order if z[i] >= MIN_Z and prior * a[i] >= MIN_POSTERIOR * b[i]]
+    return order[(z[order] >= MIN_Z) & (prior * a[order] >= MIN_POSTERIOR * b[order])]
 
 
-def fit_nnpu(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 1_000, rate: float = 0.02, l2: float = 1e-3) -> LinearModel:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
-    names = choose_features(positive, unlabelled, prior)
-    index = {f: i for i, f in enumerate(names)}
+def fit_texts(positive: list[str], unlabelled: list[str], prior: float) -> LinearModel:
+    """Features that three positive texts have or more are numbered; a text is held as its numbers only."""
+    counts: Counter[str] = Counter()
+    for t in positive:
+        counts.update(text_features(t))
+    index = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= 3))}
+    del counts
+
+    def numbers(text: str) -> np.ndarray:
+        return np.fromiter((index[f] for f in text_features(text) if f in index), np.int32)
+
+    return fit_nnpu([numbers(t) for t in positive], [numbers(t) for t in unlabelled], list(index), prior)
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: list[str], prior: float, steps: int = 1_000, rate: float = 0.02, l2: float = 1e-3) -> LinearModel:
+    """Full-batch Adam on the non-negative risk with the logistic loss. A text is the numbers of its features."""
+    chosen = choose_features(positive, unlabelled, len(features), prior)
+    names = [features[i] for i in chosen]
+    place = np.full(len(features) + 1, -1)
+    place[chosen] = np.arange(len(chosen))
 
-    def rows(texts: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [[index[f] for f in x if f in index] for x in texts]
-        return np.fromiter((i for x in lists for i in x), np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    def rows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        col, row = place[np.concatenate(texts)], np.repeat(np.arange(len(texts)), list(map(len, texts)))
+        return col[col >= 0], row[col >= 0]
 
     p_col, p_row = rows(positive)
     u_col, u_row = rows(unlabelled)
@@ -149,14 +163,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     short = common.texts(docs).where(F.length("text").between(1, MAX_CHARS) & F.col("doc_id").isNotNull() & (common.id_remainder("doc_id", FOLDS) != HELD_OUT))
     ids = known.where("toxic = 1").select("doc_id").distinct().orderBy(draw, "doc_id").limit(2 * positives)
     chosen = short.join(F.broadcast(ids), "doc_id", "left_semi")  # at most 2 * positives ids
-    p = [text_features(r.text) for r in chosen.orderBy(draw, "doc_id").limit(positives).collect()]
+    p = [r.text for r in chosen.orderBy(draw, "doc_id").limit(positives).collect()]
     u_rows = short.select("doc_id").count()
     share = min(1.0, 1.5 * unlabelled / max(u_rows, 1))
     u_docs = short.where(F.pmod(draw, F.lit(1 << 40)) < int(share * (1 << 40)) + 1).limit(3 * unlabelled)
-    u = [text_features(r.text) for r in u_docs.orderBy(draw, "doc_id").limit(unlabelled).collect()]
+    u = [r.text for r in u_docs.orderBy(draw, "doc_id").limit(unlabelled).collect()]
     if not p or not u:
         return LinearModel({}, float(np.log(prior / (1 - prior))))
-    return fit_nnpu(p, u, prior)
+    return fit_texts(p, u, prior)
 
 
 def scored(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD) -> DataFrame:
