@@ -162,6 +162,43 @@ def test_op8_around_a_frequent_line(spark):
     assert len({(2 * k, 2 * k + 1) for k in range(60)} & pairs) >= 57 and all(a // 2 == b // 2 for a, b in pairs)
 
 
+def pairs_found(spark, texts):
+    """Pairs (a, b) of which a passage is found; documents are named 10 * group + place."""
+    return {(r.a, r.b) for r in compact_windows.repeated_passages(documents(spark, texts)).collect()}
+
+
+def test_op8_beside_an_edited_copy(spark):
+    """The least document of each bucket holds an edited version; the two others share the passage exactly."""
+    draw = random.Random(21)
+    texts = []
+    for k in range(60):
+        passage = prose(draw, 60)
+        far = [f"e{draw.randint(0, 10**6)}" if i % 14 == 7 else w for i, w in enumerate(passage)]
+        texts += [(10 * k + j, " ".join(prose(draw, 40) + p + prose(draw, 40))) for j, p in enumerate((far, passage, passage))]
+    pairs = pairs_found(spark, texts)
+    assert {(10 * k + 1, 10 * k + 2) for k in range(60)} <= pairs and all(a // 10 == b // 10 for a, b in pairs)
+
+
+def test_op8_cells(monkeypatch):
+    """Cells give a seed for every linked pair of a bucket, however tokens are counted."""
+    draw = np.random.default_rng(22)
+    line, groups = draw.integers(0, 1 << 32, 20), [draw.integers(0, 1 << 32, 40) for _ in range(30)]
+    rows = []
+    for doc in range(90):
+        tokens = np.concatenate([draw.integers(0, 1 << 32, 20), groups[doc % 30][:20], line, groups[doc % 30][20:], draw.integers(0, 1 << 32, 15)])
+        rows.append((doc, 45, 0, len(tokens) - 1, False, False, tokens.astype(np.uint32).tobytes()))
+    for common, chunk in ((50, 4_000_000), (1_000, 1_000), (1, 1)):
+        monkeypatch.setattr(compact_windows, "COMMON", common)
+        monkeypatch.setattr(compact_windows, "CHUNK", chunk)
+        seeds = list(compact_windows.cell_seeds(rows, 46, 80, 5))
+        assert {(a, b) for a, b, *_ in seeds} == {(k, k + 30 * j) for k in range(30) for j in (1, 2)}
+    # windows that the centre links are left out, halves meet crosswise
+    linked = [(*r[:4], r[0] % 30 == 0, *r[5:]) for r in rows]
+    assert {(a, b) for a, b, *_ in compact_windows.cell_seeds(linked, 46, 80, 5)} == {(k, k + 30 * j) for k in range(1, 30) for j in (1, 2)}
+    halves = [(*r[:5], r[0] >= 60, r[6]) for r in rows]
+    assert {(a, b) for a, b, *_ in compact_windows.cell_seeds(halves, 46, 80, 5)} >= {(k, k + 60) for k in range(30)}
+
+
 def test_without_spans():
     assert compact_windows.without_spans("a b  c\nd e", [(1, 3)]) == "a d e" and compact_windows.without_spans(" a b", [(0, 2)]) == " " and compact_windows.without_spans("é b c", [(0, 1), (0, 2)]) == "c"
 

@@ -9,9 +9,10 @@ Windows of different documents that share a min-hash meet in a bucket, where the
 document is the centre of the others. An interval join keeps the pairs of documents of which windows of
 two functions or more meet, overlapping in both documents by a passage's width. They are verified: from
 a shared token, the stretch inside both windows is extended and accepted if it is long enough and the
-Jaccard similarity of the two passages' tokens is high enough. Windows that no passage explains meet once
-more, in buckets of two neighbouring functions' min-hashes whose windows overlap in the document; so one
-frequent line, which makes large buckets, doesn't hide the passages around it.
+Jaccard similarity of the two passages' tokens is high enough. Then every bucket of three windows or more
+that holds a window without a passage from the centre is taken whole, in cells of bounded size: all pairs of
+its windows, but those that the centre links, are compared by the tokens around them, on this one function.
+So neither a frequent line nor an edited copy in a lesser document hides the passages around it.
 
 Documents with equal texts are looked at once. A passage of similarity s is missed if fewer than two
 functions agree, with four functions and s = 0.8 one time in 37; exact repeats share every min-hash.
@@ -32,6 +33,8 @@ from .set_join import mix, ngrams
 
 #: Words of a token, words that a passage has at least, percent of similarity, hash functions (at most 8), tokens that a verifying group holds.
 WORDS, MIN_WORDS, PERCENT, FUNCTIONS, GROUP_TOKENS = 5, 50, 80, 4, 400_000
+#: Tokens that one half of a cell holds; a token on more windows of a cell is looked up only where the others don't decide (speed only).
+CELL_TOKENS, COMMON, CHUNK = 3_000_000, 50, 4_000_000
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * j + 1) & (1 << 64) - 1) for j in range(8)]
 _WINDOW = "sig long, doc long, c int, l int, r int"
 _PASSAGE = "a long, a_start int, a_end int, b long, b_start int, b_end int, similarity double"
@@ -80,37 +83,52 @@ def all_windows(docs: DataFrame, words: int, width: int, functions: int) -> Data
     return common.texts(docs).mapInArrow(run, _WINDOW)
 
 
-def passage_around(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: int, percent: int, words: int) -> tuple | None:
-    """The best similar passages around a shared token: seed is c, l, r in ``a``, then in ``b``."""
+def _scores(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: int, percent: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of b's tokens added up from the seed to the left and to the right, so far at most."""
     ca, la, ra, cb, lb, rb = seed
-    if ra >= len(a) or rb >= len(b) or a[ca] != b[cb]:
-        return None
     # a similarity of s needs 2s / (1 - s) shared tokens for each that is not shared
     cost = 2 * percent / (100 - percent)
+    first, last = max(lb, cb - reach), min(rb, cb + reach)
+    own = a[max(la, ca - reach - width) : min(ra, ca + reach + width) + 1]
+    score = np.where(np.isin(b[first : last + 1], own), 1.0, -cost)
+    return np.cumsum(score[: cb - first + 1][::-1]), np.cumsum(score[cb - first :])
+
+
+def stretch_near(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: int, percent: int) -> tuple[int, int] | None:
+    """How far similar tokens go in ``b``, to 2 widths at most, if that makes a passage; only tokens at most 3 widths from the seed count."""
+    x, y = _longest(*_scores(a, b, seed, width, percent, 2 * width))
+    return (x, y) if x + y + 1 >= width else None
+
+
+def passage_of(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], x: int, y: int, width: int, percent: int, words: int) -> tuple | None:
+    """The passage of ``b`` from x before the seed to y after it and a's beside it, if they are long and similar enough."""
+    ca, la, ra, cb, _, _ = seed
+    start, end = cb - x, cb + y
+    first = max(la, ca - x - width // 4)
+    # the part of a's window that runs along with it
+    near = np.flatnonzero(np.isin(a[first : min(ra, ca + y + width // 4) + 1], b[start : end + 1])) + first
+    a_start, a_end = int(near[0]), int(near[-1])
+    if end - start + 1 < width or a_end - a_start + 1 < width:
+        return None
+    own, other = np.unique(a[a_start : a_end + 1]), np.unique(b[start : end + 1])
+    both = len(np.intersect1d(own, other, assume_unique=True))
+    similarity = both / (len(own) + len(other) - both)
+    return (a_start, a_end + words, start, end + words, similarity) if 100 * similarity >= percent else None
+
 
-    def sums(reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores added up from the seed to the left and to the right, so far at most."""
-        first, last = max(lb, cb - reach), min(rb, cb + reach)
-        own = a[max(la, ca - reach - width) : min(ra, ca + reach + width) + 1]
-        score = np.where(np.isin(b[first : last + 1], own), 1.0, -cost)
-        return np.cumsum(score[: cb - first + 1][::-1]), np.cumsum(score[cb - first :])
-
-    if sum(_longest(*sums(2 * width))) + 1 < width:
-        return None  # not even around the seed
-    left, right = sums(len(a) + len(b))
-    for x, y in (_longest(left, right), (int(left.argmax()), int(right.argmax()))):
-        start, end = cb - x, cb + y
-        shared = np.flatnonzero(np.isin(a[la : ra + 1], b[start : end + 1])) + la
-        # the part of a's window that runs along with it
-        near = shared[(shared >= ca - x - width // 4) & (shared <= ca + y + width // 4)]
-        a_start, a_end = int(near[0]), int(near[-1])
-        if end - start + 1 < width or a_end - a_start + 1 < width:
-            continue
-        own, other = np.unique(a[a_start : a_end + 1]), np.unique(b[start : end + 1])
-        both = len(np.intersect1d(own, other, assume_unique=True))
-        similarity = both / (len(own) + len(other) - both)
-        if 100 * similarity >= percent:
-            return a_start, a_end + words, start, end + words, similarity
+def passage_around(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: int, percent: int, words: int) -> tuple | None:
+    """The best similar passages around a shared token: seed is c, l, r in ``a``, then in ``b``."""
+    ca, _, ra, cb, _, rb = seed
+    if ra >= len(a) or rb >= len(b) or a[ca] != b[cb]:
+        return None
+    near = stretch_near(a, b, seed, width, percent)
+    if near is None:
+        return None
+    left, right = _scores(a, b, seed, width, percent, len(a) + len(b))
+    for x, y in (_longest(left, right), (int(left.argmax()), int(right.argmax())), near):
+        found = passage_of(a, b, seed, x, y, width, percent, words)
+        if found:
+            return found
     return None
 
 
@@ -123,12 +141,13 @@ def _longest(left: np.ndarray, right: np.ndarray) -> tuple[int, int]:
     return x, int(y[x])
 
 
-def _verified(seeds: DataFrame, docs: DataFrame, words: int, width: int, percent: int) -> DataFrame:
-    """Passages of ``seeds`` (a, b, function, and c, l, r in each) that hold. Columns: _PASSAGE."""
+def _verified(seeds: DataFrame, docs: DataFrame, words: int, width: int, percent: int, of_one: bool = False) -> DataFrame:
+    """Passages of ``seeds`` (a, b, function, and c, l, r in each) that hold; of pairs that meet in two functions or, if so wanted, ``of_one``. Columns: _PASSAGE."""
     fields = ("ca", "la", "ra", "cb", "lb", "rb")
     pairs = seeds.groupBy("a", "b").agg(F.collect_set(F.struct("function", *fields)).alias("seeds"), F.max("rb").alias("n"))
     meets = f"least(x.ra, y.ra) - greatest(x.la, y.la) + 1 >= {width} and least(x.rb, y.rb) - greatest(x.lb, y.lb) + 1 >= {width}"
-    pairs = pairs.where(f"exists(seeds, x -> exists(seeds, y -> x.function < y.function and {meets}))")
+    if not of_one:
+        pairs = pairs.where(f"exists(seeds, x -> exists(seeds, y -> x.function < y.function and {meets}))")
     pairs = common.staged(pairs, "seeds", compression="zstd")
     groups = pairs.groupBy("a").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("groups"))
     # a centre's members are dealt into groups of bounded size, each with the centre's own text; texts join last
@@ -171,6 +190,161 @@ def _around_centre(held: DataFrame) -> DataFrame:
     return joined.select(F.col("m.doc").alias("a"), F.col("doc").alias("b"), "function", F.col("m.c").alias("ca"), F.col("m.l").alias("la"), F.col("m.r").alias("ra"), F.col("c").alias("cb"), F.col("l").alias("lb"), F.col("r").alias("rb"))
 
 
+def _contexts(rest: DataFrame, docs: DataFrame, words: int, width: int) -> DataFrame:
+    """``rest`` (key, doc, c, l, r, linked, h, halves) with the window's tokens up to 3 widths from c, 32 bits of each."""
+    fields = ("key", "c", "l", "r", "linked", "h", "halves")
+    own = rest.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("ws"))
+    rows = common.texts(docs).withColumnRenamed("doc_id", "doc").join(own, "doc").select("doc", "ws", "text")
+    schema = "key long, doc long, c int, l int, r int, linked boolean, h long, halves long, tokens binary"
+    arrow = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("linked", pa.bool_()), ("h", pa.int64()), ("halves", pa.int64()), ("tokens", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                doc, tokens = batch.column(0)[i].as_py(), ngrams(batch.column(2)[i].as_py(), words)
+                ws = batch.column(1)[i].values
+                key, c, left, right = (ws.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                linked, h, halves = (ws.field(k).to_pylist() for k in range(4, 7))
+                fits = (right < len(tokens)).nonzero()[0]
+                if not len(fits):
+                    continue
+                # rows that repeat an id may have another text
+                seeds = np.array(_SEEDS)[key[fits] & 7]
+                fits = fits[((mix(tokens[c[fits]] ^ seeds) & ~np.uint64(7)) | (key[fits] & 7).astype(np.uint64)).view(np.int64) == key[fits]]
+                low = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                for k in fits.tolist():
+                    first, last = max(left[k], c[k] - 3 * width), min(right[k], c[k] + 3 * width)
+                    out.append((int(key[k]), doc, int(c[k]), int(left[k]), int(right[k]), linked[k], h[k], halves[k], low[first : last + 1].tobytes()))
+                if len(out) >= 2_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _counted(entries: np.ndarray, weights: np.ndarray, low: np.ndarray, high: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(b * n + a, shared positions) of the windows ``entries`` (b) and those of the ranges ``low`` to ``high`` in ``owners``."""
+    counts = high - low
+    at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    codes, place = np.unique(np.repeat(entries, counts) * n + owners[at], return_inverse=True)
+    return codes, np.bincount(place, np.repeat(weights, counts), len(codes))
+
+
+def cell_candidates(contexts: list[np.ndarray], at: list[int], allowed: np.ndarray, width: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(b, its a's): every window b with those of whose tokens it holds enough for a passage. ``at``: the seed's
+    place in its context; ``allowed``: whether a window needs to be looked at as b.
+
+    A passage has at least ``width`` tokens of b that are at most 2 widths from the seed, of which the share that
+    ``stretch_near`` asks for is in a. Tokens on many windows are counted as shared at first.
+    """
+    n, cost = len(contexts), 2 * percent / (100 - percent)
+    need = int(np.ceil(width * cost / (1 + cost) - 1e-9))
+    lengths = np.array([len(x) for x in contexts])
+    owner = np.repeat(np.arange(n), lengths)
+    everything = np.concatenate(contexts).astype(np.int64)
+    index = np.unique(everything << 31 | owner)
+    tokens, owners = index >> 31, index & (1 << 31) - 1
+    distance = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths + np.array(at), lengths)
+    mine = (np.abs(distance) <= 2 * width) & allowed[owner]
+    entries, weights = np.unique(owner[mine] << 32 | everything[mine], return_counts=True)
+    del everything, owner, distance, mine, index
+    b, wanted = entries >> 32, entries & (1 << 32) - 1
+    low, high = np.searchsorted(tokens, wanted, "left"), np.searchsorted(tokens, wanted, "right")
+    common_token = high - low > COMMON
+    sure = np.bincount(b, weights * common_token, n)
+    dense = sure >= need  # the other tokens don't decide
+    used = (high - low > 1) & (~common_token | dense[b])
+    b, weights, low, high = b[used], weights[used], low[used], high[used]
+    # whole windows, as many at a time as CHUNK holds
+    ends = np.append(np.flatnonzero(np.diff(b)) + 1, len(b)) if len(b) else np.zeros(0, np.int64)
+    total = np.append(0, np.cumsum(high - low))
+    first = 0
+    while first < len(b):
+        last = int(ends[max(np.searchsorted(ends, first, "right"), np.searchsorted(total[ends], total[first] + CHUNK, "right") - 1)])
+        codes, shared = _counted(b[first:last], weights[first:last], low[first:last], high[first:last], owners, n)
+        its, other = codes // n, codes % n
+        hit = (shared + np.where(dense[its], 0, sure[its]) >= need) & (its != other)
+        its, other = its[hit], other[hit]
+        cuts = np.flatnonzero(np.diff(its)) + 1
+        yield from ((int(its[k]), other[k:e]) for k, e in zip([0, *cuts], [*cuts, len(its)], strict=True) if e > k)
+        first = last
+
+
+def cell_seeds(rows: list[tuple], width: int, percent: int, words: int) -> Iterator[tuple]:
+    """Seeds (a, b, function, ca, la, ra, cb, lb, rb) of a cell's windows (doc, c, l, r, linked, half, tokens), sorted.
+
+    A pair is left out where its tokens around the seed make no passage, or where passages that were found link
+    the two already and b has one from a lesser document.
+    """
+    doc = np.array([r[0] for r in rows])
+    linked, half = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+    inside = half.all() or not half.any()
+    contexts = [np.frombuffer(r[6], np.uint32) for r in rows]
+    starts = [max(r[2], r[1] - 3 * width) for r in rows]
+    at = [r[1] - s for r, s in zip(rows, starts, strict=True)]
+    if linked.all() or doc[0] == doc[-1]:
+        return
+    parent = [len(rows) if own else k for k, own in enumerate(linked.tolist())] + [len(rows)]  # the last: the centre
+    lesser = linked.copy()
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b, others in cell_candidates(contexts, at, doc > doc[0], width, percent):
+        possible = (doc[others] < doc[b]) & ~(linked[others] & linked[b])
+        if not inside:
+            possible &= half[others] != half[b]
+        for a in others[possible].tolist():
+            x, y = find(a), find(b)
+            if x == y and lesser[b]:
+                continue
+            seed = (at[a], 0, len(contexts[a]) - 1, at[b], 0, len(contexts[b]) - 1)
+            near = stretch_near(contexts[a], contexts[b], seed, width, percent)
+            if near is None:
+                continue
+            yield int(doc[a]), int(doc[b]), *rows[a][1:4], *rows[b][1:4]
+            if passage_of(contexts[a], contexts[b], seed, *near, width, percent, words):
+                parent[x] = y
+                lesser[b] = True
+
+
+def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percent: int) -> DataFrame:
+    """Seeds of all pairs of windows of each bucket of ``rest`` but those that are linked. Columns as _around_centre."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("halves") - 1))
+    # a window goes to each cell (i, j), i <= j, that its part h belongs to
+    dealt = _contexts(rest, docs, words, width).withColumn("o", other)
+    cells = dealt.select("key", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), "doc", "c", "l", "r", "linked", (F.col("h") > F.col("o")).alias("half"), "tokens")
+    schema = "a long, b long, function long, ca int, la int, ra int, cb int, lb int, rb int"
+    names = [f.split()[0] for f in schema.split(", ")]
+    arrow = pa.schema([(k, pa.int64() if k in ("a", "b", "function") else pa.int32()) for k in names])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> list[tuple]:
+            return [(a, b, key[0] & 7, *x) for a, b, *x in cell_seeds(held, width, percent, words)] if len(held) > 1 else []
+
+        key, held, out = None, [], []
+        for batch in batches:
+            for k, i, j, *window in zip(*(batch.column(x).to_pylist() for x in range(10)), strict=True):
+                if (k, i, j) != key:
+                    out += flush()
+                    key, held = (k, i, j), []
+                held.append(tuple(window))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                out = []
+        out = flush()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "c").mapInArrow(run, schema)
+
+
 def _shared(found: DataFrame) -> DataFrame:
     """The rows whose key is that of several documents; one exchange."""
     key = Window.partitionBy("key")
@@ -206,19 +380,17 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_
     held = shared.join(own, "doc").select("key", F.col("rep").alias("doc"), "c", "l", "r").distinct().withColumn("function", F.col("key").bitwiseAND(F.lit(7)))
     held = common.staged(held, "windows", compression="zstd")
     first = common.staged(_verified(_around_centre(held), docs, words, width, percent), "passages")
-    spans = first.select(F.col("b").alias("doc"), F.struct("b_start", "b_end").alias("s")).unionByName(first.select(F.col("a").alias("doc"), F.struct(F.col("a_start").alias("b_start"), F.col("a_end").alias("b_end")).alias("s")))
-    spans = spans.groupBy("doc").agg(F.collect_set("s").alias("spans"))
-    # windows that lie in buckets of three or more and whose token no passage covers
-    large = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
-    left = held.join(large, "key").join(spans, "doc", "left").where("spans is null or not exists(spans, s -> s.b_start <= c and c < s.b_end)").drop("spans")
-    left = common.staged(left, "unexplained", compression="zstd")
-    other = left.select("doc", *(F.col(k).alias(f"{k}2") for k in ("key", "function", "c", "l", "r")))
-    both = left.join(other, "doc").where(f"function + 1 = function2 and least(r, r2) - greatest(l, l2) + 1 >= {width}")
-    pair = F.xxhash64("key", "key2").alias("key")
-    sides = both.select(pair, "doc", F.explode(F.array(*[F.struct(F.col(f"function{k}").alias("function"), F.col(f"c{k}").alias("c"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in ("", "2")])).alias("w")).select("key", "doc", "w.*")
-    # the two functions of a pair are kept apart, so that each window meets its own function's
-    again = _shared(sides.distinct()).withColumn("key", F.xxhash64("key", "function"))
-    second = _verified(_around_centre(again), docs, words, width, percent)
+    spans = first.groupBy(F.col("a").alias("least"), F.col("b").alias("doc")).agg(F.collect_set(F.struct("b_start", "b_end")).alias("spans"))
+    bucket = Window.partitionBy("key")
+    # windows are linked by a passage with the bucket's least document that covers their token
+    known = held.withColumns({"least": F.min("doc").over(bucket), "most": F.max("doc").over(bucket), "n": F.count("*").over(bucket)}).where("least < most and n > 2").drop("most", "n")
+    linked = F.expr(f"doc = least or coalesce(exists(spans, s -> s.b_start <= c and c + {words} <= s.b_end), false)")
+    known = known.join(spans, ["least", "doc"], "left").select("key", "doc", "c", "l", "r", linked.alias("linked"))
+    size = F.sum(F.expr(f"least(r, c + {3 * width}) - greatest(l, c - {3 * width}) + 1")).over(bucket)
+    rest = known.withColumns({"whole": F.bool_and("linked").over(bucket), "halves": F.ceil(size / CELL_TOKENS)}).where("not whole").drop("whole")
+    rest = common.staged(rest.withColumn("h", F.expr("pmod(xxhash64(doc, c), halves)")), "unexplained", compression="zstd")
+    seeds = common.staged(_cell_links(rest, docs, words, width, percent), "seeds", compression="zstd")
+    second = _verified(seeds, docs, words, width, percent, of_one=True)
     copies = reps.where((F.col("doc_id") != F.col("rep")) & (F.col("n_words") >= min_words))
     zero, end, one = F.lit(0).alias("a_start"), F.col("n_words").alias("a_end"), F.lit(1.0).alias("similarity")
     whole = copies.select(F.col("rep").alias("a"), zero, end, F.col("doc_id").alias("b"), zero.alias("b_start"), end.alias("b_end"), one).distinct()
