@@ -199,6 +199,18 @@ def test_op8_cells(monkeypatch):
     assert {(a, b) for a, b, *_ in compact_windows.cell_seeds(halves, 46, 80, 5)} >= {(k, k + 60) for k in range(30)}
 
 
+def test_op8_pair_that_meets_in_one_function(spark):
+    """Edited passages of two documents only: the bucket of one function is enough; one pair in 625 shares none."""
+    draw = random.Random(23)
+    texts = []
+    for k in range(200):
+        passage = prose(draw, 50)
+        other = [*passage[:25], f"e{k}", *passage[26:]]
+        texts += [(10 * k + j, " ".join(prose(draw, 40) + p + prose(draw, 40))) for j, p in ((1, passage), (2, other))]
+    pairs = pairs_found(spark, texts)
+    assert len({(10 * k + 1, 10 * k + 2) for k in range(200)} & pairs) >= 199 and all(a // 10 == b // 10 for a, b in pairs)
+
+
 def test_without_spans():
     assert compact_windows.without_spans("a b  c\nd e", [(1, 3)]) == "a d e" and compact_windows.without_spans(" a b", [(0, 2)]) == " " and compact_windows.without_spans("é b c", [(0, 1), (0, 2)]) == "c"
 

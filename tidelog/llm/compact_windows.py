@@ -9,13 +9,13 @@ Windows of different documents that share a min-hash meet in a bucket, where the
 document is the centre of the others. An interval join keeps the pairs of documents of which windows of
 two functions or more meet, overlapping in both documents by a passage's width. They are verified: from
 a shared token, the stretch inside both windows is extended and accepted if it is long enough and the
-Jaccard similarity of the two passages' tokens is high enough. Then every bucket of three windows or more
-that holds a window without a passage from the centre is taken whole, in cells of bounded size: all pairs of
+Jaccard similarity of the two passages' tokens is high enough. Then every bucket that
+holds a window without a passage from the centre is taken whole, in cells of bounded size: all pairs of
 its windows, but those that the centre links, are compared by the tokens around them, on this one function.
 So neither a frequent line nor an edited copy in a lesser document hides the passages around it.
 
-Documents with equal texts are looked at once. A passage of similarity s is missed if fewer than two
-functions agree, with four functions and s = 0.8 one time in 37; exact repeats share every min-hash.
+Documents with equal texts are looked at once. A passage of similarity s is missed if no function agrees,
+with four functions and s = 0.8 one time in 625; exact repeats share every min-hash.
 """
 
 from __future__ import annotations
@@ -383,7 +383,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_
     spans = first.groupBy(F.col("a").alias("least"), F.col("b").alias("doc")).agg(F.collect_set(F.struct("b_start", "b_end")).alias("spans"))
     bucket = Window.partitionBy("key")
     # windows are linked by a passage with the bucket's least document that covers their token
-    known = held.withColumns({"least": F.min("doc").over(bucket), "most": F.max("doc").over(bucket), "n": F.count("*").over(bucket)}).where("least < most and n > 2").drop("most", "n")
+    known = held.withColumns({"least": F.min("doc").over(bucket), "most": F.max("doc").over(bucket)}).where("least < most").drop("most")
     linked = F.expr(f"doc = least or coalesce(exists(spans, s -> s.b_start <= c and c + {words} <= s.b_end), false)")
     known = known.join(spans, ["least", "doc"], "left").select("key", "doc", "c", "l", "r", linked.alias("linked"))
     size = F.sum(F.expr(f"least(r, c + {3 * width}) - greatest(l, c - {3 * width}) + 1")).over(bucket)
