@@ -211,6 +211,19 @@ def test_op8_pair_that_meets_in_one_function(spark):
     assert len({(10 * k + 1, 10 * k + 2) for k in range(200)} & pairs) >= 199 and all(a // 10 == b // 10 for a, b in pairs)
 
 
+def test_op8_all_pairs_around_frequent_lines(spark):
+    """60 of 60 pairs, whichever functions tell them apart."""
+    for size in (30, 40):
+        draw = random.Random(9)
+        line = prose(draw, size)
+        texts = []
+        for k in range(60):
+            around = prose(draw, 35 - size // 2) + line + prose(draw, 35 - size // 2)
+            texts += [(10 * k + 1, " ".join(prose(draw, 50) + around + prose(draw, 50))), (10 * k + 2, " ".join(prose(draw, 80) + around + prose(draw, 20)))]
+        pairs = pairs_found(spark, texts)
+        assert {(10 * k + 1, 10 * k + 2) for k in range(60)} <= pairs and all(a // 10 == b // 10 for a, b in pairs)
+
+
 def test_without_spans():
     assert compact_windows.without_spans("a b  c\nd e", [(1, 3)]) == "a d e" and compact_windows.without_spans(" a b", [(0, 2)]) == " " and compact_windows.without_spans("é b c", [(0, 1), (0, 2)]) == "c"
 
