@@ -224,6 +224,17 @@ def test_op8_all_pairs_around_frequent_lines(spark):
         assert {(10 * k + 1, 10 * k + 2) for k in range(60)} <= pairs and all(a // 10 == b // 10 for a, b in pairs)
 
 
+def test_op8_least_document_quotes_itself(spark):
+    """The least document holds a large part of the passage a second time, earlier."""
+    draw = random.Random(24)
+    texts = []
+    for k in range(60):
+        passage = prose(draw, 60)
+        texts += [(10 * k + 1, " ".join(prose(draw, 40) + passage[:48] + prose(draw, 60) + passage + prose(draw, 40))), (10 * k + 2, " ".join(prose(draw, 40) + passage + prose(draw, 40)))]
+    pairs = pairs_found(spark, texts)
+    assert {(10 * k + 1, 10 * k + 2) for k in range(60)} <= pairs and all(a // 10 == b // 10 for a, b in pairs)
+
+
 def test_without_spans():
     assert compact_windows.without_spans("a b  c\nd e", [(1, 3)]) == "a d e" and compact_windows.without_spans(" a b", [(0, 2)]) == " " and compact_windows.without_spans("é b c", [(0, 1), (0, 2)]) == "c"
 
