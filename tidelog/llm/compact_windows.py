@@ -289,6 +289,25 @@ def cell_seeds(rows: list[tuple], width: int, percent: int, words: int) -> Itera
         return
     parent = [len(rows) if own else k for k, own in enumerate(linked.tolist())] + [len(rows)]  # the last: the centre
     lesser = linked.copy()
+    place = np.array([r[1] for r in rows])
+    # windows that their contexts hold whole, and the distinct tokens of each by number
+    whole = [len(x) == r[3] - r[2] + 1 for x, r in zip(contexts, rows, strict=True)]
+    numbers: dict[bytes, int] = {}
+    kinds = [np.unique(x) for x in contexts]
+    kind = [numbers.setdefault(x.tobytes(), len(numbers)) for x in kinds]
+    spans: dict[tuple[int, int], int] = {}
+
+    def span(a: int, b: int) -> int:
+        """How far the tokens of a's window that b's holds lie apart."""
+        if (a, kind[b]) not in spans:
+            shared = np.flatnonzero(np.isin(contexts[a], kinds[b]))
+            spans[a, kind[b]] = int(shared[-1] - shared[0]) + 1
+        return spans[a, kind[b]]
+
+    def inside_of(k: int, first: int, last: int) -> range:
+        """Windows of k's document with their token in a part of k's context."""
+        low, high = np.searchsorted(doc, doc[k], "left"), np.searchsorted(doc, doc[k], "right")
+        return range(*(int(low + np.searchsorted(place[low:high], starts[k] + v, side)) for v, side in ((first, "left"), (last, "right"))))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -302,16 +321,23 @@ def cell_seeds(rows: list[tuple], width: int, percent: int, words: int) -> Itera
             possible &= half[others] != half[b]
         for a in others[possible].tolist():
             x, y = find(a), find(b)
-            if x == y and lesser[b]:
+            if x == y and lesser[b] or whole[a] and whole[b] and span(a, b) < width:
                 continue
             seed = (at[a], 0, len(contexts[a]) - 1, at[b], 0, len(contexts[b]) - 1)
             near = stretch_near(contexts[a], contexts[b], seed, width, percent)
             if near is None:
                 continue
             yield int(doc[a]), int(doc[b]), *rows[a][1:4], *rows[b][1:4]
-            if passage_of(contexts[a], contexts[b], seed, *near, width, percent, words):
+            p = passage_of(contexts[a], contexts[b], seed, *near, width, percent, words)
+            if p:
                 parent[x] = y
                 lesser[b] = True
+                # the passage links the windows of the two documents whose tokens it covers
+                for k in inside_of(a, p[0], p[1] - words):
+                    parent[find(k)] = y
+                for k in inside_of(b, p[2], p[3] - words):
+                    parent[find(k)] = y
+                    lesser[k] = True
 
 
 def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percent: int) -> DataFrame:
