@@ -112,13 +112,16 @@ def test_components(spark):
 
 def test_cartesian_windows_equal_brute_force():
     draw = np.random.default_rng(3)
-    for n in (1, 5, 40):
-        h = draw.integers(0, 20, n).astype(np.uint64)
-        found = compact_windows.windows(h, 3)
+    for n in (1, 5, 40, 200):
+        h = draw.integers(1, 20, n).astype(np.uint64)
+        found = compact_windows.windows(np.concatenate([[0], h, [0]]).astype(np.uint64), 3) - 1
         for i in range(n):
             for j in range(i + 2, n):
-                c = i + int(h[i : j + 1].argmin())
-                assert [w for w in found if w[0] <= i <= w[1] <= j <= w[2]] == [next(w for w in found if w[1] == c)]
+                assert sorted(c for left, c, r in found.tolist() if left <= i <= c <= j <= r) == (np.flatnonzero(h[i : j + 1] == h[i : j + 1].min()) + i).tolist()
+    # inside a periodic run the first and last stay
+    tokens = np.array([0, 7, 8, 9, *[5, 6] * 10, 3, 7, 8, 9, 0], np.uint64)
+    found = compact_windows.windows(np.where(tokens > 0, tokens, 0), 8, tokens).tolist()
+    assert found == [[1, 24, 27], [1, 4, 23], [1, 22, 23]] or sorted(found) == [[1, 4, 23], [1, 22, 23], [1, 24, 27]]
 
 
 def test_op8_planted_passages(spark):
@@ -186,17 +189,20 @@ def test_op8_cells(monkeypatch):
     rows = []
     for doc in range(90):
         tokens = np.concatenate([draw.integers(0, 1 << 32, 20), groups[doc % 30][:20], line, groups[doc % 30][20:], draw.integers(0, 1 << 32, 15)])
-        rows.append((doc, 45, 0, len(tokens) - 1, False, False, tokens.astype(np.uint32).tobytes()))
-    for common, chunk in ((50, 4_000_000), (1_000, 1_000), (1, 1)):
-        monkeypatch.setattr(compact_windows, "COMMON", common)
-        monkeypatch.setattr(compact_windows, "CHUNK", chunk)
-        seeds = list(compact_windows.cell_seeds(rows, 46, 80, 5))
-        assert {(a, b) for a, b, *_ in seeds} == {(k, k + 30 * j) for k in range(30) for j in (1, 2)}
+        rows.append((doc, -doc, 45, 0, len(tokens) - 1, False, False, tokens.astype(np.uint32).tobytes()))
+
+    def pairs(rows):
+        return {(a, b) for a, _, b, *_ in compact_windows.Cell(rows, 46, 80, 5).seeds()}
+
+    for few, leaders in ((6, 8), (100, 0), (2, 0), (2, 50)):
+        monkeypatch.setattr(compact_windows, "FEW", few)
+        monkeypatch.setattr(compact_windows, "LEADERS", leaders)
+        assert pairs(rows) == {(k, k + 30 * j) for k in range(30) for j in (1, 2)}
     # windows that the centre links are left out, halves meet crosswise
-    linked = [(*r[:4], r[0] % 30 == 0, *r[5:]) for r in rows]
-    assert {(a, b) for a, b, *_ in compact_windows.cell_seeds(linked, 46, 80, 5)} == {(k, k + 30 * j) for k in range(1, 30) for j in (1, 2)}
-    halves = [(*r[:5], r[0] >= 60, r[6]) for r in rows]
-    assert {(a, b) for a, b, *_ in compact_windows.cell_seeds(halves, 46, 80, 5)} >= {(k, k + 60) for k in range(30)}
+    linked = [(*r[:5], r[0] % 30 == 0, *r[6:]) for r in rows]
+    assert pairs(linked) == {(k, k + 30 * j) for k in range(1, 30) for j in (1, 2)}
+    halves = [(*r[:6], r[0] >= 60, r[7]) for r in rows]
+    assert pairs(halves) >= {(k, k + 60) for k in range(30)}
 
 
 def test_op8_pair_that_meets_in_one_function(spark):

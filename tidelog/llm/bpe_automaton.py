@@ -195,11 +195,10 @@ def tokenization_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     Defined cases: a null or empty text has no ids, and both digests are those of the empty string; rows
     that repeat an id are kept side by side; an empty table gives no rows; other columns are ignored.
     """
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = automaton(tokenizer_path)
-        for b in batches:
+        for b in common.slices(batches):
             n, a, d = [], [], []
             for text in b.column(1).to_pylist():
                 ids, decoded = t.encode_and_decode(text)

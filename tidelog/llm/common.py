@@ -9,15 +9,30 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A key is dealt apart from the others if more than one row in so many of a sample has it; the sample takes one row in SAMPLE.
+HOT_SHARE, SAMPLE, HOT_LEAST = 2_000, 32, 64
+
 _own_folder: list[str] = []
-_scopes: list[list[str]] = []
+
+
+class _Scopes(threading.local):
+    """The open scopes of a thread, each the paths that it drops; below them the paths that ``release`` drops."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+        self.kept: list[str] = []
+
+
+_scopes = _Scopes()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,26 +49,70 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back. Inside ``scratch`` the table goes at its end, unless it is to ``keep``."""
+    """Write ``df`` to the shared folder and read it back. Inside ``scratch`` the table goes at its end, unless it is
+    to ``keep``; outside it stays for what is read from it, until ``release``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    scope = len(_scopes) - 1 - keep
-    if scope >= 0:
-        _scopes[scope].append(path)
+    scope = len(_scopes.open) - 1 - keep
+    (_scopes.open[scope] if scope >= 0 else _scopes.kept).append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Staged tables of the block are dropped at its end; what is returned from it must rest on kept ones."""
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _drop(spark, _scopes.open.pop())
+
+
+def release(spark: SparkSession) -> None:
+    """Drop every table that this thread staged outside ``scratch``; frames that rest on them can't be read any more."""
+    paths, _scopes.kept = _scopes.kept, []
+    _drop(spark, paths)
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """At most HOT_SHARE values of ``key`` that many rows hold. They are found on a sample: that decides how rows
+    are dealt to tasks, never what comes out."""
+    sample = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(SAMPLE)) == 0)
+    least = max(HOT_LEAST, sample.count() // HOT_SHARE)
+    found = sample.groupBy(key).count().where(F.col("count") > least).select(key).collect()
+    return rows.sparkSession.createDataFrame(found, rows.select(key).schema)
+
+
+def with_totals(rows: DataFrame, key: str, hot: DataFrame, **totals: Column) -> DataFrame:
+    """``rows``, which are staged, with aggregates over the rows of the same ``key``.
+
+    Rows of hot keys stay where they are: their aggregates are made by partial aggregation and broadcast, as there
+    are at most HOT_SHARE of them. All other rows take one exchange.
+    """
+    per_key = Window.partitionBy(key)
+    cold = rows.join(F.broadcast(hot), key, "left_anti").withColumns({k: a.over(per_key) for k, a in totals.items()})
+    few = rows.join(F.broadcast(hot), key, "left_semi").groupBy(key).agg(*[a.alias(k) for k, a in totals.items()])
+    return cold.unionByName(rows.join(F.broadcast(few), key).select(cold.columns))
+
+
+def parts_of(rows: DataFrame, key: str, weight: Column, least: int) -> DataFrame:
+    """``key``, ``parts``: keys of more than ``least`` and 1 / HOT_SHARE of all weight, at most HOT_SHARE of them, and in how many parts to deal each."""
+    share = max(least, (rows.agg(F.sum(weight)).first()[0] or 0) // HOT_SHARE)
+    return rows.groupBy(key).agg(F.sum(weight).alias("w")).where(F.col("w") > share).select(key, F.ceil(F.col("w") / share).alias("parts"))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what Python objects hold at once is bounded. Spark bounds a batch's bytes itself."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +127,3 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def id_remainder(doc_id: str | Column, divisor: int) -> Column:
     """crc32 of the id written as text, modulo ``divisor``: the fold of a document."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % divisor
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds, so that a run of long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -3,19 +3,21 @@
 A text is a sequence of tokens, its word 5-grams. Under one hash function, the Cartesian tree of the
 tokens' hashes groups all subsequences by the token that is their minimum: a node at c over [l, r]
 stands for every subsequence [i, j] with l <= i <= c <= j <= r, which all share the min-hash of c. Nodes
-at least as wide as a passage are the compact windows; there are about 2n / width of them.
-
-Windows of different documents that share a min-hash meet in a bucket, where the window of the least
-document is the centre of the others. An interval join keeps the pairs of documents of which windows of
-two functions or more meet, overlapping in both documents by a passage's width. They are verified: from
-a shared token, the stretch inside both windows is extended and accepted if it is long enough and the
-Jaccard similarity of the two passages' tokens is high enough. Then every bucket that
-holds a window without a passage from the centre is taken whole, in cells of bounded size: all pairs of
-its windows, but those that the centre links, are compared by the tokens around them, on this one function.
-So neither a frequent line nor an edited copy in a lesser document hides the passages around it.
-
-Documents with equal texts are looked at once. A passage of similarity s is missed if no function agrees,
-with four functions and s = 0.8 one time in 625; exact repeats share every min-hash.
+at least as wide as a passage are the compact windows; there are about 2n / width of them. Equal minima
+of one range are nodes of the whole range; of a run that repeats itself only the first and last are kept.
+
+Windows of different texts that share a min-hash meet in a bucket, where the window of the least document
+is the centre of the others. For every pair of texts, an interval join over all functions puts those
+windows first that overlap in both texts by a passage's width, and they are verified in that order: from a
+shared token, the stretch inside both windows is extended and accepted if it is long enough and the Jaccard
+similarity of the two passages' tokens is high enough; windows that a passage covers are done. Then every
+bucket of three windows or more that holds one without a passage from the centre is taken whole, in cells of
+bounded size: all pairs of its windows that could still join two components are compared by the tokens
+around them. So neither a frequent line nor an edited copy in a lesser document hides the passages around it.
+
+Texts are told apart by 64-bit digests; documents with equal texts are looked at once. A passage of
+similarity s is missed if no function agrees, with four functions and s = 0.8 one time in 625; exact
+repeats share every min-hash.
 """
 
 from __future__ import annotations
@@ -25,62 +27,104 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .set_join import mix, ngrams
+from .set_join import _PRIME, _powers_of, mix, ngrams, ngrams_of
 
 #: Words of a token, words that a passage has at least, percent of similarity, hash functions (at most 8), tokens that a verifying group holds.
-WORDS, MIN_WORDS, PERCENT, FUNCTIONS, GROUP_TOKENS = 5, 50, 80, 4, 400_000
-#: Tokens that one half of a cell holds; a token on more windows of a cell is looked up only where the others don't decide (speed only).
-CELL_TOKENS, COMMON, CHUNK = 3_000_000, 50, 4_000_000
+WORDS, MIN_WORDS, PERCENT, FUNCTIONS, GROUP_TOKENS = 5, 50, 80, 4, 2_000_000
+#: Tokens that one half of a cell holds; windows up to which a cell compares all pairs at once; passes that start from one window.
+CELL_TOKENS, FEW, LEADERS = 2_000_000, 6, 8
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * j + 1) & (1 << 64) - 1) for j in range(8)]
-_WINDOW = "sig long, doc long, c int, l int, r int"
-_PASSAGE = "a long, a_start int, a_end int, b long, b_start int, b_end int, similarity double"
+_WINDOW = "key long, txt long, c int, l int, r int"
+_PASSAGE = "a long, a_txt long, a_start int, a_end int, b long, b_txt long, b_start int, b_end int, similarity double, cuts array<int>"
+_ARROW = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}.get(f.split()[1], pa.list_(pa.int32()))) for f in _PASSAGE.split(", ")])
+
+
+def _sliding(least: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """The least (or largest) of each ``width`` neighbours."""
+    size = 1
+    while 2 * size <= width:
+        x = least(x[:-size], x[size:])
+        size *= 2
+    return least(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
+
+
+def _beyond(at: np.ndarray, v: np.ndarray, equal: bool) -> np.ndarray:
+    """From the neighbours ``at`` on to the first that is less, or ``equal``; zeros stay."""
+    todo = np.flatnonzero(v)
+    while len(todo):
+        todo = todo[v[at[todo]] > v[todo]] if equal else todo[v[at[todo]] >= v[todo]]
+        at[todo] = at[at[todo]]
+    return at
+
+
+def windows(hashes: np.ndarray, width: int, tokens: np.ndarray | None = None) -> np.ndarray:
+    """Rows l, c, r of the Cartesian tree's nodes that are at least so wide. ``hashes`` are positive, but for zeros
+    that begin, part and end texts. Equal minima have one range; with ``tokens``, those inside a periodic run are left out."""
+    if len(hashes) < width:
+        return np.zeros((0, 3), np.int64)
+    margin = np.zeros(width - 1, np.uint64)
+    best = _sliding(np.maximum, np.concatenate([margin, _sliding(np.minimum, hashes, width), margin]), width)
+    place = np.flatnonzero(best == hashes)  # the least of some range that is wide enough, and the zeros
+    v, k = hashes[place], np.arange(len(place))
+    left, right = _beyond(np.maximum(k - 1, 0), v, False), _beyond(np.minimum(k + 1, len(k) - 1), v, False)
+    keep = v > 0
+    if tokens is not None:
+        before, after = _beyond(np.maximum(k - 1, 0), v, True), _beyond(np.minimum(k + 1, len(k) - 1), v, True)
+        tied = np.flatnonzero(keep & (v[before] == v) & (v[after] == v))
+        back, on = place[tied] - place[before[tied]], place[after[tied]] - place[tied]
+        tied, step = tied[back == on], on[back == on]
+        power = _powers_of(_PRIME, len(tokens))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * power[: len(tokens)], dtype=np.uint64)])
+        here, first, last = (sums[place[x]] for x in (tied, before[tied], after[tied]))
+        keep[tied[(here - first) * power[step] == last - here]] = False
+    x = np.flatnonzero(keep)
+    return np.column_stack([place[left[x]] + 1, place[x], place[right[x]] - 1])
 
 
-def windows(hashes: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of the Cartesian tree's nodes that are at least so wide; the leftmost of equal hashes is the minimum."""
-    out, todo = [], [(0, len(hashes) - 1)]
-    while todo:
-        left, right = todo.pop()
-        if right - left + 1 >= width:
-            c = left + int(hashes[left : right + 1].argmin())
-            out.append((left, c, right))
-            todo += [(left, c - 1), (c + 1, right)]
-    return out
+def text_digest(text: str) -> int:
+    """Spark's xxhash64 of a text."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def text_digest(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+def digest_column() -> Column:
+    return F.xxhash64("text").alias("txt")
 
 
 def all_windows(docs: DataFrame, words: int, width: int, functions: int) -> DataFrame:
-    """The windows of every distinct text, once for each task that meets it; the low 3 bits of sig name the function."""
-    common.small_batches(docs.sparkSession)
+    """The windows of every distinct text, once for each task that meets it; the low 3 bits of a key name the function."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for b in batches:
-            out: list[np.ndarray] = [np.zeros((0, 5), np.int64)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                digest = text_digest(text)
-                if digest in met or doc is None:
-                    continue
-                met.add(digest)
-                tokens = ngrams(text, words)
-                if len(tokens) < width:
-                    continue
-                for j in range(functions):
-                    hashes = mix(tokens ^ _SEEDS[j])
-                    found = np.array(windows(hashes, width), np.int64)
-                    sigs = (hashes[found[:, 1]] & ~np.uint64(7) | np.uint64(j)).view(np.int64)
-                    out.append(np.column_stack([sigs, np.full(len(found), doc), found]))
-            sig, doc, left, c, right = np.concatenate(out).T
-            yield pa.RecordBatch.from_pydict({"sig": sig, "doc": doc, "c": c.astype(np.int32), "l": left.astype(np.int32), "r": right.astype(np.int32)})
-
-    return common.texts(docs).mapInArrow(run, _WINDOW)
+        for b in common.slices(batches):
+            names, own = [], []
+            for txt, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if txt not in met:
+                    met.add(txt)
+                    names.append(txt)
+                    own.append(text)
+            tokens = [(n, t) for n, t in zip(names, ngrams_of(own, words), strict=True) if len(t) >= width]
+            if not tokens:
+                continue
+            zero = np.zeros(1, np.uint64)
+            row = np.concatenate([zero, *(x for _, t in tokens for x in (t, zero))])
+            ends = np.cumsum([len(t) + 1 for _, t in tokens])
+            starts = np.concatenate([[0], ends[:-1]]) + 1
+            parting = np.concatenate([[0], ends])
+            for j in range(functions):
+                hashes = mix(row ^ _SEEDS[j]) | np.uint64(1)
+                hashes[parting] = 0
+                found = windows(hashes, width, row)
+                text = np.searchsorted(ends, found[:, 1])
+                keys = (hashes[found[:, 1]] & ~np.uint64(7) | np.uint64(j)).view(np.int64)
+                left, c, right = (found - starts[text][:, None]).astype(np.int32).T
+                yield pa.RecordBatch.from_pydict({"key": keys, "txt": np.array([n for n, _ in tokens], np.int64)[text], "c": c, "l": left, "r": right})
+
+    return common.texts(docs).select(digest_column(), "text").mapInArrow(run, _WINDOW)
 
 
 def _scores(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: int, percent: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +145,8 @@ def stretch_near(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: int
 
 
 def passage_of(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], x: int, y: int, width: int, percent: int, words: int) -> tuple | None:
-    """The passage of ``b`` from x before the seed to y after it and a's beside it, if they are long and similar enough."""
+    """The passage of ``b`` from x before the seed to y after it and a's beside it, if they are long and similar enough;
+    last, ends of the runs of b's words that are in shared tokens."""
     ca, la, ra, cb, _, _ = seed
     start, end = cb - x, cb + y
     first = max(la, ca - x - width // 4)
@@ -111,9 +156,13 @@ def passage_of(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], x: int, y: i
     if end - start + 1 < width or a_end - a_start + 1 < width:
         return None
     own, other = np.unique(a[a_start : a_end + 1]), np.unique(b[start : end + 1])
-    both = len(np.intersect1d(own, other, assume_unique=True))
-    similarity = both / (len(own) + len(other) - both)
-    return (a_start, a_end + words, start, end + words, similarity) if 100 * similarity >= percent else None
+    both = np.intersect1d(own, other, assume_unique=True)
+    similarity = len(both) / (len(own) + len(other) - len(both))
+    if 100 * similarity < percent:
+        return None
+    covered = np.convolve(np.isin(b[start : end + 1], both), np.ones(words, np.int64)) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]))) + start
+    return a_start, a_end + words, start, end + words, similarity, edges.tolist()
 
 
 def passage_around(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: int, percent: int, words: int) -> tuple | None:
@@ -141,222 +190,273 @@ def _longest(left: np.ndarray, right: np.ndarray) -> tuple[int, int]:
     return x, int(y[x])
 
 
-def _verified(seeds: DataFrame, docs: DataFrame, words: int, width: int, percent: int, of_one: bool = False) -> DataFrame:
-    """Passages of ``seeds`` (a, b, function, and c, l, r in each) that hold; of pairs that meet in two functions or, if so wanted, ``of_one``. Columns: _PASSAGE."""
-    fields = ("ca", "la", "ra", "cb", "lb", "rb")
-    pairs = seeds.groupBy("a", "b").agg(F.collect_set(F.struct("function", *fields)).alias("seeds"), F.max("rb").alias("n"))
-    meets = f"least(x.ra, y.ra) - greatest(x.la, y.la) + 1 >= {width} and least(x.rb, y.rb) - greatest(x.lb, y.lb) + 1 >= {width}"
-    if not of_one:
-        pairs = pairs.where(f"exists(seeds, x -> exists(seeds, y -> x.function < y.function and {meets}))")
+def in_order(seeds: np.ndarray, width: int) -> np.ndarray:
+    """The order in which a pair's seeds (function, ca, la, ra, cb, lb, rb) are verified: those that meet, in both
+    texts, the windows of another function by a passage's width first; then the widest."""
+    meets = np.zeros(len(seeds), bool)
+    step = max(1, 2_000_000 // len(seeds))
+    for k in range(0, len(seeds), step):
+        some = seeds[k : k + step, None, :]
+        over = np.minimum(some[..., (3, 6)], seeds[None, :, (3, 6)]) - np.maximum(some[..., (2, 5)], seeds[None, :, (2, 5)]) + 1
+        meets[k : k + step] = ((over >= width).all(2) & (some[..., 0] != seeds[None, :, 0])).any(1)
+    return np.lexsort((seeds[:, 4], seeds[:, 5] - seeds[:, 6], ~meets))
+
+
+def pair_passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray, width: int, percent: int, words: int) -> Iterator[tuple]:
+    """The passages of two texts' tokens around these seeds."""
+    seeds = seeds[(seeds[:, 3] < len(a)) & (seeds[:, 6] < len(b))]  # rows that repeat an id may have another text
+    if not len(seeds):
+        return
+    # a passage has enough tokens near the seed that the other text has anywhere
+    both = np.concatenate([[0], np.cumsum(np.isin(b, a))])
+    share = 2 * percent / (100 + percent)
+    reach = 2 * width
+    first, last = np.maximum(seeds[:, 5], seeds[:, 4] - reach), np.minimum(seeds[:, 6], seeds[:, 4] + reach)
+    seeds = seeds[both[last + 1] - both[first] >= np.ceil(width * share - 1e-9)]
+    if not len(seeds):
+        return
+    covered = np.zeros(len(b), bool)
+    for _, *seed in seeds[in_order(seeds, width)].tolist():
+        if not covered[seed[3]]:
+            p = passage_around(a, b, tuple(seed), width, percent, words)
+            if p:
+                covered[p[2] : p[3] - words + 1] = True
+                yield p
+
+
+def _verified(seeds: DataFrame, docs: DataFrame, words: int, width: int, percent: int) -> DataFrame:
+    """Passages of ``seeds`` (a, a_txt, b, b_txt, function, and c, l, r in each) that hold. Columns: _PASSAGE."""
+    fields = ("function", "ca", "la", "ra", "cb", "lb", "rb")
+    pairs = seeds.groupBy("a", "a_txt", "b", "b_txt").agg(F.collect_set(F.struct(*fields)).alias("seeds"), F.max("rb").alias("n"))
     pairs = common.staged(pairs, "seeds", compression="zstd")
-    groups = pairs.groupBy("a").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("groups"))
-    # a centre's members are dealt into groups of bounded size, each with the centre's own text; texts join last
-    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("part"), F.lit(1).alias("role"), "b", F.transform("seeds", lambda s: F.array(*[s[k] for k in fields])).alias("seeds"))
-    centres = groups.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"), F.array().cast("array<array<int>>").alias("seeds"))
-    rows = centres.unionByName(members).join(common.texts(docs).withColumnRenamed("doc_id", "b"), "b")
+    # a frequent centre's members are dealt into parts, each with the centre's own text; texts join last
+    parts = F.broadcast(common.parts_of(pairs, "a_txt", F.col("n"), GROUP_TOKENS))
+    count = F.coalesce("parts", F.lit(1).cast("long"))
+    members = pairs.join(parts, "a_txt", "left").select("a", "a_txt", F.pmod(F.xxhash64("b_txt"), count).alias("part"), F.lit(1).alias("role"), "b", "b_txt", "seeds")
+    nothing = F.array().cast(members.schema["seeds"].dataType).alias("seeds")
+    centres = pairs.select("a", "a_txt").distinct().join(parts, "a_txt", "left").select("a", "a_txt", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"), F.col("a_txt").alias("b_txt"), nothing)
+    texts = common.texts(docs).select(F.col("doc_id").alias("b"), digest_column().alias("b_txt"), "text")
+    rows = centres.unionByName(members).join(texts, ["b", "b_txt"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, centres = None, []
-        for batch in batches:
+        key, centre, last = None, None, None
+        for batch in common.slices(batches):
             out: list[tuple] = []
-            for a, part, role, b, own, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                tokens = ngrams(text, words)
-                if (a, part) != key:
-                    key, centres = (a, part), []
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+            own = batch.column(5)
+            for k, ((a, a_txt, role, b, b_txt), tokens) in enumerate(zip(names, ngrams_of(batch.column(6).to_pylist(), words), strict=True)):
                 if role == 0:
-                    centres.append(tokens)
-                    continue
-                for centre in centres:  # more than one only where rows repeat an id
-                    covered = np.zeros(len(tokens), bool)
-                    for seed in sorted(own, key=lambda s: (s[4] - s[5], s)):  # the widest first
-                        if seed[3] < len(tokens) and not covered[seed[3]]:
-                            p = passage_around(centre, tokens, seed, width, percent, words)
-                            if p:
-                                covered[p[2] : p[3] - words + 1] = True
-                                out.append((a, p[0], p[1], b, p[2], p[3], p[4]))
-            yield pa.RecordBatch.from_pylist([dict(zip((f.split()[0] for f in _PASSAGE.split(", ")), x, strict=True)) for x in out], schema=_ARROW)
-
-    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
-    return dealt.select("a", "part", "role", "b", "seeds", "text").mapInArrow(run, _PASSAGE)
-
+                    key, centre, last = (a, a_txt), tokens, None
+                elif key == (a, a_txt) and (b, b_txt) != last:  # rows that repeat an id and text are neighbours
+                    last = b, b_txt
+                    table = np.column_stack([own[k].values.field(f).to_numpy() for f in range(7)])
+                    out += [(a, a_txt, p[0], p[1], b, b_txt, *p[2:]) for p in pair_passages(centre, tokens, table, width, percent, words)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-_ARROW = pa.schema([("a", pa.int64()), ("a_start", pa.int32()), ("a_end", pa.int32()), ("b", pa.int64()), ("b_start", pa.int32()), ("b_end", pa.int32()), ("similarity", pa.float64())])
+    dealt = rows.repartition("a", "a_txt", "part").sortWithinPartitions("a", "a_txt", "part", "role", "b", "b_txt")
+    return dealt.select("a", "a_txt", "role", "b", "b_txt", "seeds", "text").mapInArrow(run, _PASSAGE)
 
 
-def _around_centre(held: DataFrame) -> DataFrame:
-    """Seeds of each bucket (key): its other windows against the window of its least document."""
-    centre = held.groupBy("key").agg(F.min(F.struct("doc", "c", "l", "r")).alias("m"))
-    joined = held.join(centre, "key").where(F.col("doc") != F.col("m.doc"))
-    return joined.select(F.col("m.doc").alias("a"), F.col("doc").alias("b"), "function", F.col("m.c").alias("ca"), F.col("m.l").alias("la"), F.col("m.r").alias("ra"), F.col("c").alias("cb"), F.col("l").alias("lb"), F.col("r").alias("rb"))
+def _around_centre(held: DataFrame, hot: DataFrame) -> DataFrame:
+    """Seeds of each bucket (key): its other windows against the first window of its least document."""
+    joined = common.with_totals(held, "key", hot, m=F.min(F.struct("doc", "txt", "c", "l", "r"))).where(F.col("doc") != F.col("m.doc"))
+    return joined.select(F.col("m.doc").alias("a"), F.col("m.txt").alias("a_txt"), F.col("doc").alias("b"), F.col("txt").alias("b_txt"), "function", F.col("m.c").alias("ca"), F.col("m.l").alias("la"), F.col("m.r").alias("ra"), F.col("c").alias("cb"), F.col("l").alias("lb"), F.col("r").alias("rb"))
 
 
 def _contexts(rest: DataFrame, docs: DataFrame, words: int, width: int) -> DataFrame:
-    """``rest`` (key, doc, c, l, r, linked, h, halves) with the window's tokens up to 3 widths from c, 32 bits of each."""
+    """``rest`` (key, doc, txt, c, l, r, linked, h, halves) with the window's tokens up to 3 widths from c, 32 bits of each."""
     fields = ("key", "c", "l", "r", "linked", "h", "halves")
-    own = rest.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("ws"))
-    rows = common.texts(docs).withColumnRenamed("doc_id", "doc").join(own, "doc").select("doc", "ws", "text")
-    schema = "key long, doc long, c int, l int, r int, linked boolean, h long, halves long, tokens binary"
-    arrow = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("linked", pa.bool_()), ("h", pa.int64()), ("halves", pa.int64()), ("tokens", pa.binary())])
+    own = rest.groupBy("doc", "txt").agg(F.collect_list(F.struct(*fields)).alias("ws"))
+    texts = common.texts(docs).select(F.col("doc_id").alias("doc"), digest_column(), "text")
+    rows = texts.join(own, ["doc", "txt"]).groupBy("doc", "txt").agg(F.first("ws").alias("ws"), F.first("text").alias("text"))
+    schema = "key long, doc long, txt long, c int, l int, r int, linked boolean, h long, halves long, tokens binary"
+    arrow = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[f.split()[1]]) for f in schema.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for i in range(batch.num_rows):
-                doc, tokens = batch.column(0)[i].as_py(), ngrams(batch.column(2)[i].as_py(), words)
-                ws = batch.column(1)[i].values
-                key, c, left, right = (ws.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                linked, h, halves = (ws.field(k).to_pylist() for k in range(4, 7))
-                fits = (right < len(tokens)).nonzero()[0]
-                if not len(fits):
-                    continue
-                # rows that repeat an id may have another text
-                seeds = np.array(_SEEDS)[key[fits] & 7]
-                fits = fits[((mix(tokens[c[fits]] ^ seeds) & ~np.uint64(7)) | (key[fits] & 7).astype(np.uint64)).view(np.int64) == key[fits]]
+        for batch in common.slices(batches, 64):
+            for i, tokens in enumerate(ngrams_of(batch.column(3).to_pylist(), words)):
+                ws = batch.column(2)[i].values
                 low = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                for k in fits.tolist():
-                    first, last = max(left[k], c[k] - 3 * width), min(right[k], c[k] + 3 * width)
-                    out.append((int(key[k]), doc, int(c[k]), int(left[k]), int(right[k]), linked[k], h[k], halves[k], low[first : last + 1].tobytes()))
-                if len(out) >= 2_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-
-    return rows.mapInArrow(run, schema)
-
+                for part in (ws.slice(k, 2_000) for k in range(0, len(ws), 2_000)):
+                    c, left, right = (part.field(k).to_numpy() for k in (1, 2, 3))
+                    first, last = np.maximum(left, c - 3 * width), np.minimum(right, c + 3 * width)
+                    around = [low[x : y + 1].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                    names = [pa.array(np.full(len(part), batch.column(k)[i].as_py()), pa.int64()) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([part.field(0), *names, *(part.field(k) for k in range(1, 7)), pa.array(around, pa.binary())], schema=arrow)
 
-def _counted(entries: np.ndarray, weights: np.ndarray, low: np.ndarray, high: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(b * n + a, shared positions) of the windows ``entries`` (b) and those of the ranges ``low`` to ``high`` in ``owners``."""
-    counts = high - low
-    at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    codes, place = np.unique(np.repeat(entries, counts) * n + owners[at], return_inverse=True)
-    return codes, np.bincount(place, np.repeat(weights, counts), len(codes))
+    return rows.select("doc", "txt", "ws", "text").mapInArrow(run, schema)
 
 
-def cell_candidates(contexts: list[np.ndarray], at: list[int], allowed: np.ndarray, width: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(b, its a's): every window b with those of whose tokens it holds enough for a passage. ``at``: the seed's
-    place in its context; ``allowed``: whether a window needs to be looked at as b.
+class Cell:
+    """All pairs of a bucket's windows (doc, txt, c, l, r, linked, half, tokens), sorted, that still matter.
 
-    A passage has at least ``width`` tokens of b that are at most 2 widths from the seed, of which the share that
-    ``stretch_near`` asks for is in a. Tokens on many windows are counted as shared at first.
+    Windows are joined to components by the passages that are found; those that the centre links are one. A pair
+    matters if it lies in two components, or if its greater document has no passage from a lesser one yet.
+    Tokens that only one window holds, or only windows whose pairs don't matter, count for nothing, and a window
+    that has too few others around its seed for a passage is done; so what is left shrinks as passages are found.
     """
-    n, cost = len(contexts), 2 * percent / (100 - percent)
-    need = int(np.ceil(width * cost / (1 + cost) - 1e-9))
-    lengths = np.array([len(x) for x in contexts])
-    owner = np.repeat(np.arange(n), lengths)
-    everything = np.concatenate(contexts).astype(np.int64)
-    index = np.unique(everything << 31 | owner)
-    tokens, owners = index >> 31, index & (1 << 31) - 1
-    distance = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths + np.array(at), lengths)
-    mine = (np.abs(distance) <= 2 * width) & allowed[owner]
-    entries, weights = np.unique(owner[mine] << 32 | everything[mine], return_counts=True)
-    del everything, owner, distance, mine, index
-    b, wanted = entries >> 32, entries & (1 << 32) - 1
-    low, high = np.searchsorted(tokens, wanted, "left"), np.searchsorted(tokens, wanted, "right")
-    common_token = high - low > COMMON
-    sure = np.bincount(b, weights * common_token, n)
-    dense = sure >= need  # the other tokens don't decide
-    used = (high - low > 1) & (~common_token | dense[b])
-    b, weights, low, high = b[used], weights[used], low[used], high[used]
-    # whole windows, as many at a time as CHUNK holds
-    ends = np.append(np.flatnonzero(np.diff(b)) + 1, len(b)) if len(b) else np.zeros(0, np.int64)
-    total = np.append(0, np.cumsum(high - low))
-    first = 0
-    while first < len(b):
-        last = int(ends[max(np.searchsorted(ends, first, "right"), np.searchsorted(total[ends], total[first] + CHUNK, "right") - 1)])
-        codes, shared = _counted(b[first:last], weights[first:last], low[first:last], high[first:last], owners, n)
-        its, other = codes // n, codes % n
-        hit = (shared + np.where(dense[its], 0, sure[its]) >= need) & (its != other)
-        its, other = its[hit], other[hit]
-        cuts = np.flatnonzero(np.diff(its)) + 1
-        yield from ((int(its[k]), other[k:e]) for k, e in zip([0, *cuts], [*cuts, len(its)], strict=True) if e > k)
-        first = last
-
-
-def cell_seeds(rows: list[tuple], width: int, percent: int, words: int) -> Iterator[tuple]:
-    """Seeds (a, b, function, ca, la, ra, cb, lb, rb) of a cell's windows (doc, c, l, r, linked, half, tokens), sorted.
-
-    A pair is left out where its tokens around the seed make no passage, or where passages that were found link
-    the two already and b has one from a lesser document.
-    """
-    doc = np.array([r[0] for r in rows])
-    linked, half = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-    inside = half.all() or not half.any()
-    contexts = [np.frombuffer(r[6], np.uint32) for r in rows]
-    starts = [max(r[2], r[1] - 3 * width) for r in rows]
-    at = [r[1] - s for r, s in zip(rows, starts, strict=True)]
-    if linked.all() or doc[0] == doc[-1]:
-        return
-    parent = [len(rows) if own else k for k, own in enumerate(linked.tolist())] + [len(rows)]  # the last: the centre
-    lesser = linked.copy()
-    place = np.array([r[1] for r in rows])
-    # windows that their contexts hold whole, and the distinct tokens of each by number
-    whole = [len(x) == r[3] - r[2] + 1 for x, r in zip(contexts, rows, strict=True)]
-    numbers: dict[bytes, int] = {}
-    kinds = [np.unique(x) for x in contexts]
-    kind = [numbers.setdefault(x.tobytes(), len(numbers)) for x in kinds]
-    spans: dict[tuple[int, int], int] = {}
-
-    def span(a: int, b: int) -> int:
-        """How far the tokens of a's window that b's holds lie apart."""
-        if (a, kind[b]) not in spans:
-            shared = np.flatnonzero(np.isin(contexts[a], kinds[b]))
-            spans[a, kind[b]] = int(shared[-1] - shared[0]) + 1
-        return spans[a, kind[b]]
-
-    def inside_of(k: int, first: int, last: int) -> range:
-        """Windows of k's document with their token in a part of k's context."""
-        low, high = np.searchsorted(doc, doc[k], "left"), np.searchsorted(doc, doc[k], "right")
-        return range(*(int(low + np.searchsorted(place[low:high], starts[k] + v, side)) for v, side in ((first, "left"), (last, "right"))))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for b, others in cell_candidates(contexts, at, doc > doc[0], width, percent):
-        possible = (doc[others] < doc[b]) & ~(linked[others] & linked[b])
-        if not inside:
-            possible &= half[others] != half[b]
-        for a in others[possible].tolist():
-            x, y = find(a), find(b)
-            if x == y and lesser[b] or whole[a] and whole[b] and span(a, b) < width:
-                continue
-            seed = (at[a], 0, len(contexts[a]) - 1, at[b], 0, len(contexts[b]) - 1)
-            near = stretch_near(contexts[a], contexts[b], seed, width, percent)
-            if near is None:
+
+    def __init__(self, rows: list[tuple], width: int, percent: int, words: int):
+        self.rows, self.width, self.percent, self.words, self.n = rows, width, percent, words, len(rows)
+        docs, linked, half = zip(*((r[0], r[5], r[6]) for r in rows), strict=True)
+        self.doc, self.linked, self.half = np.array(docs), np.array(linked), np.array(half)
+        self.crosswise = bool(self.half.any() and not self.half.all())
+        self.contexts = [np.frombuffer(r[7], np.uint32) for r in rows]
+        self.starts = np.array([max(r[3], r[2] - 3 * width) for r in rows])
+        self.place = np.array([r[2] for r in rows])
+        self.at = self.place - self.starts
+        self.component = np.where(self.linked, self.n, np.arange(self.n))
+        self.lesser = self.linked.copy()
+        self.failed: set[tuple] = set()
+        cost = 2 * percent / (100 - percent)
+        self.need = int(np.ceil(width * cost / (1 + cost) - 1e-9))
+
+    def matters(self, a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
+        possible = (self.doc[a] < self.doc[b]) & ((self.component[a] != self.component[b]) | ~self.lesser[b])
+        return possible & (self.half[a] != self.half[b]) if self.crosswise else possible
+
+    def tried(self, a: int, b: int) -> Iterator[tuple]:
+        """The seed of this pair if the tokens around it make a passage; what the passage joins is joined."""
+        what = (self.masked[a], self.masked[b]) if self.masked else (a, b)
+        if what in self.failed:
+            return
+        x, y = self.contexts[a], self.contexts[b]
+        seed = (int(self.at[a]), 0, len(x) - 1, int(self.at[b]), 0, len(y) - 1)
+        near = stretch_near(x, y, seed, self.width, self.percent)
+        if near is None:
+            self.failed.add(what)
+            return
+        yield *self.rows[a][:2], *self.rows[b][:2], *self.rows[a][2:5], *self.rows[b][2:5]
+        p = passage_of(x, y, seed, *near, self.width, self.percent, self.words)
+        if p:
+            self._join(a, b)
+            self.lesser[b] = True
+            # the passage joins the windows of the two texts whose tokens it covers
+            for k in self._inside(a, p[0], p[1] - self.words):
+                self._join(k, b)
+            for k in self._inside(b, p[2], p[3] - self.words):
+                self._join(k, b)
+                self.lesser[k] = True
+
+    def _inside(self, k: int, first: int, last: int) -> range:
+        low, high = np.searchsorted(self.doc, self.doc[k], "left"), np.searchsorted(self.doc, self.doc[k], "right")
+        return range(*(int(low + np.searchsorted(self.place[low:high], self.starts[k] + v, side)) for v, side in ((first, "left"), (last, "right"))))
+
+    def _join(self, x: int, y: int) -> None:
+        own, other = self.component[x], self.component[y]
+        if own != other:
+            self.component[self.component == own] = other
+
+    masked: list[bytes] = []
+
+    def seeds(self) -> Iterator[tuple]:
+        """a, a_txt, b, b_txt, ca, la, ra, cb, lb, rb of pairs that make a passage."""
+        if self.n < 2 or self.linked.all() or self.doc[0] == self.doc[-1]:
+            return
+        if self.n <= FEW:
+            for b in range(self.n):
+                for a in range(b):
+                    if self.matters(a, b):
+                        yield from self.tried(a, b)
+            return
+        self._index()
+        self._prune()
+        led = np.zeros(self.n, bool)
+        for _ in range(LEADERS):
+            left = np.flatnonzero(self.holds & ~led)
+            if not len(left):
+                return
+            leader = int(left[0])
+            led[leader] = True
+            own = np.zeros(len(self.alive), bool)
+            own[self.token[self.owner == leader]] = True
+            shared = np.bincount(self.owner[self.near & own[self.token]], minlength=self.n)
+            joined = 0
+            for b in np.flatnonzero((shared >= self.need) & self.matters(leader, np.arange(self.n))).tolist():
+                if self.matters(leader, b):
+                    before = self.component[b]
+                    yield from self.tried(leader, b)
+                    joined += before != self.component[b]
+            if joined < FEW:
+                break
+            self._prune()
+        yield from self._all_pairs()
+
+    def _index(self) -> None:
+        lengths = np.array([len(x) for x in self.contexts])
+        self.owner = np.repeat(np.arange(self.n), lengths)
+        kinds, self.token = np.unique(np.concatenate(self.contexts), return_inverse=True)
+        distance = np.arange(len(self.owner)) - np.repeat(np.cumsum(lengths) - lengths + self.at, lengths)
+        self.near = np.abs(distance) <= 2 * self.width
+        index = np.unique(self.token << 32 | self.owner)
+        self.index_token, self.index_owner = index >> 32, index & (1 << 32) - 1
+        self.first = np.searchsorted(self.index_token, np.arange(len(kinds) + 1))
+        several = np.diff(self.first) > 1
+        # what two windows' comparison rests on: equal ones fail alike
+        flat = np.where(several[self.token], self.token + 1, 0).astype(np.uint32)
+        self.masked = [xxhash.xxh64_digest(x.tobytes()) + int(k).to_bytes(4, "little") for x, k in zip(np.split(flat, np.cumsum(lengths)[:-1]), self.at, strict=True)]
+        self.alive, self.wanting = several, np.ones(self.n, bool)
+
+    def _prune(self) -> None:
+        """Which tokens and windows still matter."""
+        starts, own = self.first[:-1], self.index_owner
+        component, doc = self.component[own], self.doc[own]
+        least = np.minimum.reduceat(doc, starts)
+        several = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+        without = np.maximum.reduceat(np.where(self.lesser[own], np.iinfo(np.int64).min, doc), starts) > least
+        self.alive = self.alive & (several | without) & (np.maximum.reduceat(doc, starts) > least)
+        while True:
+            wanting = np.bincount(self.owner[self.near & self.alive[self.token]], minlength=self.n) >= self.need
+            alive = self.alive & np.maximum.reduceat(wanting[own], starts)
+            same = (wanting == self.wanting).all() and (alive == self.alive).all()
+            self.wanting, self.alive = wanting, alive
+            if same:
+                break
+        self.holds = np.zeros(self.n, bool)
+        self.holds[own[self.alive[self.index_token]]] = True
+
+    def _all_pairs(self) -> Iterator[tuple]:
+        components, ends = 0, np.cumsum(np.bincount(self.owner, minlength=self.n))
+        for b in range(self.n):
+            if components >= 64:
+                self._prune()
+                components = 0
+            if not self.wanting[b]:
                 continue
-            yield int(doc[a]), int(doc[b]), *rows[a][1:4], *rows[b][1:4]
-            p = passage_of(contexts[a], contexts[b], seed, *near, width, percent, words)
-            if p:
-                parent[x] = y
-                lesser[b] = True
-                # the passage links the windows of the two documents whose tokens it covers
-                for k in inside_of(a, p[0], p[1] - words):
-                    parent[find(k)] = y
-                for k in inside_of(b, p[2], p[3] - words):
-                    parent[find(k)] = y
-                    lesser[k] = True
+            part = slice(int(ends[b - 1]) if b else 0, int(ends[b]))
+            tokens = self.token[part][self.near[part]]
+            tokens, weights = np.unique(tokens[self.alive[tokens]], return_counts=True)
+            low, counts = self.first[tokens], self.first[tokens + 1] - self.first[tokens]
+            places = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            shared = np.bincount(self.index_owner[places], np.repeat(weights, counts), self.n)
+            others = np.flatnonzero(shared >= self.need)
+            others = others[self.matters(others, b)]
+            while len(others):
+                before = self.component[b]
+                yield from self.tried(int(others[0]), b)
+                others = others[1:]
+                if self.component[b] != before or self.lesser[b]:
+                    components += self.component[b] != before
+                    others = others[self.matters(others, b)]
 
 
 def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percent: int) -> DataFrame:
-    """Seeds of all pairs of windows of each bucket of ``rest`` but those that are linked. Columns as _around_centre."""
+    """Seeds of all pairs of windows of each bucket of ``rest`` that could join components. Columns as _around_centre."""
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("halves") - 1))
     # a window goes to each cell (i, j), i <= j, that its part h belongs to
     dealt = _contexts(rest, docs, words, width).withColumn("o", other)
-    cells = dealt.select("key", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), "doc", "c", "l", "r", "linked", (F.col("h") > F.col("o")).alias("half"), "tokens")
-    schema = "a long, b long, function long, ca int, la int, ra int, cb int, lb int, rb int"
-    names = [f.split()[0] for f in schema.split(", ")]
-    arrow = pa.schema([(k, pa.int64() if k in ("a", "b", "function") else pa.int32()) for k in names])
+    cells = dealt.select("key", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), "doc", "txt", "c", "l", "r", "linked", (F.col("h") > F.col("o")).alias("half"), "tokens")
+    schema = "a long, a_txt long, b long, b_txt long, ca int, la int, ra int, cb int, lb int, rb int, function long"
+    arrow = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.int32()) for f in schema.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> list[tuple]:
-            return [(a, b, key[0] & 7, *x) for a, b, *x in cell_seeds(held, width, percent, words)] if len(held) > 1 else []
+            return [(*x, key[0] & 7) for x in Cell(held, width, percent, words).seeds()] if len(held) > 1 else []
 
         key, held, out = None, [], []
         for batch in batches:
-            for k, i, j, *window in zip(*(batch.column(x).to_pylist() for x in range(10)), strict=True):
+            for k, i, j, *window in zip(*(batch.column(x).to_pylist() for x in range(11)), strict=True):
                 if (k, i, j) != key:
                     out += flush()
                     key, held = (k, i, j), []
@@ -368,58 +468,48 @@ def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percen
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "c").mapInArrow(run, schema)
-
-
-def _shared(found: DataFrame) -> DataFrame:
-    """The rows whose key is that of several documents; one exchange."""
-    key = Window.partitionBy("key")
-    return found.withColumns({"__least": F.min("doc").over(key), "__most": F.max("doc").over(key)}).where("__least < __most").drop("__least", "__most")
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "txt", "c").mapInArrow(run, schema)
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, rep, n_words: the least document with the same text."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "digest": pa.array(map(text_digest, own), pa.int64()), "n_words": pa.array(map(count_words, own), pa.int32())})
-
-    common.small_batches(docs.sparkSession)
-    found = common.staged(common.texts(docs.where("doc_id is not null")).mapInArrow(run, "doc_id long, digest long, n_words int"), "texts")
-    least = found.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    return common.staged(found.join(least, "digest").select("doc_id", "rep", "n_words").distinct(), "reps")
+    """doc_id, txt, n_words of every document, and rep, the least document with the same text."""
+    rows = common.texts(docs.where("doc_id is not null")).select("doc_id", digest_column(), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words"))
+    found = common.staged(rows, "texts")
+    return common.staged(common.with_totals(found, "txt", common.hot_keys(found, "txt"), rep=F.min("doc_id")).distinct(), "reps")
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, percent: int = PERCENT, functions: int = FUNCTIONS) -> DataFrame:
     """a, a_start, a_end, b, b_start, b_end, similarity: a passage of document b that document a < b has too, in
-    word positions (ends exclusive). A copy of a whole text is one passage.
+    word positions (ends exclusive). A copy of a whole text is one passage. Further, the digests a_txt and b_txt of
+    the texts that are meant, and ``cuts``, the ends of the runs of b's words that lie in shared tokens.
 
     Defined cases: a null or empty text, or one of fewer than ``min_words`` words, has no passage; a passage that
-    repeats within its own document only is none; rows that repeat an id and text count once, other rows of one
-    id are taken together under it; null ids and other columns are ignored; an empty table gives no rows.
+    repeats within its own document only is none; rows that repeat an id and text count once, texts that share an
+    id are not compared with each other; null ids and other columns are ignored; an empty table gives no rows.
     """
     width = min_words - words + 1
     reps = distinct_texts(docs)
-    shared = _shared(all_windows(docs, words, width, functions).withColumnRenamed("sig", "key"))
-    own = reps.select(F.col("doc_id").alias("doc"), "rep").distinct()
-    held = shared.join(own, "doc").select("key", F.col("rep").alias("doc"), "c", "l", "r").distinct().withColumn("function", F.col("key").bitwiseAND(F.lit(7)))
-    held = common.staged(held, "windows", compression="zstd")
-    first = common.staged(_verified(_around_centre(held), docs, words, width, percent), "passages")
-    spans = first.groupBy(F.col("a").alias("least"), F.col("b").alias("doc")).agg(F.collect_set(F.struct("b_start", "b_end")).alias("spans"))
-    bucket = Window.partitionBy("key")
+    found = common.staged(all_windows(docs.where("doc_id is not null"), words, width, functions), "windows", compression="zstd")
+    hot = common.hot_keys(found.select("key", "txt"), "key")
+    shared = common.with_totals(found, "key", hot, least=F.min("txt"), most=F.max("txt")).where("least < most").drop("least", "most").distinct()
+    own = reps.select("txt", F.col("rep").alias("doc")).distinct()
+    held = common.staged(shared.join(own, "txt").select("key", "doc", "txt", "c", "l", "r", F.col("key").bitwiseAND(F.lit(7)).alias("function")), "held", compression="zstd")
+    first = common.staged(_verified(_around_centre(held, hot), docs, words, width, percent), "passages")
+    spans = first.groupBy(F.col("a_txt").alias("least_txt"), F.col("b_txt").alias("txt")).agg(F.collect_set(F.struct("b_start", "b_end")).alias("spans"))
     # windows are linked by a passage with the bucket's least document that covers their token
-    known = held.withColumns({"least": F.min("doc").over(bucket), "most": F.max("doc").over(bucket)}).where("least < most").drop("most")
-    linked = F.expr(f"doc = least or coalesce(exists(spans, s -> s.b_start <= c and c + {words} <= s.b_end), false)")
-    known = known.join(spans, ["least", "doc"], "left").select("key", "doc", "c", "l", "r", linked.alias("linked"))
-    size = F.sum(F.expr(f"least(r, c + {3 * width}) - greatest(l, c - {3 * width}) + 1")).over(bucket)
-    rest = known.withColumns({"whole": F.bool_and("linked").over(bucket), "halves": F.ceil(size / CELL_TOKENS)}).where("not whole").drop("whole")
-    rest = common.staged(rest.withColumn("h", F.expr("pmod(xxhash64(doc, c), halves)")), "unexplained", compression="zstd")
+    known = common.with_totals(held, "key", hot, least=F.min(F.struct("doc", "txt")), most=F.max("doc"), members=F.count("*")).where("least.doc < most and members > 2")
+    linked = F.expr(f"doc = least_doc or coalesce(exists(spans, s -> s.b_start <= c and c + {words} <= s.b_end), false)")
+    known = known.withColumns({"least_doc": F.col("least.doc"), "least_txt": F.col("least.txt")}).join(spans, ["least_txt", "txt"], "left")
+    known = common.staged(known.select("key", "doc", "txt", "c", "l", "r", linked.alias("linked")), "known", compression="zstd")
+    size = F.sum(F.expr(f"least(r, c + {3 * width}) - greatest(l, c - {3 * width}) + 1"))
+    rest = common.with_totals(known, "key", hot, whole=F.bool_and("linked"), tokens=size).where("not whole")
+    rest = rest.withColumn("halves", F.ceil(F.col("tokens") / CELL_TOKENS)).drop("whole", "tokens")
+    rest = common.staged(rest.withColumn("h", F.expr("pmod(xxhash64(txt, c), halves)")), "unexplained", compression="zstd")
     seeds = common.staged(_cell_links(rest, docs, words, width, percent), "seeds", compression="zstd")
-    second = _verified(seeds, docs, words, width, percent, of_one=True)
+    second = _verified(seeds, docs, words, width, percent)
     copies = reps.where((F.col("doc_id") != F.col("rep")) & (F.col("n_words") >= min_words))
     zero, end, one = F.lit(0).alias("a_start"), F.col("n_words").alias("a_end"), F.lit(1.0).alias("similarity")
-    whole = copies.select(F.col("rep").alias("a"), zero, end, F.col("doc_id").alias("b"), zero.alias("b_start"), end.alias("b_end"), one).distinct()
+    whole = copies.select(F.col("rep").alias("a"), F.col("txt").alias("a_txt"), zero, end, F.col("doc_id").alias("b"), F.col("txt").alias("b_txt"), zero.alias("b_start"), end.alias("b_end"), one, F.array(F.lit(0), "n_words").alias("cuts"))
     return first.unionByName(second).distinct().unionByName(whole)
 
 
@@ -438,10 +528,6 @@ def word_starts(raw: bytes) -> np.ndarray:
     return np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
 
 
-def count_words(text: str) -> int:
-    return len(word_starts(text.encode("utf-8", "replace")))
-
-
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text less these word ranges, each with the white space after it."""
     raw = text.encode("utf-8", "replace")
@@ -455,24 +541,31 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def cut_repeats(docs: DataFrame, **parameters: int) -> DataFrame:
-    """``docs`` less every passage that a document of a smaller id has too; n_chars follows the text.
+    """``docs`` less every word of a repeated passage that a document of a smaller id has too; n_chars follows the text.
 
-    Rows of which nothing but white space is left go; all other rows stay, untouched if nothing is cut.
+    Words of the passage that lie in no shared 5-gram stay. A row loses only what its own text repeats, whatever
+    other rows share its id. Rows of which nothing but white space is left go; all other rows, those of a null id
+    too, stay, untouched if nothing is cut; the columns are those of ``docs``; an empty table gives no rows.
     """
     with common.scratch(docs.sparkSession):
         found = common.staged(repeated_passages(docs, **parameters), "found", keep=True)
-    spans = found.groupBy(F.col("b").alias("doc_id")).agg(F.sort_array(F.collect_set(F.struct("b_start", "b_end"))).alias("__spans"))
-    joined = docs.join(spans, "doc_id", "left")
-    untouched = joined.where("__spans is null").select(docs.columns)
-    at, cuts = docs.columns.index("text"), len(docs.columns)
+    names = {"b": "__cut_doc", "b_txt": "__cut_txt"}
+    cuts = found.groupBy("b", "b_txt").agg(F.collect_set("cuts").alias("__cuts")).withColumnsRenamed(names)
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__doc"), digest.alias("__txt"))
+    joined = rows.join(cuts, (F.col("__doc") == F.col("__cut_doc")) & (F.col("__txt") == F.col("__cut_txt")), "left")
+    untouched = joined.where("__cuts is null").select("__row.*")
+    at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = [without_spans(t or "", [(s["b_start"], s["b_end"]) for s in own]) for t, own in zip(b.column(at).to_pylist(), b.column(cuts).to_pylist(), strict=True)]
-            columns = {f.name: b.column(k) for k, f in enumerate(b.schema) if k < cuts}
+        for b in common.slices(batches):
+            row, own = b.column(0), b.column(1).to_pylist()
+            spans = [[(c[k], c[k + 1]) for c in x for k in range(0, len(c), 2)] for x in own]
+            new = [without_spans(t or "", s) for t, s in zip(row.field(at).to_pylist(), spans, strict=True)]
+            columns = {f.name: row.field(k) for k, f in enumerate(row.type)}
             columns["text"] = pa.array(new, pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array(map(len, new), columns["n_chars"].type)
             yield pa.RecordBatch.from_pydict(columns).filter(pa.array([bool(t.strip()) for t in new], pa.bool_()))
 
-    return untouched.unionByName(joined.where("__spans is not null").select(*docs.columns, "__spans").mapInArrow(run, docs.schema))
+    return untouched.unionByName(joined.where("__cuts is not null").select("__row", "__cuts").mapInArrow(run, docs.schema))

@@ -190,10 +190,9 @@ def payload_of(text: str) -> tuple[int, bytes]:
 
 def store_media(docs: DataFrame) -> DataFrame:
     """Write each text as a container into the shared folder; the table doc_id, n_bytes, media."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             n, payloads = zip(*map(payload_of, b.column(1).to_pylist()), strict=True) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": pa.array(n, pa.int64()), "media": pa.array(map(write_raw_video, payloads), pa.binary())})
 
@@ -202,7 +201,6 @@ def store_media(docs: DataFrame) -> DataFrame:
 
 def media_digests(media: DataFrame) -> DataFrame:
     """Read stored containers back and describe them. Columns: SCHEMA."""
-    common.small_batches(media.sparkSession)
 
     def row(doc: int, n_bytes: int, data: bytes) -> tuple:
         (track,) = probe(data)
@@ -213,7 +211,7 @@ def media_digests(media: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             rows = [row(*x) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             columns = zip(*rows, strict=True) if rows else ([] for _ in names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)

@@ -112,10 +112,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_margin: float = M
 
 def identified(docs: DataFrame, model: CompressionClassifier) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of ``docs``."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             lang, score, rejected = zip(*map(model.predict, b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array(rejected, pa.bool_())})
 
@@ -125,11 +124,10 @@ def identified(docs: DataFrame, model: CompressionClassifier) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: CompressionClassifier) -> DataFrame:
     """The rows of ``docs``, all columns, that are not rejected."""
-    common.small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             yield b.filter(pa.array([not model.predict(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -36,6 +36,8 @@ WORDS, PERCENT = 3, 90
 BAND_RATIO, GROUP_NGRAMS = 1.5, 1_000_000
 #: Cost of a chance meeting against that of a signature.
 MEETING_COST = 20.0
+#: Bytes of texts that are hashed together.
+BYTES_AT_ONCE = 1 << 19
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -58,31 +60,54 @@ def _powers_of(base: np.uint64, n: int) -> np.ndarray:
     return held
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each maximal run of bytes other than 9 to 13 and 32, A-Z in lower case."""
-    b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+def _hashed(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each maximal run of bytes other than 9 to 13 and 32, A-Z in lower case, and where it starts."""
     inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), starts
     lower = b + np.where((b >= 65) & (b <= 90), 33, 1).astype(np.uint16)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lower * _powers_of(_PRIME, len(b))[: len(b)], dtype=np.uint64)])
-    return mix((sums[ends] - sums[starts]) * _powers_of(_INVERSE, len(b))[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * _powers_of(_INVERSE, len(b))[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def ngrams(text: str, words: int) -> np.ndarray:
-    """Hashes of the n-grams in text order; fewer words than that make one n-gram."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    n = min(words, len(w))
-    out = np.full(len(w) - n + 1, n, np.uint64)
+def _grams(w: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of word hashes; there are at least n words, or none."""
+    out = np.full(max(0, len(w) - n + 1), n, np.uint64)
     for k in range(n):
         out = mix(out * _PRIME + w[k : len(w) - n + 1 + k])
     return out
 
 
+def ngrams(text: str, words: int) -> np.ndarray:
+    """Hashes of the n-grams in text order; fewer words than that make one n-gram."""
+    return _together([text.encode("utf-8", "replace")], words)[0]
+
+
+def ngrams_of(texts: list[str], words: int) -> list[np.ndarray]:
+    """``ngrams`` of each of several texts, which are hashed together."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    out: list[np.ndarray] = []
+    first = 0
+    while first < len(raw):
+        last, size = first + 1, len(raw[first])
+        while last < len(raw) and size + len(raw[last]) <= BYTES_AT_ONCE:
+            size += len(raw[last]) + 1
+            last += 1
+        out += _together(raw[first:last], words)
+        first = last
+    return out
+
+
+def _together(raw: list[bytes], words: int) -> list[np.ndarray]:
+    w, starts = _hashed(np.frombuffer(b"\n".join(raw), np.uint8))
+    ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
+    firsts = np.concatenate([[0], ends[:-1]])
+    grams = _grams(w, words) if len(w) >= words else w[:0]
+    return [grams[a : b - words + 1] if b - a >= words else _grams(w[a:b], max(1, b - a)) for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
+
+
 def ngram_set(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(ngrams(text, words))
 

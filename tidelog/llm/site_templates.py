@@ -236,10 +236,9 @@ def host(url: str) -> F.Column:
 
 def subtree_counts(pages: DataFrame, min_pages: int) -> DataFrame:
     """host, digest, n: the host's pages that hold the subtree, of those on ``min_pages`` at least; a null digest: all its pages."""
-    common.small_batches(pages.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             hosts, found = [], []
             for name, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = page_digests(source or "")
@@ -266,10 +265,9 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
     parts = F.coalesce("parts", F.lit(1))
     known = templates(counts, min_share).join(hosts, "host", "left").select("host", "template", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     dealt = pages.select("page_id", "url", "html", host("url").alias("host")).join(hosts, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "html"), parts)).drop("parts")
-    common.small_batches(pages.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             out = [main_text(source or "", set(found or ())) for source, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": b.column(0), "url": b.column(1), "text": pa.array(out, pa.string()), "n_chars": pa.array(map(len, out), pa.int64())})
 

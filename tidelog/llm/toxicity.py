@@ -175,10 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 def scored(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             scores = [model.score(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(scores, pa.float64())})
 
@@ -188,11 +187,10 @@ def scored(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD) ->
 
 def keep_clean(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose whole text scores below the threshold."""
-    common.small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             yield b.filter(pa.array([model.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
