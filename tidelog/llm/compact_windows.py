@@ -40,7 +40,20 @@ CELL_TOKENS, FEW, LEADERS = 2_000_000, 6, 8
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * j + 1) & (1 << 64) - 1) for j in range(8)]
 _WINDOW = "key long, txt long, c int, l int, r int"
 _PASSAGE = "a long, a_txt long, a_start int, a_end int, b long, b_txt long, b_start int, b_end int, similarity double, cuts array<int>"
-_ARROW = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}.get(f.split()[1], pa.list_(pa.int32()))) for f in _PASSAGE.split(", ")])
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+_ARROW = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in _PASSAGE.split(", ")])
+
+
+def among(x: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``pool``, which isn't empty."""
+    at = pool.searchsorted(x)
+    at[at == len(pool)] = 0
+    return pool[at] == x
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def _sliding(least: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -134,7 +147,7 @@ def _scores(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: int, per
     cost = 2 * percent / (100 - percent)
     first, last = max(lb, cb - reach), min(rb, cb + reach)
     own = a[max(la, ca - reach - width) : min(ra, ca + reach + width) + 1]
-    score = np.where(np.isin(b[first : last + 1], own), 1.0, -cost)
+    score = np.where(among(b[first : last + 1], np.sort(own)), 1.0, -cost)
     return np.cumsum(score[: cb - first + 1][::-1]), np.cumsum(score[cb - first :])
 
 
@@ -151,16 +164,17 @@ def passage_of(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], x: int, y: i
     start, end = cb - x, cb + y
     first = max(la, ca - x - width // 4)
     # the part of a's window that runs along with it
-    near = np.flatnonzero(np.isin(a[first : min(ra, ca + y + width // 4) + 1], b[start : end + 1])) + first
+    other = distinct(b[start : end + 1])
+    near = np.flatnonzero(among(a[first : min(ra, ca + y + width // 4) + 1], other)) + first
     a_start, a_end = int(near[0]), int(near[-1])
     if end - start + 1 < width or a_end - a_start + 1 < width:
         return None
-    own, other = np.unique(a[a_start : a_end + 1]), np.unique(b[start : end + 1])
-    both = np.intersect1d(own, other, assume_unique=True)
+    own = distinct(a[a_start : a_end + 1])
+    both = own[among(own, other)]
     similarity = len(both) / (len(own) + len(other) - len(both))
     if 100 * similarity < percent:
         return None
-    covered = np.convolve(np.isin(b[start : end + 1], both), np.ones(words, np.int64)) > 0
+    covered = np.convolve(among(b[start : end + 1], both), np.ones(words, np.int64)) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]))) + start
     return a_start, a_end + words, start, end + words, similarity, edges.tolist()
 
@@ -202,13 +216,13 @@ def in_order(seeds: np.ndarray, width: int) -> np.ndarray:
     return np.lexsort((seeds[:, 4], seeds[:, 5] - seeds[:, 6], ~meets))
 
 
-def pair_passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray, width: int, percent: int, words: int) -> Iterator[tuple]:
+def pair_passages(a: np.ndarray, a_sorted: np.ndarray, b: np.ndarray, seeds: np.ndarray, width: int, percent: int, words: int) -> Iterator[tuple]:
     """The passages of two texts' tokens around these seeds."""
     seeds = seeds[(seeds[:, 3] < len(a)) & (seeds[:, 6] < len(b))]  # rows that repeat an id may have another text
     if not len(seeds):
         return
     # a passage has enough tokens near the seed that the other text has anywhere
-    both = np.concatenate([[0], np.cumsum(np.isin(b, a))])
+    both = np.concatenate([[0], np.cumsum(among(b, a_sorted))])
     share = 2 * percent / (100 + percent)
     reach = 2 * width
     first, last = np.maximum(seeds[:, 5], seeds[:, 4] - reach), np.minimum(seeds[:, 6], seeds[:, 4] + reach)
@@ -239,18 +253,18 @@ def _verified(seeds: DataFrame, docs: DataFrame, words: int, width: int, percent
     rows = centres.unionByName(members).join(texts, ["b", "b_txt"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, centre, last = None, None, None
+        key, centre, ordered, last = None, None, None, None
         for batch in common.slices(batches):
             out: list[tuple] = []
             names = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
             own = batch.column(5)
             for k, ((a, a_txt, role, b, b_txt), tokens) in enumerate(zip(names, ngrams_of(batch.column(6).to_pylist(), words), strict=True)):
                 if role == 0:
-                    key, centre, last = (a, a_txt), tokens, None
+                    key, centre, ordered, last = (a, a_txt), tokens, np.sort(tokens), None
                 elif key == (a, a_txt) and (b, b_txt) != last:  # rows that repeat an id and text are neighbours
                     last = b, b_txt
                     table = np.column_stack([own[k].values.field(f).to_numpy() for f in range(7)])
-                    out += [(a, a_txt, p[0], p[1], b, b_txt, *p[2:]) for p in pair_passages(centre, tokens, table, width, percent, words)]
+                    out += [(a, a_txt, p[0], p[1], b, b_txt, *p[2:]) for p in pair_passages(centre, ordered, tokens, table, width, percent, words)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
@@ -271,7 +285,7 @@ def _contexts(rest: DataFrame, docs: DataFrame, words: int, width: int) -> DataF
     texts = common.texts(docs).select(F.col("doc_id").alias("doc"), digest_column(), "text")
     rows = texts.join(own, ["doc", "txt"]).groupBy("doc", "txt").agg(F.first("ws").alias("ws"), F.first("text").alias("text"))
     schema = "key long, doc long, txt long, c int, l int, r int, linked boolean, h long, halves long, tokens binary"
-    arrow = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[f.split()[1]]) for f in schema.split(", ")])
+    arrow = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in schema.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 64):
@@ -306,6 +320,7 @@ class Cell:
         self.starts = np.array([max(r[3], r[2] - 3 * width) for r in rows])
         self.place = np.array([r[2] for r in rows])
         self.at = self.place - self.starts
+        self.whole = [len(x) == r[4] - r[3] + 1 for x, r in zip(self.contexts, rows, strict=True)]
         self.component = np.where(self.linked, self.n, np.arange(self.n))
         self.lesser = self.linked.copy()
         self.failed: set[tuple] = set()
@@ -317,27 +332,34 @@ class Cell:
         return possible & (self.half[a] != self.half[b]) if self.crosswise else possible
 
     def tried(self, a: int, b: int) -> Iterator[tuple]:
-        """The seed of this pair if the tokens around it make a passage; what the passage joins is joined."""
+        """The seed of this pair and its passage, if there is one; where the tokens around don't reach as far as the
+        windows, the seed alone if they make a passage. What the passage joins is joined."""
         what = (self.masked[a], self.masked[b]) if self.masked else (a, b)
         if what in self.failed:
             return
         x, y = self.contexts[a], self.contexts[b]
         seed = (int(self.at[a]), 0, len(x) - 1, int(self.at[b]), 0, len(y) - 1)
-        near = stretch_near(x, y, seed, self.width, self.percent)
-        if near is None:
+        if self.whole[a] and self.whole[b]:  # all that a passage may hold
+            p = passage_around(x, y, seed, self.width, self.percent, self.words)
+        else:
+            near = stretch_near(x, y, seed, self.width, self.percent)
+            p = near and passage_of(x, y, seed, *near, self.width, self.percent, self.words)
+            if near:
+                yield *self.rows[a][:2], *self.rows[b][:2], *self.rows[a][2:5], *self.rows[b][2:5], *(None,) * 6
+        if not p:
             self.failed.add(what)
             return
-        yield *self.rows[a][:2], *self.rows[b][:2], *self.rows[a][2:5], *self.rows[b][2:5]
-        p = passage_of(x, y, seed, *near, self.width, self.percent, self.words)
-        if p:
-            self._join(a, b)
-            self.lesser[b] = True
-            # the passage joins the windows of the two texts whose tokens it covers
-            for k in self._inside(a, p[0], p[1] - self.words):
-                self._join(k, b)
-            for k in self._inside(b, p[2], p[3] - self.words):
-                self._join(k, b)
-                self.lesser[k] = True
+        if self.whole[a] and self.whole[b]:
+            places = (int(v + self.starts[k]) for v, k in zip(p[:4], (a, a, b, b), strict=True))
+            yield *self.rows[a][:2], *self.rows[b][:2], *self.rows[a][2:5], *self.rows[b][2:5], *places, p[4], [v + int(self.starts[b]) for v in p[5]]
+        self._join(a, b)
+        self.lesser[b] = True
+        # the passage joins the windows of the two texts whose tokens it covers
+        for k in self._inside(a, p[0], p[1] - self.words):
+            self._join(k, b)
+        for k in self._inside(b, p[2], p[3] - self.words):
+            self._join(k, b)
+            self.lesser[k] = True
 
     def _inside(self, k: int, first: int, last: int) -> range:
         low, high = np.searchsorted(self.doc, self.doc[k], "left"), np.searchsorted(self.doc, self.doc[k], "right")
@@ -351,7 +373,7 @@ class Cell:
     masked: list[bytes] = []
 
     def seeds(self) -> Iterator[tuple]:
-        """a, a_txt, b, b_txt, ca, la, ra, cb, lb, rb of pairs that make a passage."""
+        """a, a_txt, b, b_txt, ca, la, ra, cb, lb, rb of pairs that make a passage; then the passage, null if it may be longer."""
         if self.n < 2 or self.linked.all() or self.doc[0] == self.doc[-1]:
             return
         if self.n <= FEW:
@@ -442,13 +464,14 @@ class Cell:
 
 
 def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percent: int) -> DataFrame:
-    """Seeds of all pairs of windows of each bucket of ``rest`` that could join components. Columns as _around_centre."""
+    """Seeds of all pairs of windows of each bucket of ``rest`` that could join components. Columns as _around_centre,
+    and those of a passage, null where the seed has yet to be followed beyond the tokens around it."""
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("halves") - 1))
     # a window goes to each cell (i, j), i <= j, that its part h belongs to
     dealt = _contexts(rest, docs, words, width).withColumn("o", other)
     cells = dealt.select("key", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), "doc", "txt", "c", "l", "r", "linked", (F.col("h") > F.col("o")).alias("half"), "tokens")
-    schema = "a long, a_txt long, b long, b_txt long, ca int, la int, ra int, cb int, lb int, rb int, function long"
-    arrow = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.int32()) for f in schema.split(", ")])
+    schema = "a long, a_txt long, b long, b_txt long, ca int, la int, ra int, cb int, lb int, rb int, a_start int, a_end int, b_start int, b_end int, similarity double, cuts array<int>, function long"
+    arrow = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in schema.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> list[tuple]:
@@ -506,7 +529,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_
     rest = rest.withColumn("halves", F.ceil(F.col("tokens") / CELL_TOKENS)).drop("whole", "tokens")
     rest = common.staged(rest.withColumn("h", F.expr("pmod(xxhash64(txt, c), halves)")), "unexplained", compression="zstd")
     seeds = common.staged(_cell_links(rest, docs, words, width, percent), "seeds", compression="zstd")
-    second = _verified(seeds, docs, words, width, percent)
+    second = _verified(seeds.where("cuts is null"), docs, words, width, percent).unionByName(seeds.where("cuts is not null").select(first.columns))
     copies = reps.where((F.col("doc_id") != F.col("rep")) & (F.col("n_words") >= min_words))
     zero, end, one = F.lit(0).alias("a_start"), F.col("n_words").alias("a_end"), F.lit(1.0).alias("similarity")
     whole = copies.select(F.col("rep").alias("a"), F.col("txt").alias("a_txt"), zero, end, F.col("doc_id").alias("b"), F.col("txt").alias("b_txt"), zero.alias("b_start"), end.alias("b_end"), one, F.array(F.lit(0), "n_words").alias("cuts"))
