@@ -67,12 +67,14 @@ def _drop(spark: SparkSession, paths: list[str]) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Staged tables of the block are dropped at its end; what is returned from it must rest on kept ones."""
+    """Staged tables of the block are dropped at its end; what is returned from it must rest on kept ones. Spark's
+    cleaner then finds the block's shuffle files: it drops those of frames that the driver's JVM has collected."""
     _scopes.open.append([])
     try:
         yield
     finally:
         _drop(spark, _scopes.open.pop())
+        spark._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:

@@ -7,13 +7,13 @@ at least as wide as a passage are the compact windows; there are about 2n / widt
 of one range are nodes of the whole range; of a run that repeats itself only the first and last are kept.
 
 Windows of different texts that share a min-hash meet in a bucket, where the window of the least document
-is the centre of the others. For every pair of texts, an interval join over all functions puts those
-windows first that overlap in both texts by a passage's width, and they are verified in that order: from a
-shared token, the stretch inside both windows is extended and accepted if it is long enough and the Jaccard
-similarity of the two passages' tokens is high enough; windows that a passage covers are done. Then every
-bucket of three windows or more that holds one without a passage from the centre is taken whole, in cells of
-bounded size: all pairs of its windows that could still join two components are compared by the tokens
-around them. So neither a frequent line nor an edited copy in a lesser document hides the passages around it.
+is the centre of the others. An interval join keeps the pairs of texts of which windows of two functions or
+more meet, overlapping in both texts by a passage's width. They are verified: from a shared token, the
+stretch inside both windows is extended and accepted if it is long enough and the Jaccard similarity of the
+two passages' tokens is high enough. Then every bucket that holds a window without a passage from the
+centre is taken whole, in cells of bounded size: all pairs of its windows that could still join two
+components are compared by the tokens around them, on this one function. So neither a frequent line nor an
+edited copy in a lesser document hides the passages around it.
 
 Texts are told apart by 64-bit digests; documents with equal texts are looked at once. A passage of
 similarity s is missed if no function agrees, with four functions and s = 0.8 one time in 625; exact
@@ -109,7 +109,8 @@ def digest_column() -> Column:
 
 
 def all_windows(docs: DataFrame, words: int, width: int, functions: int) -> DataFrame:
-    """The windows of every distinct text, once for each task that meets it; the low 3 bits of a key name the function."""
+    """The windows of every distinct text, once for each task that meets it; the low 3 bits of a key name the function.
+    A text that has windows has one row more, without a key, whose c is its number of words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -128,6 +129,9 @@ def all_windows(docs: DataFrame, words: int, width: int, functions: int) -> Data
             ends = np.cumsum([len(t) + 1 for _, t in tokens])
             starts = np.concatenate([[0], ends[:-1]]) + 1
             parting = np.concatenate([[0], ends])
+            every = np.array([n for n, _ in tokens], np.int64)
+            sizes, none = np.array([len(t) + words - 1 for _, t in tokens], np.int32), np.zeros(len(tokens), np.int32)
+            yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(tokens), pa.int64()), "txt": every, "c": sizes, "l": none, "r": none})
             for j in range(functions):
                 hashes = mix(row ^ _SEEDS[j]) | np.uint64(1)
                 hashes[parting] = 0
@@ -135,7 +139,7 @@ def all_windows(docs: DataFrame, words: int, width: int, functions: int) -> Data
                 text = np.searchsorted(ends, found[:, 1])
                 keys = (hashes[found[:, 1]] & ~np.uint64(7) | np.uint64(j)).view(np.int64)
                 left, c, right = (found - starts[text][:, None]).astype(np.int32).T
-                yield pa.RecordBatch.from_pydict({"key": keys, "txt": np.array([n for n, _ in tokens], np.int64)[text], "c": c, "l": left, "r": right})
+                yield pa.RecordBatch.from_pydict({"key": keys, "txt": every[text], "c": c, "l": left, "r": right})
 
     return common.texts(docs).select(digest_column(), "text").mapInArrow(run, _WINDOW)
 
@@ -204,24 +208,12 @@ def _longest(left: np.ndarray, right: np.ndarray) -> tuple[int, int]:
     return x, int(y[x])
 
 
-def in_order(seeds: np.ndarray, width: int) -> np.ndarray:
-    """The order in which a pair's seeds (function, ca, la, ra, cb, lb, rb) are verified: those that meet, in both
-    texts, the windows of another function by a passage's width first; then the widest."""
-    meets = np.zeros(len(seeds), bool)
-    step = max(1, 2_000_000 // len(seeds))
-    for k in range(0, len(seeds), step):
-        some = seeds[k : k + step, None, :]
-        over = np.minimum(some[..., (3, 6)], seeds[None, :, (3, 6)]) - np.maximum(some[..., (2, 5)], seeds[None, :, (2, 5)]) + 1
-        meets[k : k + step] = ((over >= width).all(2) & (some[..., 0] != seeds[None, :, 0])).any(1)
-    return np.lexsort((seeds[:, 4], seeds[:, 5] - seeds[:, 6], ~meets))
-
-
 def pair_passages(a: np.ndarray, a_sorted: np.ndarray, b: np.ndarray, seeds: np.ndarray, width: int, percent: int, words: int) -> Iterator[tuple]:
     """The passages of two texts' tokens around these seeds."""
     seeds = seeds[(seeds[:, 3] < len(a)) & (seeds[:, 6] < len(b))]  # rows that repeat an id may have another text
     if not len(seeds):
         return
-    # a passage has enough tokens near the seed that the other text has anywhere
+    # a passage has enough tokens near the seed that the other text has somewhere
     both = np.concatenate([[0], np.cumsum(among(b, a_sorted))])
     share = 2 * percent / (100 + percent)
     reach = 2 * width
@@ -230,7 +222,7 @@ def pair_passages(a: np.ndarray, a_sorted: np.ndarray, b: np.ndarray, seeds: np.
     if not len(seeds):
         return
     covered = np.zeros(len(b), bool)
-    for _, *seed in seeds[in_order(seeds, width)].tolist():
+    for _, *seed in seeds[np.lexsort((seeds[:, 4], seeds[:, 5] - seeds[:, 6]))].tolist():  # the widest first
         if not covered[seed[3]]:
             p = passage_around(a, b, tuple(seed), width, percent, words)
             if p:
@@ -238,10 +230,14 @@ def pair_passages(a: np.ndarray, a_sorted: np.ndarray, b: np.ndarray, seeds: np.
                 yield p
 
 
-def _verified(seeds: DataFrame, docs: DataFrame, words: int, width: int, percent: int) -> DataFrame:
-    """Passages of ``seeds`` (a, a_txt, b, b_txt, function, and c, l, r in each) that hold. Columns: _PASSAGE."""
+def _verified(seeds: DataFrame, docs: DataFrame, words: int, width: int, percent: int, of_one: bool = False) -> DataFrame:
+    """Passages of ``seeds`` (a, a_txt, b, b_txt, function, and c, l, r in each) that hold; of pairs whose windows meet in
+    two functions, overlapping in both texts by a passage's width, or if so wanted ``of_one``. Columns: _PASSAGE."""
     fields = ("function", "ca", "la", "ra", "cb", "lb", "rb")
     pairs = seeds.groupBy("a", "a_txt", "b", "b_txt").agg(F.collect_set(F.struct(*fields)).alias("seeds"), F.max("rb").alias("n"))
+    if not of_one:
+        meets = f"least(x.ra, y.ra) - greatest(x.la, y.la) + 1 >= {width} and least(x.rb, y.rb) - greatest(x.lb, y.lb) + 1 >= {width}"
+        pairs = pairs.where(f"exists(seeds, x -> exists(seeds, y -> x.function < y.function and {meets}))")
     pairs = common.staged(pairs, "seeds", compression="zstd")
     # a frequent centre's members are dealt into parts, each with the centre's own text; texts join last
     parts = F.broadcast(common.parts_of(pairs, "a_txt", F.col("n"), GROUP_TOKENS))
@@ -411,8 +407,13 @@ class Cell:
         kinds, self.token = np.unique(np.concatenate(self.contexts), return_inverse=True)
         distance = np.arange(len(self.owner)) - np.repeat(np.cumsum(lengths) - lengths + self.at, lengths)
         self.near = np.abs(distance) <= 2 * self.width
-        index = np.unique(self.token << 32 | self.owner)
+        index, self.entry = np.unique(self.token << 32 | self.owner, return_inverse=True)
         self.index_token, self.index_owner = index >> 32, index & (1 << 32) - 1
+        # where a window holds a token first and last
+        position = np.arange(len(self.owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.index_low, self.index_high = np.full(len(index), len(position)), np.zeros(len(index), np.int64)
+        np.minimum.at(self.index_low, self.entry, position)
+        np.maximum.at(self.index_high, self.entry, position)
         self.first = np.searchsorted(self.index_token, np.arange(len(kinds) + 1))
         several = np.diff(self.first) > 1
         # what two windows' comparison rests on: equal ones fail alike
@@ -447,13 +448,23 @@ class Cell:
             if not self.wanting[b]:
                 continue
             part = slice(int(ends[b - 1]) if b else 0, int(ends[b]))
-            tokens = self.token[part][self.near[part]]
-            tokens, weights = np.unique(tokens[self.alive[tokens]], return_counts=True)
+            tokens = np.sort(self.token[part][self.near[part]])
+            tokens = tokens[self.alive[tokens]]
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            tokens, weights = tokens[first], np.diff(np.append(first, len(tokens)))
             low, counts = self.first[tokens], self.first[tokens + 1] - self.first[tokens]
             places = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
             shared = np.bincount(self.index_owner[places], np.repeat(weights, counts), self.n)
             others = np.flatnonzero(shared >= self.need)
             others = others[self.matters(others, b)]
+            if len(others):  # its tokens must lie as far apart in the other window as a passage does
+                whose = self.index_owner[places]
+                low, high = np.full(self.n, 1 << 30), np.zeros(self.n, np.int64)
+                np.minimum.at(low, whose, self.index_low[places])
+                np.maximum.at(high, whose, self.index_high[places])
+                others = others[high[others] - low[others] + 1 >= self.width]
+            if len(others):
+                others = others[self._dense(b, part, others)]
             while len(others):
                 before = self.component[b]
                 yield from self.tried(int(others[0]), b)
@@ -463,6 +474,27 @@ class Cell:
                     others = others[self.matters(others, b)]
 
 
+    def _dense(self, b: int, part: slice, others: np.ndarray) -> np.ndarray:
+        """``stretch_near`` of b beside each of the ``others`` at once: whether it is not None."""
+        at, length = int(self.at[b]), len(self.contexts[b])
+        first, last = max(0, at - 2 * self.width), min(length - 1, at + 2 * self.width)
+        tokens = self.token[part][first : last + 1]
+        place = np.flatnonzero(self.alive[tokens])
+        low, counts = self.first[tokens[place]], self.first[tokens[place] + 1] - self.first[tokens[place]]
+        entries = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        row = np.full(self.n, -1)
+        row[others] = np.arange(len(others))
+        row = row[self.index_owner[entries]]
+        score = np.full((len(others), last - first + 1), -2 * self.percent / (100 - self.percent), np.float32)
+        score[row[row >= 0], np.repeat(place, counts)[row >= 0]] = 1
+        left = np.cumsum(score[:, : at - first + 1][:, ::-1], axis=1)
+        right = np.cumsum(score[:, at - first :], axis=1)
+        beyond = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]  # the best end from here on
+        least = np.maximum(0, self.width - 1 - np.arange(left.shape[1]))
+        within = least < beyond.shape[1]
+        return (left[:, within] + beyond[:, least[within]] >= 1 - 1e-3).any(axis=1)
+
+
 def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percent: int) -> DataFrame:
     """Seeds of all pairs of windows of each bucket of ``rest`` that could join components. Columns as _around_centre,
     and those of a passage, null where the seed has yet to be followed beyond the tokens around it."""
@@ -495,12 +527,25 @@ def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percen
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, txt, n_words of every document, and rep, the least document with the same text."""
-    rows = common.texts(docs.where("doc_id is not null")).select("doc_id", digest_column(), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words"))
-    found = common.staged(rows, "texts")
+    """doc_id and txt of every document, and rep, the least document with the same text."""
+    found = common.staged(common.texts(docs.where("doc_id is not null")).select("doc_id", digest_column()), "texts")
     return common.staged(common.with_totals(found, "txt", common.hot_keys(found, "txt"), rep=F.min("doc_id")).distinct(), "reps")
 
 
+def _held(docs: DataFrame, reps: DataFrame, words: int, width: int, functions: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The windows that share a key with those of another text (key, doc, txt, c, l, r, function), the frequent keys,
+    and n_words of texts (txt) that have windows."""
+    with common.scratch(docs.sparkSession):
+        found = common.staged(all_windows(docs.where("doc_id is not null"), words, width, functions), "windows", compression="zstd")
+        sizes = common.staged(found.where("key is null").select("txt", F.col("c").alias("n_words")).distinct(), "sizes", keep=True)
+        found = found.where("key is not null")
+        hot = common.hot_keys(found.select("key", "txt"), "key")
+        shared = common.with_totals(found, "key", hot, least=F.min("txt"), most=F.max("txt")).where("least < most").drop("least", "most").distinct()
+        own = reps.select("txt", F.col("rep").alias("doc")).distinct()
+        held = shared.join(own, "txt").select("key", "doc", "txt", "c", "l", "r", F.col("key").bitwiseAND(F.lit(7)).alias("function"))
+        return common.staged(held, "held", keep=True, compression="zstd"), hot, sizes
+
+
 def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, percent: int = PERCENT, functions: int = FUNCTIONS) -> DataFrame:
     """a, a_start, a_end, b, b_start, b_end, similarity: a passage of document b that document a < b has too, in
     word positions (ends exclusive). A copy of a whole text is one passage. Further, the digests a_txt and b_txt of
@@ -511,26 +556,25 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_
     id are not compared with each other; null ids and other columns are ignored; an empty table gives no rows.
     """
     width = min_words - words + 1
+    spark = docs.sparkSession
     reps = distinct_texts(docs)
-    found = common.staged(all_windows(docs.where("doc_id is not null"), words, width, functions), "windows", compression="zstd")
-    hot = common.hot_keys(found.select("key", "txt"), "key")
-    shared = common.with_totals(found, "key", hot, least=F.min("txt"), most=F.max("txt")).where("least < most").drop("least", "most").distinct()
-    own = reps.select("txt", F.col("rep").alias("doc")).distinct()
-    held = common.staged(shared.join(own, "txt").select("key", "doc", "txt", "c", "l", "r", F.col("key").bitwiseAND(F.lit(7)).alias("function")), "held", compression="zstd")
-    first = common.staged(_verified(_around_centre(held, hot), docs, words, width, percent), "passages")
-    spans = first.groupBy(F.col("a_txt").alias("least_txt"), F.col("b_txt").alias("txt")).agg(F.collect_set(F.struct("b_start", "b_end")).alias("spans"))
-    # windows are linked by a passage with the bucket's least document that covers their token
-    known = common.with_totals(held, "key", hot, least=F.min(F.struct("doc", "txt")), most=F.max("doc"), members=F.count("*")).where("least.doc < most and members > 2")
-    linked = F.expr(f"doc = least_doc or coalesce(exists(spans, s -> s.b_start <= c and c + {words} <= s.b_end), false)")
-    known = known.withColumns({"least_doc": F.col("least.doc"), "least_txt": F.col("least.txt")}).join(spans, ["least_txt", "txt"], "left")
-    known = common.staged(known.select("key", "doc", "txt", "c", "l", "r", linked.alias("linked")), "known", compression="zstd")
-    size = F.sum(F.expr(f"least(r, c + {3 * width}) - greatest(l, c - {3 * width}) + 1"))
-    rest = common.with_totals(known, "key", hot, whole=F.bool_and("linked"), tokens=size).where("not whole")
-    rest = rest.withColumn("halves", F.ceil(F.col("tokens") / CELL_TOKENS)).drop("whole", "tokens")
-    rest = common.staged(rest.withColumn("h", F.expr("pmod(xxhash64(txt, c), halves)")), "unexplained", compression="zstd")
-    seeds = common.staged(_cell_links(rest, docs, words, width, percent), "seeds", compression="zstd")
-    second = _verified(seeds.where("cuts is null"), docs, words, width, percent).unionByName(seeds.where("cuts is not null").select(first.columns))
-    copies = reps.where((F.col("doc_id") != F.col("rep")) & (F.col("n_words") >= min_words))
+    held, hot, sizes = _held(docs, reps, words, width, functions)
+    with common.scratch(spark):
+        first = common.staged(_verified(_around_centre(held, hot), docs, words, width, percent), "passages", keep=True)
+    with common.scratch(spark):
+        spans = first.groupBy(F.col("a_txt").alias("least_txt"), F.col("b_txt").alias("txt")).agg(F.collect_set(F.struct("b_start", "b_end")).alias("spans"))
+        # windows are linked by a passage with the bucket's least document that covers their token
+        known = common.with_totals(held, "key", hot, least=F.min(F.struct("doc", "txt")), most=F.max("doc")).where("least.doc < most")
+        linked = F.expr(f"doc = least_doc or coalesce(exists(spans, s -> s.b_start <= c and c + {words} <= s.b_end), false)")
+        known = known.withColumns({"least_doc": F.col("least.doc"), "least_txt": F.col("least.txt")}).join(spans, ["least_txt", "txt"], "left")
+        known = common.staged(known.select("key", "doc", "txt", "c", "l", "r", linked.alias("linked")), "known", compression="zstd")
+        size = F.sum(F.expr(f"least(r, c + {3 * width}) - greatest(l, c - {3 * width}) + 1"))
+        rest = common.with_totals(known, "key", hot, whole=F.bool_and("linked"), tokens=size).where("not whole")
+        rest = rest.withColumn("halves", F.ceil(F.col("tokens") / CELL_TOKENS)).drop("whole", "tokens")
+        rest = common.staged(rest.withColumn("h", F.expr("pmod(xxhash64(txt, c), halves)")), "unexplained", compression="zstd")
+        seeds = common.staged(_cell_links(rest, docs, words, width, percent), "links", keep=True, compression="zstd")
+    second = _verified(seeds.where("cuts is null"), docs, words, width, percent, of_one=True).unionByName(seeds.where("cuts is not null").select(first.columns))
+    copies = reps.where(F.col("doc_id") != F.col("rep")).join(sizes.where(F.col("n_words") >= min_words), "txt")
     zero, end, one = F.lit(0).alias("a_start"), F.col("n_words").alias("a_end"), F.lit(1.0).alias("similarity")
     whole = copies.select(F.col("rep").alias("a"), F.col("txt").alias("a_txt"), zero, end, F.col("doc_id").alias("b"), F.col("txt").alias("b_txt"), zero.alias("b_start"), end.alias("b_end"), one, F.array(F.lit(0), "n_words").alias("cuts"))
     return first.unionByName(second).distinct().unionByName(whole)
