@@ -19,6 +19,9 @@ TYPES: dict[str, DataType] = {"INT": DoubleType(), "FLOAT": DoubleType(), "TEXT"
 
 Literal = str | float | bool
 
+#: Fixed value: the text of a missing value.
+NIL = "<nil>"
+
 
 def parse_literal(text: str) -> Literal:
     """Quoted text, then true or false, then a number, else the text as it stands. Numbers must be finite."""
@@ -41,7 +44,7 @@ def render(value: Any) -> str:
     if isinstance(value, bool):
         return "true" if value else "false"
     if value is None:
-        return "<nil>"
+        return NIL
     if isinstance(value, int | float):
         x = float(value)
         if math.isnan(x) or math.isinf(x):
@@ -119,6 +122,6 @@ def render_column(column: Column, kind: DataType) -> Column:
 def equals_column(left: Column, left_kind: DataType, right: Column, right_kind: DataType) -> Column:
     """``left = right`` by text: typed where both are of one family, rendered where not."""
     families = [(NumericType, StringType, BooleanType)[next((i for i, k in enumerate((NumericType, StringType, BooleanType)) if isinstance(t, k)), 1)] for t in (left_kind, right_kind)]
-    if families[0] is families[1]:
-        return left == right
-    return render_column(left, left_kind) == render_column(right, right_kind)
+    if families[0] is families[1] and families[0] is not StringType:
+        return left.eqNullSafe(right)
+    return F.coalesce(render_column(left, left_kind), F.lit(NIL)) == F.coalesce(render_column(right, right_kind), F.lit(NIL))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -59,6 +60,27 @@ class ModifyColumn:
         return F.transform_values(m, lambda k, v: F.when(k == self.name, F.coalesce(v.try_cast(self.cast_to).cast("string"), F.lit("null"))).otherwise(v))
 
 
+#: The fields of a column in an event's definition.
+COLUMN_FIELDS = ("name", "type", "primary_key", "unique")
+
+
+def columns_of(definition: str) -> list[dict]:
+    """The columns that a schema event declares; of an evolution, the new ones."""
+    found = json.loads(definition)
+    columns = found["new_schema"] if isinstance(found, dict) else found
+    return [{k: c[k] for k in COLUMN_FIELDS if k in c} for c in columns]
+
+
+def payload(table: str, old: list[dict], new: list[dict], operations: list) -> dict:
+    """What an evolution records: both schemas, and the columns added, removed, renamed and modified."""
+    before, after = ({c["name"]: c for c in columns} for columns in (old, new))
+    renamed = {op.old: op.new for op in operations if isinstance(op, RenameColumn) and op.old in before and op.new in after}
+    added = [c for n, c in after.items() if n not in before and n not in renamed.values()]
+    removed = [n for n in before if n not in after and n not in renamed]
+    modified = [{"name": n, "old_definition": before[n], "new_definition": c} for n, c in after.items() if n in before and before[n] != c]
+    return {"table_name": table, "old_schema": old, "new_schema": new, "evolution": {"added_columns": added, "removed_columns": removed, "modified_columns": modified, "renamed_columns": renamed}}
+
+
 @dataclass
 class Registry:
     """Versions of tables' schemas, and the migrations between them."""

@@ -27,14 +27,15 @@ def issues(log: DataFrame) -> DataFrame:
 
 
 def report(log: DataFrame) -> DataFrame:
-    """One row: total, corrupted, first_issue, last_valid, recovered (valid after the first issue), can_partial."""
-    checked = with_issues(log).select("id", "issue")
+    """One row: total, corrupted, first_issue, last_valid, recovered (valid after the first issue), can_partial.
+
+    Checksums are computed once. All events before the first issue are valid, so those after it follow from a count of ids.
+    """
     bad = F.col("issue").isNotNull()
-    first = checked.agg(F.min(F.when(bad, F.col("id"))).alias("cut"))
-    totals = checked.agg(F.count("*").alias("total"), F.count_if(bad).alias("corrupted"), F.max(F.when(~bad, F.col("id"))).alias("last_valid"))
-    after = checked.crossJoin(F.broadcast(first)).where(~bad & (F.col("id") > F.col("cut"))).agg(F.count("*").alias("recovered"))  # one row
-    joined = totals.crossJoin(first).crossJoin(after)
-    return joined.select("total", "corrupted", F.coalesce("cut", F.lit(0)).alias("first_issue"), F.coalesce("last_valid", F.lit(0)).alias("last_valid"), "recovered", (F.col("corrupted") < F.col("total")).alias("can_partial"))
+    r = with_issues(log).agg(F.count("*").alias("total"), F.count_if(bad).alias("corrupted"), F.min(F.when(bad, F.col("id"))).alias("cut"), F.max(F.when(~bad, F.col("id"))).alias("last_valid")).first()
+    before = log.where(F.col("id") < r.cut).count() if r.corrupted else r.total
+    row = (r.total, r.corrupted, r.cut or 0, r.last_valid or 0, r.total - r.corrupted - before, r.corrupted < r.total)
+    return log.sparkSession.createDataFrame([row], "total long, corrupted long, first_issue long, last_valid long, recovered long, can_partial boolean")
 
 
 def valid(log: DataFrame) -> DataFrame:
@@ -42,11 +43,17 @@ def valid(log: DataFrame) -> DataFrame:
     return with_issues(log).where("issue is null").drop("issue")
 
 
-def status(log: DataFrame, processed: int, errors: int = 0) -> str:
-    """The report as text, with at most 20 issues spelled out."""
+#: Issues that ``status`` spells out.
+SPELLED_OUT = 20
+
+
+def status(log: DataFrame) -> str:
+    """The report in words; of many issues the first ones, and how many more there are."""
     r = report(log).first()
-    lines = ["Replay Status:", f"  Events Processed: {processed} / {r.total}", f"  Corrupted Events: {r.corrupted}", f"  Errors Encountered: {errors}", f"  Deterministic: {'true' if not errors else 'false'}"]
+    lines = [f"{r.total - r.corrupted} of {r.total} events are usable"]
     if r.corrupted:
-        lines += [f"  First Issue at Event: {r.first_issue}", f"  Last Valid Event: {r.last_valid}", "", f"Corruption Issues ({r.corrupted}):"]
-        lines += [f"  - Event {i.id} ({i.issue}): {i.type}" for i in issues(log).orderBy("id").limit(20).collect()]
+        lines.append(f"{r.corrupted} corrupt, from event {r.first_issue} on; {r.recovered} usable after it, the last one {r.last_valid}")
+        lines += [f"event {i.id}, {i.type}: wrong {i.issue}" for i in issues(log).orderBy("id").limit(SPELLED_OUT).collect()]
+        if r.corrupted > SPELLED_OUT:
+            lines.append(f"and {r.corrupted - SPELLED_OUT} more")
     return "\n".join(lines)

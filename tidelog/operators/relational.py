@@ -15,15 +15,10 @@ def filter_equal(df: DataFrame, column: str, literal: Literal) -> DataFrame:
     return df.where(equals_literal(F.col(f"`{column}`"), df.schema[column].dataType, literal))
 
 
-def qualified(df: DataFrame, table: str) -> DataFrame:
-    """Columns named ``table.column``."""
-    return df.select([F.col(f"`{c}`").alias(f"{table}.{c}") for c in df.columns])
-
-
 def join_equal(left: DataFrame, left_table: str, left_column: str, right: DataFrame, right_table: str, right_column: str, compat: bool = False) -> DataFrame:
     """Inner equi-join with qualified output columns.
 
-    Nulls equal each other. In a self-join both sides have the same names, and the right side's values
+    Nulls equal each other, and the text that stands for them. In a self-join both sides have the same names, and the right side's values
     are the output. An absent column raises; with ``compat`` it counts as null on all rows.
     """
     for df, table, column in ((left, left_table, left_column), (right, right_table, right_column)):
@@ -36,7 +31,7 @@ def join_equal(left: DataFrame, left_table: str, left_column: str, right: DataFr
     else:
         kinds = left.schema[left_column].dataType, right.schema[right_column].dataType
         x, y = F.col(f"__l.`{left_column}`"), F.col(f"__r.`{right_column}`")
-        joined = a.join(b, x.eqNullSafe(y) if kinds[0] == kinds[1] else equals_column(x, kinds[0], y, kinds[1]))
+        joined = a.join(b, equals_column(x, kinds[0], y, kinds[1]))
     out = {f"{left_table}.{c}": F.col(f"__l.`{c}`") for c in left.columns}
     out |= {f"{right_table}.{c}": F.col(f"__r.`{c}`") for c in right.columns}
     return joined.select([v.alias(k) for k, v in out.items()])

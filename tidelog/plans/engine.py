@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from dataclasses import asdict
-from functools import reduce
 from typing import Any
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidelog.functions.values import TYPES, Literal, render, to_json, type_matches
 from tidelog.operators import evolution, integrity, relational, replay, snapshots
@@ -45,7 +47,7 @@ class Engine:
         self._tables: dict[str, list[ColumnDef]] = {}
         self.version = 1
         for e in found.where(F.col("type").isin(logs.CREATED, logs.EVOLVED)).orderBy("id").collect():  # schema events only
-            columns = json.loads(e.definition)
+            columns = evolution.columns_of(e.definition)
             self.version += e.type == logs.EVOLVED
             self._tables[e.table_name] = [ColumnDef(**c) for c in columns]
             self.registry.register(e.table_name, self.version if e.type == logs.EVOLVED else e.version, columns)
@@ -78,7 +80,7 @@ class Engine:
         base = self.snapshots.newest_before(event_id) if timestamp is None else None
         if base is not None:
             try:
-                snapshot, at = self.snapshots.restore(base)
+                snapshot, at = self.snapshots.restore(base, verify="once")
                 own = replay.with_tail(snapshot.where(F.col("table_name") == name), at, own)
             except snapshots.CorruptSnapshot:
                 pass  # the log has everything
@@ -134,16 +136,18 @@ class Engine:
         """Insert rows given on the driver, all or none; their row ids."""
         for row in rows:
             self._check_row(table, row)
-        for c in self._keys(table):
-            values = [render(r[c.name]) for r in rows]
-            double = next((r[c.name] for r, v in zip(rows, values, strict=True) if values.count(v) > 1), None)
+        state = self.table(table) if rows else None
+        for c in self._keys(table) if rows else ():
+            counts = Counter(render(r[c.name]) for r in rows)
+            double = next((r[c.name] for r in rows if counts[render(r[c.name])] > 1), None)
             if double is not None:
                 raise self._violation(c, double)
-            df = self.table(table)
-            same = [relational.filter_equal(df, c.name, r[c.name]).select(F.col(f"`{c.name}`").alias("v")) for r in rows]
-            found = reduce(DataFrame.unionAll, same).limit(1).collect() if same else []
+            kind = TYPES.get(c.type, StringType())
+            values = [(r[c.name] if isinstance(kind, type(TYPES["BOOL"])) else float(r[c.name]) if c.type in TYPES and not isinstance(kind, StringType) else render(r[c.name]),) for r in rows]
+            new = self.spark.createDataFrame(values, f"`{c.name}` {kind.simpleString()}")
+            found = state.select(f"`{c.name}`").join(F.broadcast(new), c.name, "left_semi").limit(1).collect()  # the rows are the driver's own
             if found:
-                raise self._violation(c, found[0].v)
+                raise self._violation(c, found[0][0])
         first = self._next.get(table, 0)
         ids = list(range(first, first + len(rows)))
         tx = f"tx_{self._last}"
@@ -158,27 +162,24 @@ class Engine:
         if set(rows.columns) != {c.name for c in columns}:
             raise ConstraintError("row has extra columns" if set(rows.columns) - {c.name for c in columns} else "missing column")
         held = rows.select([F.col(c.name).cast(TYPES[c.type]).alias(c.name) if c.type in TYPES else F.col(c.name) for c in columns])
+        state = self.table(table)
         for c in self._keys(table):
-            bad = relational.duplicates(held, c.name).select("value").unionByName(held.join(self.table(table).select(c.name), c.name, "left_semi").select(F.col(c.name).alias("value"))).limit(1).collect()
+            bad = relational.duplicates(held, c.name).select("value").unionByName(held.join(state.select(c.name), c.name, "left_semi").select(F.col(c.name).alias("value"))).limit(1).collect()
             if bad:
                 raise self._violation(c, bad[0].value)
-        n, first = held.count(), self._next.get(table, 0)
-        keys = [c.name for c in self._keys(table)] or held.columns
-        # contiguous ids: rows are sorted over partitions, and each partition continues where the last one ended
-        parts = held.repartitionByRange(*keys).sortWithinPartitions(*held.columns).withColumn("__p", F.spark_partition_id()).persist()
-        counts = {r["__p"]: r["n"] for r in parts.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one row a partition
-        before, total = {}, 0
-        for p in sorted(counts):
-            before[p], total = total, total + counts[p]
-        start = F.coalesce(*[F.when(F.col("__p") == p, F.lit(b)) for p, b in before.items()]) if before else F.lit(0)
-        numbered = parts.withColumn("__n", start + F.row_number().over(Window.partitionBy("__p").orderBy(*held.columns)) - 1)
+        empty = held.agg(*[F.count_if(F.col(c.name).isNull()).alias(c.name) for c in columns if c.type in TYPES]).first().asDict() if any(c.type in TYPES for c in columns) else {}
+        for c in columns:
+            if empty.get(c.name):
+                raise ConstraintError(f"column '{c.name}' expects {c.type}")
+        first, keys = self._next.get(table, 0), [c.name for c in self._keys(table)] or held.columns
+        numbered, n, scratch = self._numbered(held, keys)
         data = F.map_from_arrays(F.array(*[F.lit(c) for c in held.columns]), F.array(*[self._json_text(c) for c in columns]))
         events = numbered.select(
             (F.col("__n") + self._last + 1).cast("long").alias("id"), F.lit(logs.INSERTED).alias("type"), F.current_timestamp().cast("timestamp_ntz").alias("timestamp"), F.lit(self.version).alias("version"), F.lit(f"tx_{self._last}").alias("tx_id"),
             F.lit(table).alias("table_name"), (F.col("__n") + first).cast("long").alias("row_id"), data.alias("data"), F.lit(None).cast("map<string,string>").alias("old"), F.lit(None).cast("string").alias("definition"), F.lit(None).cast("string").alias("checksum"),
         )
         self._append(logs.with_checksum(events), n)
-        parts.unpersist()
+        self._drop(scratch)
         self._next[table] = first + n
         self._after_insert(n)
         return n
@@ -198,13 +199,34 @@ class Engine:
     def _matching(self, table: str, where: statements.Equality) -> DataFrame:
         return relational.filter_equal(self.table(table, with_ids=True), where.column, where.value)
 
+    def _drop(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _numbered(self, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int, str]:
+        """``rows`` with contiguous numbers ``__n`` from 0, in the order of ``keys``; how many; and the folder that holds them.
+
+        Rows are sorted over partitions and staged, and each partition goes on where the one before ended.
+        """
+        path = f"{self.path}/staging-{uuid4().hex}"
+        rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+        parts = self.spark.read.parquet(path)
+        counts = {r["__p"]: r["n"] for r in parts.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one row a partition
+        before, total = [], 0
+        for p in sorted(counts):
+            before.append((p, total))
+            total += counts[p]
+        starts = F.broadcast(self.spark.createDataFrame(before, "__p int, __start long"))
+        place = F.row_number().over(Window.partitionBy("__p").orderBy(*keys))
+        return parts.join(starts, "__p").withColumn("__n", F.col("__start") + place - 1), total, path
+
     def _change(self, table: str, kind: str, hit: DataFrame, data: Any, old: Any) -> int:
         """One event for each row that is hit, in the order of row ids."""
-        order = F.row_number().over(Window.orderBy("row_id"))  # ids of a statement are contiguous, so they need one order
-        events = hit.select((F.lit(self._last) + order).cast("long").alias("id"), F.lit(kind).alias("type"), F.current_timestamp().cast("timestamp_ntz").alias("timestamp"), F.lit(self.version).alias("version"), F.lit(f"tx_{self._last}").alias("tx_id"), F.lit(table).alias("table_name"), "row_id", data.cast("map<string,string>").alias("data"), old.cast("map<string,string>").alias("old"), F.lit(None).cast("string").alias("definition"), F.lit(None).cast("string").alias("checksum"))
-        n = hit.count()
+        numbered, n, scratch = self._numbered(hit, ["row_id"])
+        events = numbered.select((F.col("__n") + self._last + 1).cast("long").alias("id"), F.lit(kind).alias("type"), F.current_timestamp().cast("timestamp_ntz").alias("timestamp"), F.lit(self.version).alias("version"), F.lit(f"tx_{self._last}").alias("tx_id"), F.lit(table).alias("table_name"), "row_id", data.cast("map<string,string>").alias("data"), old.cast("map<string,string>").alias("old"), F.lit(None).cast("string").alias("definition"), F.lit(None).cast("string").alias("checksum"))
         if n:
             self._append(logs.with_checksum(events), n)
+        self._drop(scratch)
         return n
 
     def update(self, table: str, column: str, value: Literal, where: statements.Equality) -> int:
@@ -268,7 +290,8 @@ class Engine:
         old = self.registry.latest(table)
         self.get_table(table)
         definition = [asdict(c) for c in columns]
-        self._append(logs.events_frame(self.spark, [logs.event(logs.EVOLVED, table, self.version, definition=definition, tx_id=f"tx_{self._last}")], self._last + 1), 1)
+        payload = evolution.payload(table, [asdict(c) for c in self._tables[table]], definition, operations or [])
+        self._append(logs.events_frame(self.spark, [logs.event(logs.EVOLVED, table, self.version, definition=payload, tx_id=f"tx_{self._last}")], self._last + 1), 1)
         self.version += 1
         self.registry.register(table, self.version, definition)
         for v in range(old, self.version):
@@ -292,13 +315,10 @@ class Engine:
         return integrity.report(self.log.read()).first()
 
     def status(self) -> str:
-        found = self.log.read()
-        return integrity.status(found, self.report().total - self.report().corrupted)
+        return integrity.status(self.log.read())
 
 
-def format_rows(df: DataFrame, limit: int = 1000) -> str:
-    """Rows as ``map[column:value ...]`` with columns by name; a display of at most ``limit`` rows."""
-    rows = df.limit(limit).collect()
-    if not rows:
-        return "No rows returned"
-    return "\n".join("map[" + " ".join(f"{k}:{render(v)}" for k, v in sorted(r.asDict().items())) + "]" for r in rows)
+def format_rows(df: DataFrame) -> str:
+    """Every row as ``map[column:value ...]`` with columns by name, read one partition after the other."""
+    lines = ["map[" + " ".join(f"{k}:{render(v)}" for k, v in sorted(r.asDict().items())) + "]" for r in df.toLocalIterator()]
+    return "\n".join(lines) or "No rows returned"

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators import evolution, integrity, relational, replay, snapshots
+from tidelog.operators import evolution, indexes, integrity, relational, replay, snapshots
 from tidelog.operators.evolution import AddColumn, ModifyColumn, RemoveColumn, RenameColumn
+from tidelog.functions.values import render
+from tidelog.plans import statements
+from tidelog.plans.engine import ConstraintError, Engine
 from tidelog.sources import log as logs
 from tidelog.sources.cdc import TABLE, user_events
 
@@ -175,14 +181,22 @@ def replay_up_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(replay.up_to(user_events(spark, sf_dir), timestamp="2024-01-03 00:00:00"))
 
 
-def _store(spark: SparkSession) -> snapshots.SnapshotStore:
-    """A store in the folder that the session shares; a temporary one on a local master without it."""
+_own_folder: list[str] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the one that the session shares; in a temporary one of this process on a local master without it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    from uuid import uuid4
+    if not shared and not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="tidelog-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return f"{shared or 'file://' + _own_folder[0]}/run-{uuid4().hex}"
+
 
-    return snapshots.SnapshotStore(spark, f"{shared or 'file://' + tempfile.mkdtemp(prefix='tidelog-')}/snapshots-{uuid4().hex}")
+def _store(spark: SparkSession) -> snapshots.SnapshotStore:
+    return snapshots.SnapshotStore(spark, f"{_folder(spark)}/snapshots")
 
 
 @_query(CURRENT)
@@ -269,31 +283,323 @@ def pk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.duplicates(_table(spark, sf_dir, "orders"), "o_orderkey")
 
 
-def _with_change(log: DataFrame, kind: str, hit: DataFrame, data: F.Column) -> DataFrame:
-    """The log and one event of a statement for each row that is hit."""
-    last = log.agg(F.max("id")).first()[0]
-    order = F.row_number().over(Window.orderBy("row_id"))
-    new = hit.select((F.lit(last) + order).cast("long").alias("id"), F.lit(kind).alias("type"), F.lit(TABLE).alias("table_name"), "row_id", data.cast("map<string,string>").alias("data"))
-    return log.select("id", "type", "table_name", "row_id", "data").unionByName(new)
+# statements, through the engine
 
 
-@_query(f"WITH {LOG}, {_state()} SELECT row_id, v, k FROM visible UNION ALL SELECT (SELECT max(row_id) + 1 FROM log), 5.5, 77")
-def insert_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = user_events(spark, sf_dir)
-    new = replay.next_row_ids(log).select(F.col("next_row_id").alias("row_id"))
-    return _rows(_with_change(log, logs.INSERTED, new, F.create_map(F.lit("v"), F.lit("5.5"), F.lit("k"), F.lit("77"))))
+def _values(*rows: tuple, names: str) -> str:
+    """SQL for fixed rows."""
+    texts = ["(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else f"{v}::BIGINT" for v in r) + ")" for r in rows]
+    return f"SELECT * FROM (VALUES {', '.join(texts)}) t({names})"
 
 
-@_query(f"WITH {LOG}, {_state()} SELECT row_id, CASE WHEN k = 7 THEN 1.25 ELSE v END AS v, k FROM visible")
-def update_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = user_events(spark, sf_dir)
-    return _rows(_with_change(log, logs.UPDATED, relational.filter_equal(_rows(log), "k", 7.0), F.create_map(F.lit("v"), F.lit("1.25"))))
+#: Declarations of the tables that the engine takes, and SQL for their rows as the engine types them.
+DECLARED = {
+    "nation": "n_nationkey INT PRIMARY KEY, n_name TEXT UNIQUE, n_regionkey INT",
+    "region": "r_regionkey INT PRIMARY KEY, r_name TEXT",
+    "customer": "c_custkey INT PRIMARY KEY, c_name TEXT, c_mktsegment TEXT, c_acctbal FLOAT",
+}
+NATION = "SELECT n_nationkey::DOUBLE AS n_nationkey, n_name, n_regionkey::DOUBLE AS n_regionkey FROM nation"
+CUSTOMER = "SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_mktsegment, c_acctbal::DOUBLE AS c_acctbal FROM customer"
 
 
-@_query(f"WITH {LOG}, {_state()} SELECT row_id, v, k FROM visible WHERE k IS DISTINCT FROM 7")
-def delete_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = user_events(spark, sf_dir)
-    return _rows(_with_change(log, logs.DELETED, relational.filter_equal(_rows(log), "k", 7.0), F.lit(None)))
+def _engine(spark: SparkSession, sf_dir: str, *tables: str, **options: object) -> Engine:
+    """A new database that holds these whole tables, created by statement and filled by one insertion each."""
+    engine = Engine(spark, _folder(spark), **{"snapshot_interval": 0, **options})
+    for name in tables:
+        engine.sql(f"CREATE TABLE {name} ({DECLARED[name]})")
+        engine.insert_frame(name, _table(spark, sf_dir, name).select([c.name for c in engine.get_table(name)]))
+    return engine
+
+
+@_query(CUSTOMER)
+def sql_insert_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir, "customer").sql("SELECT * FROM customer")
+
+
+@_query(f"{NATION} UNION ALL SELECT 100, 'ATLANTIS', 3")
+def sql_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, sf_dir, "nation")
+    engine.sql("INSERT INTO nation VALUES (100, 'ATLANTIS', 3)")
+    return engine.sql("SELECT * FROM nation")
+
+
+@_query(f"SELECT * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment) FROM ({CUSTOMER})")
+def sql_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, sf_dir, "customer")
+    engine.sql("UPDATE customer SET c_mktsegment = 'NONE' WHERE c_mktsegment = 'BUILDING'")
+    return engine.sql("SELECT * FROM customer")
+
+
+@_query(f"SELECT * FROM ({CUSTOMER}) WHERE c_mktsegment <> 'BUILDING'")
+def sql_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, sf_dir, "customer")
+    engine.sql("DELETE FROM customer WHERE c_mktsegment = 'BUILDING'")
+    return engine.sql("SELECT * FROM customer")
+
+
+@_query("SELECT 1 + (SELECT count(*) FROM customer) + row_number() OVER (ORDER BY c_custkey) AS id FROM customer WHERE c_mktsegment = 'BUILDING'")
+def sql_update_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of one statement are numbered without a gap, after those before it."""
+    engine = _engine(spark, sf_dir, "customer")
+    engine.sql("UPDATE customer SET c_mktsegment = 'NONE' WHERE c_mktsegment = 'BUILDING'")
+    return engine.log.read().where(F.col("type") == logs.UPDATED).select("id")
+
+
+@_query(f"SELECT * FROM ({CUSTOMER}) WHERE c_custkey = 42")
+def sql_select_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir, "customer").sql("SELECT * FROM customer WHERE c_custkey = 42")
+
+
+_SQL_JOIN = """SELECT n_nationkey::DOUBLE AS "nation.n_nationkey", n_name AS "nation.n_name", n_regionkey::DOUBLE AS "nation.n_regionkey", r_regionkey::DOUBLE AS "region.r_regionkey", r_name AS "region.r_name" FROM nation JOIN region ON n_regionkey = r_regionkey"""
+
+
+@_query(_SQL_JOIN)
+def sql_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir, "nation", "region").sql("SELECT * FROM nation JOIN region ON nation.n_regionkey = region.r_regionkey")
+
+
+@_query(_SQL_JOIN + " WHERE r_name = 'ASIA'")
+def sql_join_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir, "nation", "region").sql("SELECT * FROM nation JOIN region ON nation.n_regionkey = region.r_regionkey WHERE region.r_name = 'ASIA'")
+
+
+@_query("SELECT 'map[n_name:' || n_name || ' n_nationkey:' || n_nationkey || ' n_regionkey:' || n_regionkey || ']' AS line FROM nation")
+def sql_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = _engine(spark, sf_dir, "nation").execute("SELECT * FROM nation")
+    return spark.createDataFrame([(line,) for line in text.split("\n")], "line string")
+
+
+@_query(NATION)
+def sql_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as it was before two statements changed it."""
+    engine = _engine(spark, sf_dir, "nation")
+    before = engine.log.last_id()
+    engine.sql("DELETE FROM nation WHERE n_regionkey = 1")
+    engine.sql("UPDATE nation SET n_name = 'X' WHERE n_nationkey = 0")
+    return engine.table("nation", event_id=before)
+
+
+@_query(_values(("n_nationkey", "INT", True, False), ("n_name", "TEXT", False, True), ("n_regionkey", "INT", False, False), names="name, type, primary_key, is_unique"))
+def table_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As another engine finds it in the log."""
+    columns = Engine(spark, _engine(spark, sf_dir, "nation").path).get_table("nation")
+    return spark.createDataFrame([(c.name, c.type, c.primary_key, c.unique) for c in columns], "name string, type string, primary_key boolean, is_unique boolean")
+
+
+_STATEMENTS = [
+    "CREATE TABLE t (id INT PRIMARY KEY, name TEXT)",
+    "INSERT INTO t VALUES (1, 'it''s, fine')",
+    "SELECT * FROM t",
+    "SELECT * FROM t WHERE id = 1;",
+    "SELECT * FROM t JOIN u ON t.id = u.ref WHERE u.n = 2.50",
+    "UPDATE t SET name = 'b' WHERE id = 1",
+    "DELETE FROM t WHERE name = 'a b'",
+]
+
+
+@_query(
+    _values(
+        ("CREATE_TABLE", "t", "id INT, name TEXT", None, None), ("INSERT", "t", "1, it's, fine", None, None), ("SELECT", "t", "", None, None), ("SELECT", "t", "", None, "id = 1"), ("JOIN", "t", "", "u: id = ref", "u.n = 2.5"), ("UPDATE", "t", "name = b", None, "id = 1"), ("DELETE", "t", "", None, "name = a b"), names="kind, table_name, what, joined, condition"
+    )
+)
+def parsed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def equality(e: statements.Equality | None) -> str | None:
+        return None if e is None else f"{e.column} = {render(e.value)}"
+
+    rows = []
+    for s in map(statements.parse, _STATEMENTS):
+        what = ", ".join([f"{c.name} {c.type}" for c in s.columns] + [render(v) for v in s.values]) or equality(s.assignment) or ""
+        rows.append((s.kind, s.table, what, s.join_table and f"{s.join_table}: {s.join_on[0]} = {s.join_on[1]}", equality(s.where)))
+    return spark.createDataFrame(rows, "kind string, table_name string, what string, joined string, condition string")
+
+
+_WRONG = [
+    ("CREATE TABLE nation (id INT)", "table 'nation' already exists"),
+    ("INSERT INTO nation VALUES (0, 'NEW', 1)", "primary key violation: duplicate value '0'"),
+    ("INSERT INTO nation VALUES (100, 'FRANCE', 1)", "unique constraint violation on column 'n_name'"),
+    ("INSERT INTO nation VALUES ('x', 'NEW', 1)", "column 'n_nationkey' expects INT"),
+    ("INSERT INTO nation VALUES (1)", "value count mismatch"),
+    ("UPDATE nation SET n_name = 'FRANCE' WHERE n_nationkey = 1", "unique constraint violation on column 'n_name'"),
+    ("UPDATE nation SET nothing = 1 WHERE n_nationkey = 1", "row has extra columns"),
+    ("SELECT * FROM nobody", "table 'nobody' does not exist"),
+]
+
+
+@_query("SELECT statement, CASE WHEN statement LIKE '%FRANCE%' AND NOT EXISTS (SELECT 1 FROM nation WHERE n_name = 'FRANCE') THEN '' ELSE message END AS message FROM (" + _values(*_WRONG, names="statement, message") + ")")
+def rejected_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, out = _engine(spark, sf_dir, "nation"), []
+    for text, _ in _WRONG:
+        try:
+            engine.sql(text)
+            out.append((text, ""))
+        except (ConstraintError, LookupError) as e:
+            out.append((text, str(e.args[0])))
+    return spark.createDataFrame(out, "statement string, message string")
+
+
+@_query("SELECT 'a null in a typed column' AS attempt, 'column ''n_regionkey'' expects INT' AS message")
+def rejected_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, message = _engine(spark, sf_dir), ""
+    engine.sql(f"CREATE TABLE nation ({DECLARED['nation']})")
+    try:
+        engine.insert_frame("nation", _table(spark, sf_dir, "nation").withColumn("n_regionkey", F.nullif("n_regionkey", F.lit(1))))
+    except ConstraintError as e:
+        message = str(e)
+    return spark.createDataFrame([("a null in a typed column", message)], "attempt string, message string")
+
+
+@_query("SELECT 'tx_' || CAST(CASE WHEN id = 1 THEN 0 ELSE 1 END AS VARCHAR) AS tx_id, id FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS id FROM nation UNION ALL SELECT 1 + count(*) FROM nation)")
+def transaction_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement's events share a label: that of the last event before it."""
+    return _engine(spark, sf_dir, "nation").log.read().select("tx_id", "id")
+
+
+@_query("""SELECT n_nationkey AS "a.n_nationkey", r_name AS "b.r_name" FROM (SELECT n_nationkey, nullif(n_regionkey, 1) AS k FROM nation) a JOIN (SELECT r_name, nullif(r_regionkey, 1) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k""")
+def join_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing values equal each other, whatever the numbers' types."""
+    a = _table(spark, sf_dir, "nation").select("n_nationkey", F.nullif("n_regionkey", F.lit(1)).cast("int").alias("k"))
+    b = _table(spark, sf_dir, "region").select("r_name", F.nullif("r_regionkey", F.lit(1)).cast("long").alias("k"))
+    return relational.join_equal(a, "a", "k", b, "b", "k").select("`a.n_nationkey`", "`b.r_name`")
+
+
+@_query('SELECT n_nationkey AS "nation.n_nationkey", r_regionkey AS "region.r_regionkey" FROM nation, region')
+def join_absent_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that neither table has are missing on all rows, which makes all pairs; in the lenient dialect only."""
+    out = relational.join_equal(_table(spark, sf_dir, "nation"), "nation", "x", _table(spark, sf_dir, "region"), "region", "y", compat=True)
+    return out.select("`nation.n_nationkey`", "`region.r_regionkey`")
+
+
+# lines, indexes
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{_folder(spark)}/lines"
+    logs.write_lines(user_events(spark, sf_dir, with_checksums=True), path)
+    return path
+
+
+def _torn(spark: SparkSession, sf_dir: str) -> str:
+    """The lines, of which every 97th is cut off."""
+    path, number = _lines(spark, sf_dir), F.regexp_extract("value", r'"id":(\d+)', 1).cast("long")
+    spark.read.text(path).select(F.when(number % 97 == 0, F.substring("value", 1, 60)).otherwise(F.col("value")).alias("value")).write.text(f"{path}-torn")
+    return f"{path}-torn"
+
+
+@_query(CURRENT)
+def ndjson_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as lines, read all or none, and replayed without the events whose checksum is wrong: none."""
+    return _rows(integrity.valid(logs.read_all(spark, _lines(spark, sf_dir))))
+
+
+@_query(f"WITH {LOG} SELECT id, type, 'the line is not an event' AS message FROM log WHERE id % 97 = 0")
+def ndjson_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.read_lines(spark, _torn(spark, sf_dir))[1].select("id", "type", "message")
+
+
+@_query(f"WITH {LOG}, valid AS (SELECT * FROM log WHERE id % 97 <> 0), {_state(log='valid')} SELECT row_id, v, k FROM visible")
+def ndjson_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(logs.read_lines(spark, _torn(spark, sf_dir))[0])
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}/index"
+    indexes.write(indexes.entries(_rows(user_events(spark, sf_dir)), "k"), path)
+    return indexes.read(spark, path)
+
+
+@_query(f"WITH {LOG}, {_state()} SELECT row_id FROM visible WHERE k = 7")
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexes.lookup(_index(spark, sf_dir), 7.0)
+
+
+@_query(f"WITH {LOG}, {_state()} SELECT v AS value, EXISTS (SELECT 1 FROM visible WHERE k = v) AS found FROM (VALUES (7), (12345678)) t(v)")
+def index_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return spark.createDataFrame([(v, indexes.exists(index, v)) for v in (7, 12345678)], "value int, found boolean")
+
+
+@_query(f"WITH {LOG}, {_state()} SELECT row_id FROM visible WHERE k = 7 UNION ALL SELECT -1")
+def index_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexes.lookup(indexes.added(_index(spark, sf_dir).drop("part"), "7", -1), 7.0)
+
+
+@_query(f"WITH {LOG}, {_state()} SELECT row_id FROM visible WHERE k = 7 AND row_id <> (SELECT min(row_id) FROM visible WHERE k = 7)")
+def index_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    least = indexes.lookup(index, 7.0).agg(F.min("row_id")).first()[0]
+    return indexes.lookup(indexes.removed(index, 7.0, least), 7.0)
+
+
+# history, through the engine
+
+
+@_query(f"WITH {LOG}, {CUT} SELECT n AS base_event_id FROM cut UNION ALL SELECT n + 1 FROM cut")
+def snapshot_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of four snapshots the two newest are left."""
+    log, store = user_events(spark, sf_dir), _store(spark)
+    cut = _cut(log)
+    for base in (cut // 3, cut // 2, cut, cut + 1):
+        store.create(replay.state_maps(replay.up_to(log, base)), base)
+    store.prune(2)
+    return store.history().select("base_event_id")
+
+
+@_query(PAST)
+def snapshot_restore_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, store = user_events(spark, sf_dir), _store(spark)
+    for base in (_cut(log) // 2, _cut(log)):
+        store.create(replay.state_maps(replay.up_to(log, base)), base)
+    return _typed(store.restore()[0])
+
+
+@_query("SELECT 1 + count(*) AS base_event_id FROM nation")
+def snapshot_automatic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An insertion that passes a multiple of ten events leaves a snapshot of the state after it."""
+    return _engine(spark, sf_dir, "nation", snapshot_interval=10).snapshots.history().select("base_event_id")
+
+
+@_query("SELECT 0::BIGINT AS snapshots")
+def snapshots_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, sf_dir, "nation", snapshot_interval=10, snapshots_enabled=False)
+    return engine.snapshots.history().agg(F.count("*").alias("snapshots"))
+
+
+_COLUMNS = [{"name": "id", "type": "INT", "primary_key": True, "unique": False}]
+
+
+@_query(_values((1, 2, "MIGRATION_NEEDED", "MIGRATION_NEEDED"), (2, 1, "COMPATIBLE", "COMPATIBLE"), (1, 3, "INCOMPATIBLE", "MIGRATION_NEEDED"), (1, 9, "INCOMPATIBLE", "INCOMPATIBLE"), names="old, new, direct, by_path"))
+def schema_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = evolution.Registry()
+    for v in (1, 2, 3):
+        registry.register("t", v, _COLUMNS)
+    registry.register_migration("t", 1, 2, [])
+    registry.register_migration("t", 2, 3, [])
+    pairs = [(1, 2), (2, 1), (1, 3), (1, 9)]
+    return spark.createDataFrame([(a, b, registry.check("t", a, b), registry.check_path("t", a, b)) for a, b in pairs], "old long, new long, direct string, by_path string")
+
+
+@_query(_values((2, "added", "n_note"), (2, "removed", "n_regionkey"), (2, "renamed", "n_name to n_title"), names="version, what, which"))
+def schema_evolution_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an evolution records in the log, and the version after it."""
+    import json
+
+    engine = _engine(spark, sf_dir, "nation")
+    columns = [statements.ColumnDef("n_nationkey", "INT", True), statements.ColumnDef("n_title", "TEXT", False, True), statements.ColumnDef("n_note", "TEXT")]
+    engine.evolve("nation", columns, [RenameColumn("n_name", "n_title"), RemoveColumn("n_regionkey"), AddColumn("n_note", "")])
+    again = Engine(spark, engine.path)
+    found = json.loads(again.log.read().where(F.col("type") == logs.EVOLVED).first().definition)["evolution"]
+    rows = [("added", c["name"]) for c in found["added_columns"]] + [("removed", c) for c in found["removed_columns"]] + [("renamed", f"{a} to {b}") for a, b in found["renamed_columns"].items()]
+    return spark.createDataFrame([(again.registry.latest("nation"), *r) for r in rows], "version long, what string, which string")
+
+
+@_query("SELECT n_nationkey::DOUBLE AS n_nationkey, n_name AS n_title, 'x' AS n_note FROM nation")
+def sql_evolved_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the first version, brought to the second at replay."""
+    engine = _engine(spark, sf_dir, "nation")
+    columns = [statements.ColumnDef("n_nationkey", "INT", True), statements.ColumnDef("n_title", "TEXT", False, True), statements.ColumnDef("n_note", "TEXT")]
+    engine.evolve("nation", columns, [RenameColumn("n_name", "n_title"), RemoveColumn("n_regionkey"), AddColumn("n_note", "x")])
+    fields = [replay.field("n_nationkey", "double"), replay.field("n_title"), replay.field("n_note")]
+    return engine.replay({"nation": 2}).where("not deleted").select(*(f.value.alias(f.name) for f in fields))
 
 
 # schema evolution
@@ -407,6 +713,64 @@ def state_row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("row_id", "table_name", "data", "deleted").withColumn("h", snapshots.row_hash()).select("row_id", "h")
 
 
+def _broken_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    path = _folder(spark)
+    logs.EventLog(spark, f"{path}/log").append(_corrupted(spark, sf_dir))
+    return Engine(spark, path)
+
+
+@_query(f"WITH {LOG}, valid AS (SELECT * FROM log WHERE id % 89 <> 0 AND id % 97 <> 0), {_state(log='valid')} SELECT row_id, v, k FROM visible")
+def recover_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's replay of a log with corrupt events, which it leaves out."""
+    return _typed(_broken_engine(spark, sf_dir).replay(recover=True))
+
+
+@_query(f"WITH {LOG}, {_ISSUES} SELECT count(issue) || ' of ' || count(*) || ' events are corrupt' AS message FROM issues")
+def recover_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the wish to recover, the replay of such a log is an error."""
+    try:
+        _broken_engine(spark, sf_dir).replay()
+        message = ""
+    except ConstraintError as e:
+        message = str(e)
+    return spark.createDataFrame([(message,)], "message string")
+
+
+@_query(f"WITH {LOG}, {_ISSUES} SELECT (count(*) - count(issue)) || ' of ' || count(*) || ' events are usable' AS line FROM issues")
+def integrity_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(_broken_engine(spark, sf_dir).status().split("\n")[0],)], "line string")
+
+
+@_query(f"WITH {LOG}, {CUT} SELECT id, type, row_id FROM log WHERE id >= (SELECT n FROM cut)")
+def log_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = logs.EventLog(spark, f"{_folder(spark)}/log")
+    log.append(user_events(spark, sf_dir, with_checksums=True))
+    return log.since(_cut(log.read())).select("id", "type", "row_id")
+
+
+@_query(CURRENT)
+def streaming_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that stops and goes on where it was, with snapshots on the way."""
+    from tidelog.streaming import ingest
+
+    path = _folder(spark)
+    log, store = logs.EventLog(spark, f"{path}/log"), snapshots.SnapshotStore(spark, f"{path}/snapshots")
+    events = user_events(spark, sf_dir, with_checksums=True)
+    cut = _cut(events)
+    for part in (F.col("id") <= cut // 2, F.col("id").between(cut // 2 + 1, cut), F.col("id") > cut):
+        log.append(events.where(part))
+        ingest.maintain(ingest.events_stream(spark, log.path), f"{path}/state", f"{path}/checkpoint", store=store, every=max(1, cut // 4)).awaitTermination()
+    return _typed(snapshots.current_state(log.read(), store))
+
+
+@_query(f"WITH {LOG} SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, type, count(*) AS n FROM log GROUP BY 1, 2")
+def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.streaming import ingest
+
+    out = ingest.windowed_counts(user_events(spark, sf_dir))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "type", "n")
+
+
 @_query(CURRENT)
 def streaming_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream of batches, merged into the state."""

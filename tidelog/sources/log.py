@@ -1,7 +1,8 @@
 """The event log: an append-only table of checksummed events.
 
 Values of a row are JSON texts in a map, so that a key that is present with null differs from an absent
-key. The log is a folder of Parquet batches, each written whole by one commit.
+key. The log is a folder of Parquet batches, each written whole by one commit and parted by table, so that
+a statement reads its own table only.
 """
 
 from __future__ import annotations
@@ -77,11 +78,11 @@ class EventLog:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.read.schema(SCHEMA).parquet(self.path).select(SCHEMA.names)
 
     def append(self, events: DataFrame) -> None:
-        """One atomic batch."""
-        events.select(SCHEMA.names).write.mode("append").parquet(self.path)
+        """One atomic batch, in a folder for each table."""
+        events.select(SCHEMA.names).write.mode("append").partitionBy("table_name").parquet(self.path)
 
     def last_id(self) -> int:
         return self.read().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -91,28 +92,82 @@ class EventLog:
         return self.read().where(F.col("id") >= first_id)
 
 
+class CorruptLog(ValueError):
+    pass
+
+
+#: The names of a line's fields, and of the objects of values in a payload.
+_LINE = "id LONG, type STRING, timestamp STRING, version INT, tx_id STRING, payload STRING, checksum STRING"
+_DATA, _OLD = ("data", "changes", "deleted_data"), "old_values"
+
+
+def _values(*names: str) -> Column:
+    """The first of these objects in a payload, as a map of JSON texts. Values keep their types, so texts stay quoted."""
+    found = F.coalesce(*[F.get_json_object("payload", f"$.{n}") for n in names])
+    return F.transform_values(F.from_json(found, "map<string, variant>"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+
+
+def _utc(text: str) -> Column:
+    """A time with a zone as UTC; one without is UTC already."""
+    zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(text).cast("timestamp_ntz"))
+    return F.when(F.col(text).rlike(r"(Z|[+-]\d\d:?\d\d)$"), zoned).otherwise(F.col(text).try_cast("timestamp_ntz"))
+
+
+def _line_checksum(line: Column) -> Column:
+    """SHA-256 of a line whose checksum is the empty text."""
+    return F.sha2(F.regexp_replace(line, r'"checksum":"[^"]*"\}\s*$', r'"checksum":""}'), 256)
+
+
 def read_lines(spark: SparkSession, path: str, stop_at_error: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Events of a newline-delimited JSON log, and its quarantine (position, line, message).
+    """Events of a newline-delimited JSON log, and its quarantine: where the line stands (file, block, place), the line,
+    a message, and id, type and time as far as they can be read.
 
-    Lines that aren't events go to the quarantine and the rest is kept; ``stop_at_error`` drops what
-    follows the first of them as well. Checksums of the events are left to ``integrity``.
+    Lines that aren't events go to the quarantine and the rest is kept; ``stop_at_error`` drops what follows the first of
+    them as well. An event whose line has the right checksum gets the log's own; any other keeps what the line
+    says, so that ``integrity`` finds it.
     """
-    body = "id LONG, type STRING, timestamp TIMESTAMP_NTZ, version INT, tx_id STRING, payload STRING, checksum STRING"
-    lines = spark.read.text(path).withColumn("position", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    parsed = lines.withColumn("e", F.from_json("value", body, {"mode": "PERMISSIVE"})).withColumn("bad", F.col("e.id").isNull() | F.col("e.type").isNull())
-    quarantine = parsed.where("bad").select("position", F.col("value").alias("line"), F.lit("the line is not an event").alias("message"))
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    lines = spark.read.text(path).select("value", at.alias("at")).where(F.trim("value") != "")
+    parsed = lines.withColumn("e", F.from_json("value", _LINE, {"mode": "PERMISSIVE"})).withColumn("bad", F.col("e.id").isNull() | F.col("e.type").isNull())
+
+    def part(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract("value", pattern, 1), F.lit(""))
+
+    guessed = part(r'"id":\s*(\d+)').cast("long").alias("id"), part(r'"type":\s*"(\w+)"').alias("type"), part(r'"timestamp":\s*"([^"]+)"').alias("timestamp")
+    quarantine = parsed.where("bad").select("at.*", F.col("value").alias("line"), F.lit("the line is not an event").alias("message"), *guessed)
     if stop_at_error:
-        first = parsed.where("bad").agg(F.min("position").alias("cut"))
-        parsed = parsed.crossJoin(F.broadcast(first)).where("cut is null or position < cut")  # one row
-    good = parsed.where("not bad").select("e.*")
-    payload = F.from_json("payload", "table_name STRING, row_id LONG, data STRING, changes STRING, old_values STRING, deleted_data STRING, columns STRING, evolution STRING").alias("p")
-    flat = good.select("*", payload)
-    values = F.from_json(F.coalesce("p.data", "p.changes", "p.deleted_data"), "map<string,string>")
-    events = flat.select("id", "type", "timestamp", "version", "tx_id", F.col("p.table_name"), F.col("p.row_id"), values.alias("data"), F.from_json("p.old_values", "map<string,string>").alias("old"), F.coalesce("p.columns", "p.evolution").alias("definition"), "checksum")
-    return events, quarantine
+        first = parsed.where("bad").agg(F.min("at").alias("cut"))
+        parsed = parsed.crossJoin(F.broadcast(first)).where("cut is null or at < cut")  # one row
+    flat = parsed.where("not bad").select("e.*", (F.col("e.checksum") == _line_checksum(F.col("value"))).alias("sound")).withColumn("timestamp", _utc("timestamp"))
+    definition = F.when(F.col("type") == EVOLVED, F.col("payload")).otherwise(F.get_json_object("payload", "$.columns"))
+    events = flat.select(
+        "id", "type", "timestamp", "version", "tx_id", F.get_json_object("payload", "$.table_name").alias("table_name"), F.get_json_object("payload", "$.row_id").cast("long").alias("row_id"),
+        F.when(F.col("type") != DELETED, _values(*_DATA[:2])).alias("data"), F.when(F.col("type") == DELETED, _values(_DATA[2])).otherwise(_values(_OLD)).alias("old"), definition.alias("definition"), "checksum", "sound",
+    )
+    return events.withColumn("checksum", F.when(F.col("sound"), checksum()).otherwise(F.col("checksum"))).select(SCHEMA.names), quarantine
+
+
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """The events of a newline-delimited JSON log, all of them or an error."""
+    events, quarantine = read_lines(spark, path)
+    bad = quarantine.agg(F.count("*").alias("n"), F.min_by("message", F.struct("file", "block", "place")).alias("message")).first()
+    if bad.n:
+        raise CorruptLog(f"{bad.n} lines can't be read; the first: {bad.message}")
+    return events
 
 
 def write_lines(events: DataFrame, path: str) -> None:
-    """The log as newline-delimited JSON."""
-    payload = F.to_json(F.struct("table_name", "row_id", "data", F.col("old").alias("old_values"), F.col("definition").alias("columns")))
-    events.select(F.to_json(F.struct("id", "type", "timestamp", "version", "tx_id", payload.alias("payload"), "checksum")).alias("value")).write.text(path)
+    """The log as newline-delimited JSON. A sound event's line gets the checksum of the line, any other its own."""
+    kind = F.col("type")
+
+    def values(name: str) -> Column:
+        return F.transform_values(name, lambda _, v: F.try_parse_json(v))
+
+    row = [F.when(kind != UPDATED, values("data")).alias("data"), F.when(kind == UPDATED, values("data")).alias("changes"), F.when(kind == DELETED, values("old")).alias("deleted_data"), F.when(kind != DELETED, values("old")).alias("old_values")]
+    plain = F.to_json(F.struct("table_name", "row_id", *row, F.try_parse_json("definition").alias("columns")))
+    payload = F.try_parse_json(F.when(kind == EVOLVED, F.coalesce("definition", F.lit("{}"))).otherwise(plain))
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")
+    body = F.to_json(F.struct("id", "type", stamp, "version", "tx_id", payload.alias("payload")))
+    head = F.concat(body.substr(F.lit(1), F.length(body) - 1), F.lit(',"checksum":"'))
+    mark = F.when(F.col("checksum").eqNullSafe(checksum()), F.sha2(F.concat(head, F.lit('"}')), 256)).otherwise(F.coalesce("checksum", F.lit("")))
+    events.select(F.concat(head, mark, F.lit('"}')).alias("value")).write.text(path)

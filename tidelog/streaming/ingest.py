@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators import integrity, replay
+from tidelog.operators.snapshots import SnapshotStore
 from tidelog.sources import log as logs
 
 
 def events_stream(spark, path: str, max_files: int | None = None) -> DataFrame:
     """New Parquet batches of a log folder, in the order in which they appear."""
     reader = spark.readStream.schema(logs.SCHEMA)
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path).select(logs.SCHEMA.names)
 
 
-def maintain(stream: DataFrame, path: str, checkpoint: str, quarantine: str | None = None, available_now: bool = True) -> StreamingQuery:
+def maintain(stream: DataFrame, path: str, checkpoint: str, quarantine: str | None = None, available_now: bool = True, store: SnapshotStore | None = None, every: int = 1000) -> StreamingQuery:
     """Merge each micro-batch into the state kept under ``path``; corrupt events go to ``quarantine``.
 
     States merge by event id, so neither the order of arrival nor a repeated batch matters: each batch
-    writes a folder of its own from the one before it.
+    writes a folder of its own from the one before it, and folders older than that one go. With a ``store``,
+    a batch that passes a multiple of ``every`` event ids leaves a snapshot.
     """
     spark = stream.sparkSession
 
@@ -31,11 +33,27 @@ def maintain(stream: DataFrame, path: str, checkpoint: str, quarantine: str | No
             good = integrity.valid(batch)
         new, before = replay.partial_state(good), _newest(spark, path, number)
         (new if before is None else replay.merged_states(before, new)).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        if store:
+            last = spark.read.parquet(f"{path}/batch-{number}").agg(F.max(F.greatest(*replay.BOUNDS))).first()[0] or 0
+            newest = store.latest()
+            if last // every > (newest.base_event_id // every if newest else 0):
+                store.create(maintained(spark, path), last)
+        _drop_before(spark, path, number - 1)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _drop_before(spark: SparkSession, path: str, number: int) -> None:
+    """Drop the folders of batches that no batch, not even a repeated one, builds on."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.startswith("batch-") and int(name[6:]) < number:
+            fs.delete(f.getPath(), True)
+
+
 def _newest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The state after the last whole batch, of those before a number if one is given."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
