@@ -194,8 +194,9 @@ def test_op8_cells(monkeypatch):
     def pairs(rows):
         return {(a, b) for a, _, b, *_ in compact_windows.Cell(rows, 46, 80, 5).seeds()}
 
-    for few, leaders in ((6, 8), (100, 0), (2, 0), (2, 50)):
+    for few, many, leaders in ((6, 64, 8), (100, 64, 0), (2, 64, 0), (2, 64, 50), (2, 2, 0), (2, 200, 8)):
         monkeypatch.setattr(compact_windows, "FEW", few)
+        monkeypatch.setattr(compact_windows, "MANY", many)
         monkeypatch.setattr(compact_windows, "LEADERS", leaders)
         assert pairs(rows) == {(k, k + 30 * j) for k in range(30) for j in (1, 2)}
     # windows that the centre links are left out, halves meet crosswise

@@ -56,6 +56,7 @@ def staged(df: DataFrame, name: str, keep: bool = False, **options: str) -> Data
     scope = len(_scopes.open) - 1 - keep
     (_scopes.open[scope] if scope >= 0 else _scopes.kept).append(path)
     df.write.options(**options).parquet(path)
+    spark._jvm.System.gc()  # Spark's cleaner drops the shuffle files of frames that the driver's JVM has collected
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,14 +68,12 @@ def _drop(spark: SparkSession, paths: list[str]) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Staged tables of the block are dropped at its end; what is returned from it must rest on kept ones. Spark's
-    cleaner then finds the block's shuffle files: it drops those of frames that the driver's JVM has collected."""
+    """Staged tables of the block are dropped at its end; what is returned from it must rest on kept ones."""
     _scopes.open.append([])
     try:
         yield
     finally:
         _drop(spark, _scopes.open.pop())
-        spark._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:

@@ -35,8 +35,9 @@ from .set_join import _PRIME, _powers_of, mix, ngrams, ngrams_of
 
 #: Words of a token, words that a passage has at least, percent of similarity, hash functions (at most 8), tokens that a verifying group holds.
 WORDS, MIN_WORDS, PERCENT, FUNCTIONS, GROUP_TOKENS = 5, 50, 80, 4, 2_000_000
-#: Tokens that one half of a cell holds; windows up to which a cell compares all pairs at once; passes that start from one window.
-CELL_TOKENS, FEW, LEADERS = 2_000_000, 6, 8
+#: Tokens that one half of a cell holds; windows up to which a cell compares all pairs without an index, and those
+#: that share tokens are not looked for first; passes that start from one window. All but the first for speed only.
+CELL_TOKENS, FEW, MANY, LEADERS = 2_000_000, 6, 64, 8
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * j + 1) & (1 << 64) - 1) for j in range(8)]
 _WINDOW = "key long, txt long, c int, l int, r int"
 _PASSAGE = "a long, a_txt long, a_start int, a_end int, b long, b_txt long, b_start int, b_end int, similarity double, cuts array<int>"
@@ -279,7 +280,7 @@ def _contexts(rest: DataFrame, docs: DataFrame, words: int, width: int) -> DataF
     fields = ("key", "c", "l", "r", "linked", "h", "halves")
     own = rest.groupBy("doc", "txt").agg(F.collect_list(F.struct(*fields)).alias("ws"))
     texts = common.texts(docs).select(F.col("doc_id").alias("doc"), digest_column(), "text")
-    rows = texts.join(own, ["doc", "txt"]).groupBy("doc", "txt").agg(F.first("ws").alias("ws"), F.first("text").alias("text"))
+    rows = texts.join(own, ["doc", "txt"])
     schema = "key long, doc long, txt long, c int, l int, r int, linked boolean, h long, halves long, tokens binary"
     arrow = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in schema.split(", ")])
 
@@ -448,21 +449,8 @@ class Cell:
             if not self.wanting[b]:
                 continue
             part = slice(int(ends[b - 1]) if b else 0, int(ends[b]))
-            tokens = np.sort(self.token[part][self.near[part]])
-            tokens = tokens[self.alive[tokens]]
-            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            tokens, weights = tokens[first], np.diff(np.append(first, len(tokens)))
-            low, counts = self.first[tokens], self.first[tokens + 1] - self.first[tokens]
-            places = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            shared = np.bincount(self.index_owner[places], np.repeat(weights, counts), self.n)
-            others = np.flatnonzero(shared >= self.need)
+            others = self._sharing(b, part) if self.n > MANY else np.arange(self.n)
             others = others[self.matters(others, b)]
-            if len(others):  # its tokens must lie as far apart in the other window as a passage does
-                whose = self.index_owner[places]
-                low, high = np.full(self.n, 1 << 30), np.zeros(self.n, np.int64)
-                np.minimum.at(low, whose, self.index_low[places])
-                np.maximum.at(high, whose, self.index_high[places])
-                others = others[high[others] - low[others] + 1 >= self.width]
             if len(others):
                 others = others[self._dense(b, part, others)]
             while len(others):
@@ -474,6 +462,21 @@ class Cell:
                     others = others[self.matters(others, b)]
 
 
+    def _sharing(self, b: int, part: slice) -> np.ndarray:
+        """The windows that share enough tokens with b, as far apart in the other window as in a passage."""
+        tokens = np.sort(self.token[part][self.near[part]])
+        tokens = tokens[self.alive[tokens]]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        tokens, weights = tokens[first], np.diff(np.append(first, len(tokens)))
+        start, counts = self.first[tokens], self.first[tokens + 1] - self.first[tokens]
+        places = np.repeat(start - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        whose = self.index_owner[places]
+        shared = np.bincount(whose, np.repeat(weights, counts), self.n)
+        low, high = np.full(self.n, 1 << 30), np.zeros(self.n, np.int64)
+        np.minimum.at(low, whose, self.index_low[places])
+        np.maximum.at(high, whose, self.index_high[places])
+        return np.flatnonzero((shared >= self.need) & (high - low + 1 >= self.width))
+
     def _dense(self, b: int, part: slice, others: np.ndarray) -> np.ndarray:
         """``stretch_near`` of b beside each of the ``others`` at once: whether it is not None."""
         at, length = int(self.at[b]), len(self.contexts[b])
@@ -515,7 +518,8 @@ def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percen
                 if (k, i, j) != key:
                     out += flush()
                     key, held = (k, i, j), []
-                held.append(tuple(window))
+                if not held or window[:3] != held[-1][:3]:  # rows that repeat an id and text give a window each
+                    held.append(window)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
                 out = []
