@@ -253,7 +253,7 @@ def test_op9_against_brute_force(spark):
     rows = [(k, v.tolist(), 0, 1) for k, v in enumerate(x)]
     rows += [(5000, None, 0, 1), (5100, [], 0, 1), (5200, [0.0] * 16, 0, 1), (5300, [1.0] * 15 + [None], 0, 1), (5400, [float("nan")] * 16, 0, 1), (None, [1.0] * 16, 0, 1), (7000, [1.0, 2.0], 0, 1), (7001, [1.0, 2.5], 0, 1), rows[100]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, score int")
-    out = prefix_forest.nearest_neighbours(df, block=1000, cell=20).collect()
+    out = prefix_forest.nearest_neighbours(df, block=1000).collect()
     got = {}
     for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
@@ -269,6 +269,27 @@ def test_op9_against_brute_force(spark):
     assert prefix_forest.nearest_neighbours(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [3_000, 8_000])
+def test_op9_finds_nine_of_ten_among_a_tenth(n):
+    """Isotropic vectors, the hard case: recall against brute force, and the share of a block that is looked at."""
+    draw = np.random.default_rng(n)
+    x = draw.standard_normal((n, 64))
+    queries, hits, looked_at = x[:60], 0, 0
+    forest = prefix_forest.PrefixForest(x)
+    for found in forest.candidates(queries, int(prefix_forest.SHARE * n)):
+        looked_at += len(found)
+    for q, (entries, d) in zip(queries, forest.nearest(queries, 11), strict=True):
+        true = np.sqrt(((x - q) ** 2).sum(1))
+        hits += len(set(entries[:11].tolist()) & set(np.argsort(true, kind="stable")[:11].tolist()))
+        assert (np.diff(d) >= 0).all() and np.allclose(d, true[entries])
+    assert hits >= 0.9 * 60 * 11 and looked_at <= 0.12 * 60 * n
+    # with the trees' entries mixed up, candidates are found by chance
+    lost = prefix_forest.PrefixForest.__new__(prefix_forest.PrefixForest)
+    lost.__dict__.update(forest.__dict__, order=draw.permutation(len(forest.order)) % n)
+    wrong = sum(len(set(e[:11].tolist()) & set(np.argsort(((x - q) ** 2).sum(1))[:11].tolist())) for q, (e, _) in zip(queries, lost.nearest(queries, 11), strict=True))
+    assert wrong < 0.5 * 60 * 11
+
+
 def test_pipeline_stages_act(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
