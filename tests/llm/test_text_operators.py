@@ -228,7 +228,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head>
 
 @pytest.mark.parametrize("large", [4_000, 3])
 def test_op2(spark, monkeypatch, large):
-    monkeypatch.setattr(site_templates, "LARGE", large)  # 3: hosts are dealt into parts
+    monkeypatch.setattr(site_templates, "HOST_PAGES", large)  # 3: hosts are dealt into parts
     pages = [(k, "http://A.example/x", PAGE.format(k=k), 1) for k in range(12)]
     pages += [(50 + k, "http://B.example/", f"<body><div>Box of the site</div><div><p>Text {k}<p>More &lt;{k}&gt;</div></body>", 1) for k in range(8)]
     pages += [(90, None, None, 1), (91, "nonsense", "", 1), (92, "http://c.example", "plain <b>text</b> only", 1), (93, "http://d.example", "<article><p>open", 1), (93, "http://d.example", "<article><p>open", 1), (94, "http://e.example", "<p>a" + " b" * 50000, 1)]
@@ -238,3 +238,52 @@ def test_op2(spark, monkeypatch, large):
     assert got[52].text == "Text 2\nMore <2>"
     assert [got[k].text for k in (90, 91, 92, 93)] == ["", "", "plain text only", "open"] and got[90].n_chars == 0 and got[94].n_chars == 100001
     assert site_templates.main_texts(df).count() == len(pages) and site_templates.main_texts(df.limit(0)).count() == 0
+
+
+def site(k):
+    return f'<html><head><title>T {k}</title></head><body><nav><ul>{"".join(f"<li><a>L{k * 7 + i}</a>" for i in range(3 + k % 4))}</ul></nav><div class="ad">Buy {k} now</div><div id="legal">Terms {k}</div><article><h1>Head {k}</h1><p>{"word " * 30}{k}</p><p>Same on all</p></article><footer>Foot {k}</footer></body></html>'
+
+
+def test_op2_templates_decide(spark):
+    """No subtree of this site recurs with its texts; menus, adverts and footers recur by structure, and only that removes them."""
+    pages = [(k, "http://a.example/x", site(k)) for k in range(9)]
+    got = {r.page_id: r.text for r in site_templates.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k, _, source in pages:
+        want = f"Head {k}\n{'word ' * 30}{k}\nSame on all"
+        assert got[k] == want
+        without = site_templates.main_text(source, site_templates.Template(9, set()))
+        assert without != want and f"Buy {k} now" in without and f"Foot {k}" in without and f"Terms {k}" in without
+    # a host of few pages has its tags and classes
+    assert site_templates.main_text(site(1), site_templates.Template(1, set())) == f"Head 1\n{'word ' * 30}1\nSame on all"
+
+
+def test_op2_templates_decide_on_the_pages_table(spark):
+    """Removal changes every page of a host whose pages can be counted."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    named = pages.select("page_id", "html", site_templates.host("url").alias("host")).collect()
+    sizes = {}
+    for r in named:
+        sizes[r.host] = sizes.get(r.host, 0) + 1
+    got = {r.page_id: r.text for r in site_templates.main_texts(pages).collect()}
+    counted = [r for r in named if sizes[r.host] >= site_templates.MIN_PAGES]
+    assert len(counted) > 100
+    assert all(got[r.page_id] != site_templates.main_text(r.html or "", site_templates.Template(sizes[r.host], set())) for r in counted)
+
+
+def test_op2_counts_equal_brute_force(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k % 3}.example/", site(k % 5)) for k in range(20)], "page_id long, url string, html string")
+    want = {}
+    for r in pages.collect():
+        for d, kind, _ in site_templates.page_digests(r.html):
+            want[r.url[7:17], d, kind] = want.get((r.url[7:17], d, kind), 0) + 1
+    got = {(r.host, r.digest, r.kind): r.n for r in site_templates.subtree_counts(pages).collect() if r.digest is not None}
+    assert got == {k: n for k, n in want.items() if n >= 2}
+
+
+def test_op2_odd_markup():
+    none = site_templates.Template(1, set())
+    assert site_templates.main_text("a < b <!-- x > y --> c <b title='>'>d</b> <p>e<script>if (a < b) '</p>'</script>f", none) == "a < b c d\ne f".replace("e f", "ef")
+    assert site_templates.main_text("<p>one<li>two<li>three<td>four", none) == "one\ntwo\nthree\nfour"
+    for junk in ("<a " * 300_000, "<div>" * 30_000, "<p><div>" * 10_000 + "<p></b>" * 10_000, '<a "' * 100_000, "<!--" * 100_000, "<script>" * 50_000, "<li>" * 30_000):
+        site_templates.main_text(junk, none)  # linear: the whole list takes seconds
+        site_templates.main_text(junk, site_templates.Template(9, set()))
