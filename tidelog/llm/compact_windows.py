@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .set_join import _PRIME, _powers_of, mix, ngrams, ngrams_of
+from .set_join import _PRIME, _powers_of, distinct, mix, ngrams_of
 
 #: Words of a token, words that a passage has at least, percent of similarity, hash functions (at most 8), tokens that a verifying group holds.
 WORDS, MIN_WORDS, PERCENT, FUNCTIONS, GROUP_TOKENS = 5, 50, 80, 4, 2_000_000
@@ -52,11 +52,6 @@ def among(x: np.ndarray, pool: np.ndarray) -> np.ndarray:
     return pool[at] == x
 
 
-def distinct(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    return x[np.concatenate([[True], x[1:] != x[:-1]])]
-
-
 def _sliding(least: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     """The least (or largest) of each ``width`` neighbours."""
     size = 1

@@ -8,14 +8,17 @@ signatures are its subsets by segment, and on d segments also each subset less o
 most e empty subsets leaves these out, as another agreement remains. d is the one of least cost:
 signatures to ship against chance meetings, which grow with the square of the number of documents.
 
-Documents with equal sets form a class. In each bucket of classes that share a signature one class is
-the centre, and the others are verified against it, exactly, on their whole texts. Links join classes to
-components. Buckets whose classes still lie in different components are joined to groups; a group is
-dealt into cells of bounded size, and each cell counts what its sets share through an inverted index and
-hands on a spanning forest of the links between components. So no link that would change a component is
-lost, and no pair is ever a row of its own.
-
-N-grams and sets are compared by 64-bit digests.
+Documents with equal sets form a class. Buckets of the same classes count once. In each bucket of classes
+that share a signature one class is the centre. Before any text is shipped, the others' sketches, how many
+n-grams of a set fall in each of 256 parts of the universe, are held against the centre's: the sum of the
+differences is at most that of the sets, so no similar pair is turned away. What is left is verified
+against the centre, exactly, on whole texts. Links join classes to components. In buckets whose classes
+still lie in different components, sketches of all pairs tell which classes may be linked at all; these are
+joined to groups. A group is dealt into cells of bounded size, and each cell counts what its sets share
+through an inverted index and hands on a spanning forest of the links between components. So no link that
+would change a component is lost, and no pair of a cell is ever a row of its own.
+
+N-grams, sets and buckets are compared by 64-bit digests.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ BAND_RATIO, GROUP_NGRAMS = 1.5, 1_000_000
 MEETING_COST = 20.0
 #: Bytes of texts that are hashed together.
 BYTES_AT_ONCE = 1 << 19
+#: Parts of the universe that a sketch counts, sketches that half a cell and that a part of a centre's members hold, and
+#: parts that a frequent signature's classes are dealt into.
+SKETCH, HALF, MEMBERS, SALTS = 256, 1_024, 100_000, 1_024
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -108,8 +114,31 @@ def _together(raw: list[bytes], words: int) -> list[np.ndarray]:
     return [grams[a : b - words + 1] if b - a >= words else _grams(w[a:b], max(1, b - a)) for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def ngram_set(text: str, words: int = WORDS) -> np.ndarray:
-    return np.unique(ngrams(text, words))
+    return distinct(ngrams(text, words))
+
+
+def ngram_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    return [distinct(x) for x in ngrams_of(texts, words)]
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """How many n-grams are in each part of the universe, 255 at most, and the set's size in 8 bytes."""
+    counts = np.bincount((mix(grams) >> np.uint64(56)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + len(grams).to_bytes(8, "little")
+
+
+def may_be_similar(one: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets may be similar, by sketches as rows of bytes: the sets differ in as many n-grams as the counts at least."""
+    differ = np.abs(others[:, :SKETCH].astype(np.int16) - one[..., :SKETCH].astype(np.int16)).sum(1, dtype=np.int64)
+    sizes = [np.ascontiguousarray(np.atleast_2d(x)[:, SKETCH:]).view("<u8")[:, 0].astype(np.int64) for x in (one, others)]
+    return (100 + percent) * differ <= (100 - percent) * (sizes[0] + sizes[1])
 
 
 def set_digest(grams: np.ndarray) -> int:
@@ -180,7 +209,7 @@ class Bands:
                 if deleting:
                     has = segment < deleting
                     out.append(mix(sums[segment[has]] - spread[has]) + names[segment[has]])
-            return np.unique(mix(np.concatenate(out))) if out else np.zeros(0, np.uint64)
+            return distinct(mix(np.concatenate(out))) if out else np.zeros(0, np.uint64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -194,15 +223,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def set_sizes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, cls of every row: size and digest of its set."""
-    common.small_batches(docs.sparkSession)
+    """doc_id, n, cls, sketch of every row: size, digest and sketch of its set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [ngram_set(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(map(len, sets), pa.int64()), "cls": pa.array(map(set_digest, sets), pa.int64())})
+        for b in common.slices(batches):
+            sets = ngram_sets(b.column(1).to_pylist(), words)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(map(len, sets), pa.int64()), "cls": pa.array(map(set_digest, sets), pa.int64()), "sketch": pa.array(map(sketch, sets), pa.binary())})
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, n long, cls long")
+    return common.texts(docs).mapInArrow(run, "doc_id long, n long, cls long, sketch binary")
 
 
 def signatures(docs: DataFrame, words: int, percent: int, documents: int) -> DataFrame:
@@ -210,10 +238,9 @@ def signatures(docs: DataFrame, words: int, percent: int, documents: int) -> Dat
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, met = Bands(percent, documents), set()
-        for b in batches:
+        for b in common.slices(batches):
             sigs, classes, counts = [np.zeros(0, np.uint64)], [], []
-            for t in b.column(1).to_pylist():
-                grams = ngram_set(t, words)
+            for grams in ngram_sets(b.column(1).to_pylist(), words):
                 cls = set_digest(grams)
                 if len(grams) and cls not in met:
                     met.add(cls)
@@ -225,6 +252,27 @@ def signatures(docs: DataFrame, words: int, percent: int, documents: int) -> Dat
     return common.texts(docs).mapInArrow(run, "sig long, cls long")
 
 
+def shared_signatures(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """sig, cls of the signatures that several classes have, one signature for the same classes; and the frequent
+    signatures, which are found on a sample of the documents: that decides how rows are dealt, never what comes out."""
+    documents = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(common.SAMPLE)) == 0)
+    counts = signatures(some, words, percent, documents).distinct().groupBy("sig").count()
+    least = max(common.HOT_LEAST, documents // common.SAMPLE // 64)
+    often = counts.where(F.col("count") > least).orderBy(F.desc("count"), "sig").limit(common.HOT_SHARE).select("sig").collect()
+    hot = docs.sparkSession.createDataFrame(often, "sig long")
+    with common.scratch(docs.sparkSession):
+        flagged = signatures(docs, words, percent, documents).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left")
+        salted = flagged.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(F.lit(0)))
+        bucket = Window.partitionBy("sig", "salt")
+        several = salted.withColumns({"least": F.min("cls").over(bucket), "most": F.max("cls").over(bucket)}).where("least < most or hot").select("sig", "cls")
+        found = common.staged(several.distinct(), "signatures")
+        total = found.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("d"), F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(38,0)")).alias("e"))
+        one = total.where("n > 1").groupBy("n", "d", "e").agg(F.min("sig").alias("sig")).select("sig")
+        kept = found.join(F.broadcast(hot), "sig", "left_anti").join(one, "sig").unionByName(found.join(F.broadcast(hot), "sig", "left_semi"))
+        return common.staged(kept, "buckets", keep=True), hot
+
+
 def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls, n, text of the ``wanted`` classes (cls). ``classes``: cls, n, rep (a document of it)."""
     chosen = classes.join(wanted.distinct(), "cls").select("cls", "n", F.col("rep").alias("doc_id"))
@@ -232,21 +280,45 @@ def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
     return common.staged(found, "candidates", compression="zstd")
 
 
+def _beside_centre(pairs: DataFrame, held: DataFrame, payload: str, weight: str, least: int) -> DataFrame:
+    """a, role, b, payload, dealt and sorted so that a centre (role 0) comes before its members (role 1).
+
+    ``pairs``: a, b and the weight; ``held``: cls and the payload. Frequent centres' members are dealt into
+    parts of bounded weight, each with the centre's own payload. Payloads join last.
+    """
+    parts = F.broadcast(common.parts_of(pairs, "a", F.col(weight), least))
+    count = F.coalesce("parts", F.lit(1).cast("long"))
+    members = pairs.join(parts, "a", "left").select("a", F.pmod(F.xxhash64("b"), count).alias("part"), F.lit(1).alias("role"), "b")
+    centres = pairs.select("a").distinct().join(parts, "a", "left").select("a", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"))
+    rows = centres.unionByName(members).join(held.select(F.col("cls").alias("b"), payload), "b")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b").select("a", "role", "b", payload)
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the ``pairs`` (a, b, n) that may be similar by the sketches of ``classes`` (cls, n, sketch)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros((1, SKETCH + 8), np.uint8)
+        for batch in common.slices(batches, 4_096):
+            rows = np.concatenate([centre, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH + 8)])
+            member = np.concatenate([[False], batch.column(1).to_numpy() == 1])
+            own = np.maximum.accumulate(np.where(member, 0, np.arange(len(rows))))
+            centre = rows[own[-1]][None]
+            keep = (member & may_be_similar(rows[own], rows, percent))[1:]
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(2), "n": rows[1:, SKETCH:].copy().view("<i8")[:, 0]}).filter(pa.array(keep))
+
+    return _beside_centre(pairs.withColumn("one", F.lit(1)), classes, "sketch", "one", MEMBERS).mapInArrow(run, "a long, b long, n long")
+
+
 def verified(pairs: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the ``pairs`` (a: a centre, b) of classes whose sets are similar. ``found``: cls, n, text."""
-    # a centre's members are dealt into groups of bounded size, each with the centre's own text; texts join last
-    sized = pairs.join(found.select(F.col("cls").alias("b"), "n"), "b")
-    groups = sized.groupBy("a").agg(F.ceil(F.sum("n") / GROUP_NGRAMS).alias("groups"))
-    members = sized.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("part"), F.lit(1).alias("role"), "b")
-    centres = groups.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"))
-    rows = centres.unionByName(members).join(found.select(F.col("cls").alias("b"), "text"), "b")
+    """Those of the ``pairs`` (a: a centre, b, n of b) of classes whose sets are similar. ``found``: cls, text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in common.slices(batches):
             out: dict[str, list[int]] = {"a": [], "b": []}
-            for a, role, b, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                grams = ngram_set(text, words)
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            for (a, role, b), grams in zip(names, ngram_sets(batch.column(3).to_pylist(), words), strict=True):
                 if role == 0:
                     centre = grams
                 elif similar(centre, grams, percent):
@@ -254,8 +326,45 @@ def verified(pairs: DataFrame, found: DataFrame, words: int, percent: int) -> Da
                     out["b"].append(b)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
-    return dealt.select("a", "role", "b", "text").mapInArrow(run, "a long, b long")
+    return _beside_centre(pairs, found, "text", "n", GROUP_NGRAMS).mapInArrow(run, "a long, b long")
+
+
+def compatible(rest: DataFrame, hot: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the classes of a bucket that may be linked, by sketches of all its pairs of different
+    components: a spanning forest for each cell. ``rest``: sig, cls, component."""
+    placed = common.with_totals(rest, "sig", hot, members=F.count("*")).withColumn("halves", F.ceil(F.col("members") / HALF)).withColumn("h", F.pmod(F.xxhash64("cls"), "halves"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("halves") - 1))
+    cells = placed.withColumn("o", other).select("sig", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), "cls", "component", (F.col("h") > F.col("o")).alias("half"))
+    cells = cells.join(classes.select("cls", "sketch"), "cls").select("sig", "i", "j", "cls", "component", "half", "sketch")
+
+    def edges(held: list[tuple]) -> list[tuple[int, int]]:
+        cls, component, half = (np.array(x) for x in list(zip(*held, strict=True))[:3])
+        rows = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(-1, SKETCH + 8)
+        crosswise = half.any() and not half.all()
+        group, out = np.arange(len(held)), []
+        for k in range(len(held)):
+            able = (component != component[k]) & (group != group[k])
+            others = np.flatnonzero(able & (half != half[k]) if crosswise else able)
+            for j in others[may_be_similar(rows[k], rows[others], percent)].tolist() if len(others) else ():
+                if group[j] != group[k]:
+                    group[group == group[j]] = group[k]
+                    out.append((int(cls[k]), int(cls[j])))
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+        for b in common.slices(batches):
+            for sig, i, j, *row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if (sig, i, j) != key:
+                    out += edges(held) if len(held) > 1 else []
+                    key, held = (sig, i, j), []
+                held.append(tuple(row))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            out = []
+        out = edges(held) if len(held) > 1 else []
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "cls").mapInArrow(run, "a long, b long").distinct()
 
 
 def cell_links(sets: list[np.ndarray], components: list[int], half: list[bool], percent: int) -> list[tuple[int, int]]:
@@ -309,12 +418,13 @@ def group_links(members: DataFrame, found: DataFrame, words: int, percent: int)
             return pa.RecordBatch.from_pydict({"a": pa.array([classes[x] for x, _ in found], pa.int64()), "b": pa.array([classes[y] for _, y in found], pa.int64())})
 
         key, sets, components, half, classes = None, [], [], [], []
-        for b in batches:
-            for grp, i, j, cls, component, text, in_half in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+        for b in common.slices(batches):
+            grams = ngram_sets(b.column(5).to_pylist(), words)
+            for own, grp, i, j, cls, component, in_half in zip(grams, *(b.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 6)), strict=True):
                 if (grp, i, j) != key:
                     yield flush()
                     key, sets, components, half, classes = (grp, i, j), [], [], [], []
-                sets.append(ngram_set(text, words))
+                sets.append(own)
                 components.append(component)
                 half.append(in_half)
                 classes.append(cls)
@@ -324,24 +434,26 @@ def group_links(members: DataFrame, found: DataFrame, words: int, percent: int)
 
 
 def _labels(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, component) of the classes that are linked with others."""
-    shared = signatures(docs, words, percent, docs.count()).repartition("sig")
-    several = shared.groupBy("sig").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("sig")
-    buckets = common.staged(shared.join(several.hint("merge"), "sig").distinct(), "buckets")
-    texts = class_texts(docs, classes, buckets.select("cls"))
-    n_of = classes.select("cls", "n")
-    centre = buckets.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls"), "cls")).alias("c")).select("sig", F.col("c.cls").alias("a"))
-    pairs = buckets.join(centre, "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    sized = pairs.join(n_of.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(n_of.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b")
-    pairs = sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-    links = common.staged(verified(common.staged(pairs, "pairs"), texts, words, percent), "links")
-    labels = common.staged(graph.components(links), "labels")
-    labelled = buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = labelled.groupBy("sig").agg(F.min("cls").alias("first"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("sig", "first")
-    rest = common.staged(labelled.join(mixed, "sig").select("first", "cls", "component").distinct(), "rest")
-    groups = graph.components(rest.select(F.col("first").alias("a"), F.col("cls").alias("b")))
-    members = rest.select("cls", "component").distinct().join(groups.select(F.col("node").alias("cls"), F.col("component").alias("grp")), "cls")
-    more = common.staged(group_links(members, texts, words, percent), "links")
+    """(node, component) of the classes that are linked with others. ``classes``: cls, n, rep, sketch."""
+    spark = docs.sparkSession
+    buckets, hot = shared_signatures(docs, words, percent)
+    with common.scratch(spark):
+        centred = common.with_totals(buckets, "sig", hot, c=F.min(F.struct(F.xxhash64("cls"), "cls")))
+        pairs = common.staged(centred.select(F.col("c.cls").alias("a"), F.col("cls").alias("b")).where("a <> b").distinct(), "pairs")
+        pairs = common.staged(possible(pairs, classes, percent), "possible")
+        texts = class_texts(docs, classes, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))))
+        links = common.staged(verified(pairs, texts, words, percent), "links", keep=True)
+    with common.scratch(spark):
+        labels = common.staged(graph.components(links), "labels")
+        labelled = buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        labelled = common.staged(labelled, "labelled")
+        mixed = common.with_totals(labelled, "sig", hot, least=F.min("component"), most=F.max("component")).where("least < most")
+        rest = common.staged(mixed.select("sig", "cls", "component"), "rest")
+        edges = common.staged(compatible(rest, hot, classes, percent), "edges")
+        groups = graph.components(edges)
+        members = rest.select("cls", "component").distinct().join(groups.select(F.col("node").alias("cls"), F.col("component").alias("grp")), "cls")
+        members = common.staged(members, "members")
+        more = common.staged(group_links(members, class_texts(docs, classes, members.select("cls")), words, percent), "links", keep=True)
     return graph.components(links.unionByName(more))
 
 
@@ -352,10 +464,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     component its own id; rows that repeat an id and text give as many rows; a null id gives a null
     component unless linked; an empty table gives no rows; other columns are ignored.
     """
-    sizes = common.staged(set_sizes(docs, words), "sizes")
-    classes = common.staged(sizes.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep")), "classes")
     with common.scratch(docs.sparkSession):
-        labels = common.staged(_labels(docs, classes, words, percent), "labels", keep=True)
+        every = common.staged(set_sizes(docs, words), "sketches", compression="zstd")
+        sizes = common.staged(every.drop("sketch"), "sizes", keep=True)
+        some = every.where("n > 0 and doc_id is not null")
+        sketched = common.staged(some.groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "sketched", compression="zstd")
+        classes = common.staged(sketched.drop("sketch"), "classes", keep=True)
+        labels = common.staged(_labels(docs, sketched, words, percent), "labels", keep=True)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     member = named.join(first, "component").select("cls", "component_id")
@@ -364,8 +479,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 
 def keep_one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's least; one row of those that repeat an id and text."""
-    kept = jaccard_components(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    again = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))  # in the join's partitions
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__again", again).where("__again = 1").select(docs.columns)
+    """The rows of ``docs`` whose id is their component's least; one row of those that repeat an id and text.
+
+    Rows without an id are no copies of others; of those with the same text one stays. Empty texts stay. The
+    columns are those of ``docs``, whatever their names; an empty table gives no rows.
+    """
+    kept = jaccard_components(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__doc")).distinct()
+    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__txt"), F.xxhash64(*docs.columns).alias("__order"))
+    again = F.row_number().over(Window.partitionBy("__doc", "__txt").orderBy("__order"))  # in the join's partitions
+    named = rows.join(kept, "__doc", "left_semi").withColumn("__again", again).where("__again = 1").select("__row.*")
     return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
