@@ -11,7 +11,7 @@ and the one window that stays partial is cut into sequences whose lengths are po
 need no padding.
 
 Defined cases: a null or empty text is a document of the end id alone; repeated ids are packed as
-separate documents; an empty table gives no rows; other columns are ignored.
+separate documents, null ids as documents of a null id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,15 +138,13 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterat
     """(doc_id, ids with the end id) of every document of a task."""
     t = tokens.tokenizer(path)
     end = np.array([end_id], t.dtype)
-    for b in batches:
+    for b in common.slices(batches):
         for doc, ids in zip(b.column(0).to_pylist(), t.encode(b.column(1).to_pylist()), strict=True):
             yield doc, np.concatenate([ids, end])
 
 
 def packed_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every document's pieces with their sequence and offset. Columns: SCHEMA."""
-    common.small_batches(docs.sparkSession)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, out = TaskContext.get().partitionId() << LOCAL_BITS, []
         for row in pack(encoded(batches, tokenizer_path, end_id), capacity, first):

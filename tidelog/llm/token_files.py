@@ -10,7 +10,8 @@ Files are rows (part, seq, payload) of a Parquet table in the shared folder: Spa
 makes them appear whole or not at all. A task holds the ids of one file.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat an id are kept side by
-side; an empty table gives no files and no rows; other columns are ignored.
+side; null ids come first and stay null (the least 64-bit id stands for them in a file, so it can't be
+told from them); an empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from . import common, packing
 #: Ids after which a task begins another file.
 FILE_IDS = 4_000_000
 MAGIC = b"TLV1"
+#: What stands for a null id in a file.
+NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sIQIQQ")  # magic, documents, ids, table, start in the part, data bytes
 #: The four code lengths that a control byte stands for.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
@@ -72,7 +75,7 @@ def write_file(doc_ids: list[int], ids: list[np.ndarray], start: int) -> bytes:
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     control, data = encode_ranks(rank[flat])
     head = _HEAD.pack(MAGIC, len(ids), len(flat), len(by_rank), start, len(data))
-    return b"".join([head, by_rank.tobytes(), np.array(doc_ids, "<i8").tobytes(), np.array(list(map(len, ids)), "<u4").tobytes(), control, data])
+    return b"".join([head, by_rank.tobytes(), np.array([NO_ID if d is None else d for d in doc_ids], "<i8").tobytes(), np.array(list(map(len, ids)), "<u4").tobytes(), control, data])
 
 
 def read_file(payload: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +95,6 @@ def read_file(payload: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = packing.END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode all documents into files; the table of files (part, seq, n_ids, payload)."""
     spark = docs.sparkSession
-    common.small_batches(spark)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, start, held, doc_ids, ids = TaskContext.get().partitionId(), 0, 0, 0, [], []
@@ -122,16 +124,14 @@ def read_token_files(files: DataFrame) -> DataFrame:
     for k, n in per_part.items():
         base[k + 1] = n
     base = np.cumsum(base)
-    common.small_batches(spark, 8)  # a row is a whole file
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches:  # of 64 MB at most, or one file
             for part, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 start, doc_ids, lengths, ids = read_file(payload.as_py())
                 ends = np.cumsum(lengths, dtype=np.int64)
                 raw = ids.astype("<u4").tobytes()
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": doc_ids, "start": base[part] + start + ends - lengths, "n_tokens": lengths.astype(np.int64), "ids_crc32": pa.array(crcs, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, mask=doc_ids == NO_ID), "start": base[part] + start + ends - lengths, "n_tokens": lengths.astype(np.int64), "ids_crc32": pa.array(crcs, pa.int64())})
 
     return files.select("part", "payload").mapInArrow(run, SCHEMA)
 

@@ -16,11 +16,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Most distinct pieces that one worker remembers, and characters split at once.
-MAX_REMEMBERED, CHARS_AT_ONCE = 400_000, 1_000_000
+MAX_REMEMBERED, CHARS_AT_ONCE = 700_000, 1_000_000
 
 #: The contractions that both tokenizers split off, and Unicode white space below U+0180.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WHITE = "\t\n\x0b\x0c\r \x85\xa0"
+#: Fixed value: how byte-level vocabularies write a space.
+SPACE = "\u0120"
 
 #: Characters whose NFC form is themselves and whose lower case is one character of the same range.
 PLAIN = [chr(c) for c in range(0x180) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x180]
@@ -68,6 +70,11 @@ class PieceTokenizer:
         self.cut, self.cut_id = max(added.items(), key=lambda x: x[1])
         self.starts = {t[:2] for t in added}
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.word = re.compile(f"{'' if self.lower else ' '}[{_category('L')}]+")
+        self.digit = "1" if self.lower else ""
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[k for t, k in vocabulary.items() if (t == self.digit if self.lower else t.startswith(SPACE))]] = True
         self.known: dict[str, bytes] = {}
         self.max_remembered = max_remembered
 
@@ -82,11 +89,27 @@ class PieceTokenizer:
         return self.pattern.findall(text.lower() if self.lower else text)
 
     def _learn(self, pieces: list[str]) -> None:
-        """One call for many pieces: an added token between them keeps them apart."""
-        ids = np.asarray(self.library.encode_batch_fast([self.cut.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        """One call for many pieces. Words, which nearly all of them are, are told apart by the digit between them, or
+        by the space that each begins with; other pieces by an added token between them, which is slower."""
+        words = [p for p in pieces if self.word.fullmatch(p)]
+        if words:
+            ids = self._together(self.digit.join(words))
+            first = np.flatnonzero(self.begins[ids]) + self.lower
+            first = np.concatenate([[0], first]) if self.lower else first
+            if len(first) == len(words):
+                self._remember(words, ids, first, np.append(first[1:] - self.lower, len(ids)))
+                pieces = [p for p in pieces if p not in self.known]
+        if pieces:
+            ids = self._together(self.cut.join(pieces))
+            cuts = np.flatnonzero(ids == self.cut_id)
+            self._remember(pieces, ids, np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids)))
+
+    def _together(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _remember(self, pieces: list[str], ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
         packed, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-        cuts = (np.flatnonzero(ids == self.cut_id) * size).tolist()
-        self.known.update(zip(pieces, (packed[a:b] for a, b in zip([0, *(c + size for c in cuts)], [*cuts, len(packed)], strict=True)), strict=True))
+        self.known.update(zip(pieces, (packed[a:b] for a, b in zip((first * size).tolist(), (last * size).tolist(), strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
