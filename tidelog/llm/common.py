@@ -48,22 +48,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
-def staged(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back. Inside ``scratch`` the table goes at its end, unless it is
-    to ``keep``; outside it stays for what is read from it, until ``release``."""
+def written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and where; the caller drops it, or ``release`` does."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    scope = len(_scopes.open) - 1 - keep
-    (_scopes.open[scope] if scope >= 0 else _scopes.kept).append(path)
+    _scopes.kept.append(path)
     df.write.options(**options).parquet(path)
     spark._jvm.System.gc()  # Spark's cleaner drops the shuffle files of frames that the driver's JVM has collected
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
+    """``df`` written to the shared folder and read back. Inside ``scratch`` the table goes at its end, unless it is
+    to ``keep``; outside it stays for what is read from it, until ``release``."""
+    out, path = written(df, name, **options)
+    scope = len(_scopes.open) - 1 - keep
+    if scope >= 0:
+        _scopes.open[scope].append(path)
+    return out
 
 
-def _drop(spark: SparkSession, paths: list[str]) -> None:
+def drop(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _scopes.kept:
+            _scopes.kept.remove(path)
 
 
 @contextmanager
@@ -73,13 +83,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _drop(spark, _scopes.open.pop())
+        drop(spark, _scopes.open.pop())
 
 
 def release(spark: SparkSession) -> None:
-    """Drop every table that this thread staged outside ``scratch``; frames that rest on them can't be read any more."""
-    paths, _scopes.kept = _scopes.kept, []
-    _drop(spark, paths)
+    """Drop every table that this thread staged and that is still there; frames that rest on them can't be read any more."""
+    drop(spark, list(_scopes.kept))
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
