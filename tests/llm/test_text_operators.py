@@ -287,3 +287,53 @@ def test_op2_odd_markup():
     for junk in ("<a " * 300_000, "<div>" * 30_000, "<p><div>" * 10_000 + "<p></b>" * 10_000, '<a "' * 100_000, "<!--" * 100_000, "<script>" * 50_000, "<li>" * 30_000):
         site_templates.main_text(junk, none)  # linear: the whole list takes seconds
         site_templates.main_text(junk, site_templates.Template(9, set()))
+
+
+def test_op1_risk_equals_brute_force():
+    """The risk by its definition, text by text, and its gradient by finite differences."""
+    draw = np.random.default_rng(5)
+    k, prior = 6, 0.3
+
+    def texts(n):
+        sets = [draw.choice(k, draw.integers(0, k), replace=False) for _ in range(n)]
+        return sets, (np.concatenate(sets).astype(int), np.repeat(np.arange(n), [len(x) for x in sets]), n)
+
+    (p_sets, p), (u_sets, u) = texts(7), texts(11)
+    w = draw.standard_normal(k + 1)
+    z = lambda sets: np.array([w[s].sum() + w[k] for s in sets])
+    loss = lambda z: np.log1p(np.exp(-z)).mean()
+    negative, positive, g_positive, g_negative = toxicity.risk(w, p, u, prior)
+    assert np.isclose(positive, prior * loss(z(p_sets))) and np.isclose(negative, loss(-z(u_sets)) - prior * loss(-z(p_sets)))
+    for j in range(k + 1):
+        step = np.zeros(k + 1)
+        step[j] = 1e-6
+        up, down = (toxicity.risk(w + s, p, u, prior) for s in (step, -step))
+        assert np.isclose((up[1] - down[1]) / 2e-6, g_positive[j], atol=1e-6) and np.isclose((up[0] - down[0]) / 2e-6, g_negative[j], atol=1e-6)
+
+
+def test_op6_broken_tables_and_deep_boxes():
+    data = bytearray(iso_media.write_raw_video(bytes(192 * 60)))
+    at = bytes(data).index(b"stsc") + 12
+    data[at : at + 4] = (2).to_bytes(4, "big")  # the first run doesn't begin at the first chunk
+    with pytest.raises(iso_media.MediaError):
+        iso_media.probe(bytes(data))
+    runs = iso_media.full_box(b"stsc", (3).to_bytes(4, "big"), *(b"".join(x.to_bytes(4, "big") for x in r) for r in ((1, 1, 1), (5, 1, 1), (2, 1, 1))))
+    whole = iso_media.write_raw_video(bytes(192 * 60))
+    old = whole.index(b"stsc") - 4
+    size = int.from_bytes(whole[old : old + 4], "big")
+    boxes = {kind: (a, b) for kind, a, b in iso_media.walk(whole, 0, len(whole))}
+    mended = whole[:old] + runs + whole[old + size :]
+    table = {k: (a + (len(runs) - size if a > old + 8 else 0), b + (len(runs) - size if b > old else 0)) for k, (a, b) in boxes.items()}
+    with pytest.raises(iso_media.MediaError):
+        iso_media._track(mended, table)
+    deep = b""
+    for _ in range(3_000):
+        deep = iso_media.box(b"moov", deep)
+    assert iso_media.probe(deep) == [] and sum(1 for _ in iso_media.walk(deep, 0, len(deep))) == 3_000
+
+
+def test_op3_null_ids(spark):
+    rows = [(None, "a b"), (3, None), (1, "c"), (None, "a b")]
+    out = token_files.token_file_digests(spark.createDataFrame(rows, "doc_id long, text string"), queries.public_path(queries.WORD_BPE)).collect()
+    by_start = sorted(out, key=lambda r: r.start)
+    assert [r.doc_id for r in by_start] == [None, None, 1, 3] and [r.start for r in by_start] == [0, 3, 6, 8] and [r.n_tokens for r in by_start] == [3, 3, 2, 1]

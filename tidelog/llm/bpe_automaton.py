@@ -9,8 +9,9 @@ All arcs of one token share their target, so a merge makes one state. A state is
 and the arc that it lacks, and which arcs it has follows from the order of the merges: w is present
 where u is. Looked-up arcs are kept in a table.
 
-A word is encoded by following arcs from its beginning, the longest token first. As each prefix has one
-path only, a position from which no arc leads on is never tried again. Decoding emits the arcs' labels.
+A word is encoded by table-driven transitions in one pass: every position of it that a path reaches has one
+state, as each prefix has one path only, and all arcs that leave it are followed to later positions. Nothing is
+guessed or taken back. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -96,7 +97,8 @@ class AutomatonTokenizer:
         self.automaton = MergeAutomaton([(vocab[a], vocab[b], w) for (a, b), w in zip(pairs, results, strict=True)], size)
         dead = {w for w in results if not self.automaton.born[w]}
         self.vocab = {s: t for s, t in vocab.items() if t not in dead}
-        self.longest = max(map(len, self.vocab))
+        # every beginning of a token, with the token that it is or -1
+        self.parts = {s[:k]: -1 for s in self.vocab for k in range(1, len(s))} | self.vocab
         self.labels = [""] * size
         for s, t in [*vocab.items(), *self.added.items()]:
             self.labels[t] = s
@@ -110,24 +112,32 @@ class AutomatonTokenizer:
         self.known: dict[str, tuple[str, str]] = {}
 
     def encode_letters(self, word: str) -> list[int]:
-        """Ids of one pre-split word, written in byte letters."""
-        n, suffix, longest, vocab, a = len(word), self.suffix, self.longest, self.vocab, self.automaton
-        path: list[tuple[int, int, int]] = []  # where an arc begins, the state there, its token
-        dead: set[int] = set()  # positions from which no path reaches the end
-        at, state = 0, 0
-        while at < n:
-            for end in range(min(n, at + longest), at, -1):
-                t = vocab.get(word[at:end] + suffix if end == n else word[at:end])
-                if t is not None and end not in dead and a.has_arc(state, t):
-                    path.append((at, state, t))
-                    at, state = end, a.target[t]
+        """Ids of one pre-split word, written in byte letters: one pass over its positions and the arcs that lead on from each."""
+        n, known, arcs, has_arc, target = len(word), self.parts, self.automaton.arcs, self.automaton.has_arc, self.automaton.target
+        states = [0] + [-1] * n  # a position has one state at most: a prefix of the word has one path
+        came: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        for at in range(n):
+            state = states[at]
+            if state < 0:
+                continue
+            row = state << 32
+            for end in range(at + 1, n + 1):
+                t = known.get(word[at:end])
+                if t is None:
                     break
-            else:
-                if not path:
-                    raise ValueError("the word has a letter outside the vocabulary")
-                dead.add(at)
-                at, state, _ = path.pop()
-        return [t for _, _, t in path]
+                if end == n and self.suffix:
+                    t = self.vocab.get(word[at:end] + self.suffix, -1)
+                if t >= 0 and states[end] < 0:
+                    found = arcs.get(row | t)
+                    if has_arc(state, t) if found is None else found:
+                        states[end], came[end] = target[t], (at, t)
+        if states[n] < 0:
+            raise ValueError("the word has a letter outside the vocabulary")
+        out = []
+        while n:
+            n, t = came[n]
+            out.append(t)
+        return out[::-1]
 
     def _words(self, text: str) -> Iterator[str]:
         """The text's words in byte letters, as the library's own normalizer and splitter give them."""
@@ -193,7 +203,7 @@ def tokenization_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Encode and decode every whole text. Columns: SCHEMA.
 
     Defined cases: a null or empty text has no ids, and both digests are those of the empty string; rows
-    that repeat an id are kept side by side; an empty table gives no rows; other columns are ignored.
+    that repeat an id are kept side by side, null ids stay null; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

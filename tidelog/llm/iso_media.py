@@ -79,8 +79,13 @@ def write_raw_video(payload: bytes) -> bytes:
 
 
 def walk(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(kind, start and end of the body) of the boxes between two offsets, and of those nested in them."""
-    while start < end:
+    """(kind, start and end of the body) of the boxes between two offsets, and of those nested in them, however deep."""
+    ends = [end]
+    while ends:
+        end = ends[-1]
+        if start >= end:
+            ends.pop()  # a container's body ends where the container does
+            continue
         if start + 8 > end:
             raise MediaError("a box breaks off")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -95,8 +100,10 @@ def walk(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
             raise MediaError("a box leaves its parent")
         yield kind, start + head, start + size
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size)
-        start += size
+            ends.append(start + size)
+            start += head
+        else:
+            start += size
 
 
 @dataclass
@@ -152,6 +159,8 @@ def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     if n:
         if not len(runs) or runs[0, 0] != 1:
             raise MediaError("no samples for the first chunk")
+        if (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(chunk_at):
+            raise MediaError("the runs of chunks don't rise")
         per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk_at) + 1)))
     else:
         per_chunk = np.zeros(len(chunk_at), np.int64)

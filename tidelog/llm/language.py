@@ -11,7 +11,8 @@ The dictionaries are cut from a bounded sample of training documents, its size a
 
 Defined cases: a null text or one without a letter is `und` with score 0 and rejected; without any
 training text every document is `und`; ties go to the language first by name; rows that repeat an id
-are kept side by side; other columns are ignored.
+are kept side by side, null ids stay null and are never held out; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -8,11 +8,12 @@ sample of unlabelled texts (U). With class prior pi, the risk of a decision func
 so the negative part is corrected for the toxic texts inside U and is never driven below zero: when a
 step would make it negative, the step goes up that term's gradient instead (Kiryo et al., 2017).
 
-The fit uses a bounded sample, its size a parameter; the class prior counts all labelled training
+The fit uses a bounded sample of texts of all lengths, its size a parameter; the class prior counts all labelled training
 rows. Scoring is one pass over whole texts: a word's features are looked up once for each worker.
 
 Defined cases: a null or empty text scores the classifier's bias; without a toxic training row or any
-text the score is the class prior (0 without labels); rows that repeat an id are scored apart; labels
+text the score is the class prior (0 without labels); rows that repeat an id are scored apart, null ids too and
+never held out; labels
 that are null or belong to no document are ignored; other columns are ignored.
 """
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of the fit: texts of either kind, their length, features; and the fold that labels are never learned from.
-POSITIVES, UNLABELLED, MAX_CHARS, FEATURES = 1_500, 3_000, 4_000, 4_096
+#: Bounds of the fit: texts of either kind, the length to which longer ones are cut, features; and the fold that labels are never learned from.
+POSITIVES, UNLABELLED, MAX_CHARS, FEATURES = 1_500, 3_000, 20_000, 4_096
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Words whose features a worker remembers.
@@ -118,6 +119,24 @@ def fit_texts(positive: list[str], unlabelled: list[str], prior: float) -> Linea
     return fit_nnpu([numbers(t) for t in positive], [numbers(t) for t in unlabelled], list(index), prior)
 
 
+def risk(w: np.ndarray, positive: tuple, unlabelled: tuple, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The negative part R_U(-) - pi R_P(-) of the risk, its positive part pi R_P(+), and the gradients of the latter and
+    the former. Texts are given as feature numbers, the rows they belong to, and how many rows there are; the last weight is the bias."""
+    k = len(w) - 1
+
+    def scores(col: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(row, w[col], n) + w[k]
+
+    def gradient(texts: tuple, each: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(texts[0], each[texts[1]], k), each.sum())
+
+    zp, zu, n, m = scores(*positive), scores(*unlabelled), positive[2], unlabelled[2]
+    # the logistic loss is log(1 + exp(-z)) for the label +, log(1 + exp(z)) for the label -
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g_negative = gradient(unlabelled, sigmoid(zu) / m) - prior * gradient(positive, sigmoid(zp) / n)
+    return negative, prior * np.logaddexp(0, -zp).mean(), prior * gradient(positive, (sigmoid(zp) - 1) / n), g_negative
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: list[str], prior: float, steps: int = 1_000, rate: float = 0.02, l2: float = 1e-3) -> LinearModel:
     """Full-batch Adam on the non-negative risk with the logistic loss. A text is the numbers of its features."""
     chosen = choose_features(positive, unlabelled, len(features), prior)
@@ -135,17 +154,9 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], features:
     w = np.zeros(k + 1)
     w[k] = np.log(prior / (1 - prior))
     first, second = np.zeros(k + 1), np.zeros(k + 1)
-
-    def gradient(col: np.ndarray, row: np.ndarray, each: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(col, each[row], k), each.sum())
-
     for step in range(1, steps + 1):
-        zp = np.bincount(p_row, w[p_col], n) + w[k]
-        zu = np.bincount(u_row, w[u_col], m) + w[k]
-        # the logistic loss's slope is sigmoid(z) - 1 for the label +, sigmoid(z) for the label -
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = gradient(u_col, u_row, sigmoid(zu) / m) - prior * gradient(p_col, p_row, sigmoid(zp) / n)
-        g = prior * gradient(p_col, p_row, (sigmoid(zp) - 1) / n) + g_negative if negative >= 0 else -g_negative
+        negative, _, g_positive, g_negative = risk(w, (p_col, p_row, n), (u_col, u_row, m), prior)
+        g = g_positive + g_negative if negative >= 0 else -g_negative
         g[:k] += l2 * w[:k]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
@@ -160,13 +171,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not 0 < prior < 1:
         return LinearModel({}, 40.0 if prior == 1 else -40.0)
     draw = F.xxhash64("doc_id")
-    short = common.texts(docs).where(F.length("text").between(1, MAX_CHARS) & F.col("doc_id").isNotNull() & (common.id_remainder("doc_id", FOLDS) != HELD_OUT))
+    usable = (F.length("text") > 0) & F.col("doc_id").isNotNull() & (common.id_remainder("doc_id", FOLDS) != HELD_OUT)
+    texts = common.texts(docs).where(usable).withColumn("text", F.substring("text", 1, MAX_CHARS))
     ids = known.where("toxic = 1").select("doc_id").distinct().orderBy(draw, "doc_id").limit(2 * positives)
-    chosen = short.join(F.broadcast(ids), "doc_id", "left_semi")  # at most 2 * positives ids
+    chosen = texts.join(F.broadcast(ids), "doc_id", "left_semi")  # at most 2 * positives ids
     p = [r.text for r in chosen.orderBy(draw, "doc_id").limit(positives).collect()]
-    u_rows = short.select("doc_id").count()
+    u_rows = texts.select("doc_id").count()
     share = min(1.0, 1.5 * unlabelled / max(u_rows, 1))
-    u_docs = short.where(F.pmod(draw, F.lit(1 << 40)) < int(share * (1 << 40)) + 1).limit(3 * unlabelled)
+    u_docs = texts.where(F.pmod(draw, F.lit(1 << 40)) < int(share * (1 << 40)) + 1).limit(3 * unlabelled)
     u = [r.text for r in u_docs.orderBy(draw, "doc_id").limit(unlabelled).collect()]
     if not p or not u:
         return LinearModel({}, float(np.log(prior / (1 - prior))))
