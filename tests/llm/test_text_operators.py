@@ -337,3 +337,18 @@ def test_op3_null_ids(spark):
     out = token_files.token_file_digests(spark.createDataFrame(rows, "doc_id long, text string"), queries.public_path(queries.WORD_BPE)).collect()
     by_start = sorted(out, key=lambda r: r.start)
     assert [r.doc_id for r in by_start] == [None, None, 1, 3] and [r.start for r in by_start] == [0, 3, 6, 8] and [r.n_tokens for r in by_start] == [3, 3, 2, 1]
+
+
+def test_op7_rejects_what_no_language_leads():
+    """Long texts of no known language are rejected however many bytes one happens to lead by; single words are kept."""
+    draw = random.Random(3)
+    words = {lang: ["".join(draw.choice(letters) for _ in range(draw.randint(2, 9))) for _ in range(900)] for lang, letters in (("x", "abcdefgh"), ("y", "ijklmnop"))}
+    model = language.CompressionClassifier({k: [" ".join(draw.sample(v, 700)).encode() for _ in range(3)] for k, v in words.items()})
+    junk = " ".join("".join(draw.choice("qrstuvwz") for _ in range(7)) for _ in range(3_000))
+    assert model.predict(junk)[2]
+    for lang, own in words.items():
+        for n in (1, 5, 400):
+            text = " ".join(draw.sample(own, n))
+            assert model.predict(text)[0] == lang and not model.predict(text)[2]
+    sizes = {lang: sum(len(c.compress(anchor + language.distinct_words(own[0]))) - base for c, anchor, base in cs) / len(cs) for (lang, cs), own in zip(zip(model.dictionaries, model._prepare(), strict=True), [words["x"]] * 2, strict=True)}
+    assert np.allclose(list(sizes.values()), model.sizes(words["x"][0]))  # brute force: every dictionary encodes the text
