@@ -419,7 +419,7 @@ _WRONG = [
     ("INSERT INTO nation VALUES (100, 'FRANCE', 1)", "unique constraint violation on column 'n_name'"),
     ("INSERT INTO nation VALUES ('x', 'NEW', 1)", "column 'n_nationkey' expects INT"),
     ("INSERT INTO nation VALUES (1)", "value count mismatch"),
-    ("UPDATE nation SET n_name = 'FRANCE' WHERE n_nationkey = 1", "unique constraint violation on column 'n_name'"),
+    ("UPDATE nation SET n_name = 'X' WHERE n_regionkey = 1", "unique constraint violation on column 'n_name'"),
     ("UPDATE nation SET nothing = 1 WHERE n_nationkey = 1", "row has extra columns"),
     ("SELECT * FROM nobody", "table 'nobody' does not exist"),
 ]
