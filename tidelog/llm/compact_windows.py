@@ -281,15 +281,26 @@ def _contexts(rest: DataFrame, docs: DataFrame, words: int, width: int) -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 64):
-            for i, tokens in enumerate(ngrams_of(batch.column(3).to_pylist(), words)):
-                ws = batch.column(2)[i].values
-                low = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                for part in (ws.slice(k, 2_000) for k in range(0, len(ws), 2_000)):
-                    c, left, right = (part.field(k).to_numpy() for k in (1, 2, 3))
-                    first, last = np.maximum(left, c - 3 * width), np.minimum(right, c + 3 * width)
-                    around = [low[x : y + 1].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-                    names = [pa.array(np.full(len(part), batch.column(k)[i].as_py()), pa.int64()) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([part.field(0), *names, *(part.field(k) for k in range(1, 7)), pa.array(around, pa.binary())], schema=arrow)
+            ws = batch.column(2)
+            counts = np.diff(ws.offsets.to_numpy())
+            every = ws.flatten()
+            c, left, right = (every.field(k).to_numpy() for k in (1, 2, 3))
+            first, lengths = np.maximum(left, c - 3 * width), np.minimum(right, c + 3 * width) - np.maximum(left, c - 3 * width) + 1
+            # the texts' tokens one after the other, and each window's part of them
+            tokens = ngrams_of(batch.column(3).to_pylist(), words)
+            starts = np.cumsum([0, *map(len, tokens)])[:-1]
+            low = (np.concatenate(tokens) & np.uint64(0xFFFFFFFF)).astype(np.uint32) if tokens else np.zeros(0, np.uint32)
+            first = first + np.repeat(starts, counts)
+            names = [pa.array(np.repeat(batch.column(k).to_numpy(), counts)) for k in (0, 1)]
+            for k in range(0, len(every), 20_000):
+                part = slice(k, k + 20_000)
+                n = lengths[part]
+                ends = np.cumsum(n)
+                data = low[np.repeat(first[part] - ends + n, n) + np.arange(ends[-1])]
+                offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+                around = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                own = every.slice(k, len(n))
+                yield pa.RecordBatch.from_arrays([own.field(0), *(x.slice(k, len(n)) for x in names), *(own.field(f) for f in range(1, 7)), around], schema=arrow)
 
     return rows.select("doc", "txt", "ws", "text").mapInArrow(run, schema)
 
@@ -316,8 +327,7 @@ class Cell:
         self.component = np.where(self.linked, self.n, np.arange(self.n))
         self.lesser = self.linked.copy()
         self.failed: set[tuple] = set()
-        cost = 2 * percent / (100 - percent)
-        self.need = int(np.ceil(width * cost / (1 + cost) - 1e-9))
+        self.need = shared_least(width, percent)
 
     def matters(self, a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
         possible = (self.doc[a] < self.doc[b]) & ((self.component[a] != self.component[b]) | ~self.lesser[b])
@@ -330,6 +340,8 @@ class Cell:
         if what in self.failed:
             return
         x, y = self.contexts[a], self.contexts[b]
+        if not self.masked and among(y[max(0, self.at[b] - 2 * self.width) : self.at[b] + 2 * self.width + 1], np.sort(x)).sum() < self.need:
+            return  # of few windows, the quickest test first
         seed = (int(self.at[a]), 0, len(x) - 1, int(self.at[b]), 0, len(y) - 1)
         if self.whole[a] and self.whole[b]:  # all that a passage may hold
             p = passage_around(x, y, seed, self.width, self.percent, self.words)
@@ -493,6 +505,24 @@ class Cell:
         return (left[:, within] + beyond[:, least[within]] >= 1 - 1e-3).any(axis=1)
 
 
+def shared_least(width: int, percent: int) -> int:
+    """How many of a passage's tokens that are near its seed the other text has at least."""
+    cost = 2 * percent / (100 - percent)
+    return int(np.ceil(width * cost / (1 + cost) - 1e-9))
+
+
+def worth_a_cell(held: list, width: int, percent: int) -> bool:
+    """Whether a bucket's windows, as ``Cell`` takes them, may hold a pair to look at; for two windows by their tokens."""
+    if len(held) < 2 or held[0][0] == held[-1][0] or all(r[5] for r in held):
+        return False
+    if len(held) == 2:
+        a, b = held
+        at = b[2] - max(b[3], b[2] - 3 * width)
+        near = np.frombuffer(b[7], np.uint32)[max(0, at - 2 * width) : at + 2 * width + 1]
+        return int(among(near, np.sort(np.frombuffer(a[7], np.uint32))).sum()) >= shared_least(width, percent)
+    return True
+
+
 def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percent: int) -> DataFrame:
     """Seeds of all pairs of windows of each bucket of ``rest`` that could join components. Columns as _around_centre,
     and those of a passage, null where the seed has yet to be followed beyond the tokens around it."""
@@ -505,7 +535,7 @@ def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percen
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> list[tuple]:
-            return [(*x, key[0] & 7) for x in Cell(held, width, percent, words).seeds()] if len(held) > 1 else []
+            return [(*x, key[0] & 7) for x in Cell(held, width, percent, words).seeds()] if worth_a_cell(held, width, percent) else []
 
         key, held, out = None, [], []
         for batch in batches:

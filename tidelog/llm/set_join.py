@@ -43,7 +43,7 @@ MEETING_COST = 20.0
 BYTES_AT_ONCE = 1 << 19
 #: Parts of the universe that a sketch counts, sketches that half a cell and that a part of a centre's members hold, and
 #: parts that a frequent signature's classes are dealt into.
-SKETCH, HALF, MEMBERS, SALTS = 256, 1_024, 100_000, 1_024
+SKETCH, HALF, MEMBERS, SALTS = 256, 2_048, 100_000, 1_024
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -329,6 +329,38 @@ def verified(pairs: DataFrame, found: DataFrame, words: int, percent: int) -> Da
     return _beside_centre(pairs, found, "text", "n", GROUP_NGRAMS).mapInArrow(run, "a long, b long")
 
 
+def compatible_pairs(cls: np.ndarray, component: np.ndarray, half: np.ndarray, rows: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of a cell's classes, edges that connect all pairs of different components (and halves, if there are two) that may be
+    similar by their sketches, ``rows``. Only pairs with a class outside the largest component are looked at: there are no others."""
+    size = np.ascontiguousarray(rows[:, SKETCH:]).view("<u8")[:, 0].astype(np.int64)
+    order = np.argsort(size, kind="stable")
+    cls, component, half, size, counts = cls[order], component[order], half[order], size[order], rows[order, :SKETCH].astype(np.int16)
+    crosswise = half.any() and not half.all()
+    names, n = np.unique(component, return_counts=True)
+    if len(names) < 2:
+        return []
+    largest = names[n.argmax()] if n.max() > 1 else None
+    coarse = counts.reshape(len(counts), -1, 4).sum(2, dtype=np.int32)  # differs at most as much; turns most pairs away
+    # a similar set is neither much smaller nor much larger
+    first, last = np.searchsorted(size, -(-size * percent // 100)), np.searchsorted(size, size * 100 // percent, "right")
+    group, out = np.arange(len(cls)), []
+    for k in range(len(cls)) if largest is None else np.flatnonzero(component != largest).tolist():
+        part = slice(k + 1 if largest is None else int(first[k]), int(last[k]))
+        most = (100 - percent) * (size[part] + size[k]) // (100 + percent)
+        found = np.flatnonzero(np.abs(coarse[part] - coarse[k]).sum(1, dtype=np.int32) <= most) + part.start
+        if not len(found):
+            continue
+        found = found[(component[found] != component[k]) & (group[found] != group[k])]
+        if crosswise:
+            found = found[half[found] != half[k]]
+        found = found[np.abs(counts[found] - counts[k]).sum(1, dtype=np.int32) <= most[found - part.start]]
+        joined, where = np.unique(group[found], return_index=True)
+        out += [(int(cls[k]), int(cls[found[w]])) for w in where.tolist()]
+        if len(joined):
+            group[np.isin(group, joined)] = group[k]
+    return out
+
+
 def compatible(rest: DataFrame, hot: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect the classes of a bucket that may be linked, by sketches of all its pairs of different
     components: a spanning forest for each cell. ``rest``: sig, cls, component."""
@@ -340,16 +372,7 @@ def compatible(rest: DataFrame, hot: DataFrame, classes: DataFrame, percent: int
     def edges(held: list[tuple]) -> list[tuple[int, int]]:
         cls, component, half = (np.array(x) for x in list(zip(*held, strict=True))[:3])
         rows = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(-1, SKETCH + 8)
-        crosswise = half.any() and not half.all()
-        group, out = np.arange(len(held)), []
-        for k in range(len(held)):
-            able = (component != component[k]) & (group != group[k])
-            others = np.flatnonzero(able & (half != half[k]) if crosswise else able)
-            for j in others[may_be_similar(rows[k], rows[others], percent)].tolist() if len(others) else ():
-                if group[j] != group[k]:
-                    group[group == group[j]] = group[k]
-                    out.append((int(cls[k]), int(cls[j])))
-        return out
+        return compatible_pairs(cls, component, half, rows, percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
