@@ -102,6 +102,33 @@ def test_pigeonhole_allotments():
                 assert np.intersect1d(bands.signatures(np.unique(a)), bands.signatures(np.unique(b))).size
 
 
+def test_compatible_pairs_connect_what_sketches_allow():
+    draw = np.random.default_rng(7)
+    sets, base = [], [np.unique(draw.integers(0, 1 << 62, 150)).astype(np.uint64) for _ in range(12)]
+    for k in range(120):
+        b = base[k % 12]
+        sets.append(np.unique(np.concatenate([b[: len(b) - k // 5], draw.integers(0, 1 << 62, k // 6).astype(np.uint64)])))
+    rows = np.frombuffer(b"".join(map(set_join.sketch, sets)), np.uint8).reshape(120, -1)
+    cls, none = np.arange(120) + 1000, np.zeros(120, bool)
+    for component in (np.arange(120), np.where(np.arange(120) % 12 < 6, 0, np.arange(120))):
+        for half in (none, np.arange(120) % 2 == 1):
+            found = set_join.compatible_pairs(cls, component, half, rows, 80)
+            parent = {int(c): int(c) for c in cls}
+
+            def find(x, parent=parent):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in found:
+                parent[find(a)] = find(b)
+            for a, b in combinations(range(120), 2):
+                if component[a] != component[b] and (half[a] != half[b] or not half.any()):
+                    if set_join.similar(sets[a], sets[b], 80):
+                        assert find(1000 + a) == find(1000 + b)
+    assert len(set_join.compatible_pairs(cls, np.arange(120), none, rows, 80)) < 120
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 30)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     for one_task in (0, 1000):
@@ -242,6 +269,39 @@ def test_op8_least_document_quotes_itself(spark):
     assert {(10 * k + 1, 10 * k + 2) for k in range(60)} <= pairs and all(a // 10 == b // 10 for a, b in pairs)
 
 
+def test_cut_repeats_by_text(spark):
+    """Rows that share an id lose what their own text repeats only, and words that the other text lacks stay."""
+    draw = random.Random(31)
+    passage = prose(draw, 60)
+    own = [[f"own{k}_{i}" for i in range(100)] for k in range(4)]
+    changed = [*passage[:30], "EDIT", *passage[31:]]
+    rows = [(1, " ".join(own[0][:40] + passage + own[0][40:])), (2, " ".join(own[1][:40] + passage + own[1][40:])), (2, " ".join(own[2])), (3, " ".join(own[3][:50] + changed + own[3][50:]))]
+    cut = sorted((r.doc_id, r.text) for r in compact_windows.cut_repeats(documents(spark, rows)).collect())
+    assert [t for k, t in cut if k == 1] == [rows[0][1]]
+    assert {t for k, t in cut if k == 2} == {" ".join(own[1]), " ".join(own[2])}
+    left = next(t for k, t in cut if k == 3).split()
+    assert [w for w in left if w.startswith("own")] == own[3] and "EDIT" in left and len(left) <= 102
+
+
+def test_op8_recall_against_brute_force(spark):
+    """Of pairs of passages at similarities from 0.8 on, by all pairs of stretches; a pair in 625 may be missed at 0.8."""
+    draw = random.Random(32)
+    texts, wanted = [], {}
+    for k in range(150):
+        passage = prose(draw, draw.randint(50, 140))
+        other = list(passage)
+        for i in draw.sample(range(5, len(passage) - 5), draw.randint(0, len(passage) // 50)):
+            other[i] = f"e{k}_{i}"
+        grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (passage, other)]
+        similarity = len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+        if similarity >= 0.8:
+            wanted[10 * k + 1, 10 * k + 2] = similarity
+        texts += [(10 * k + j, " ".join(prose(draw, 60) + p + prose(draw, 60))) for j, p in ((1, passage), (2, other))]
+    pairs = pairs_found(spark, texts)
+    assert len(wanted) > 100 and min(wanted.values()) < 0.83 and max(wanted.values()) == 1.0
+    assert len(set(wanted) - pairs) <= 1 and all(a // 10 == b // 10 for a, b in pairs)
+
+
 def test_without_spans():
     assert compact_windows.without_spans("a b  c\nd e", [(1, 3)]) == "a d e" and compact_windows.without_spans(" a b", [(0, 2)]) == " " and compact_windows.without_spans("é b c", [(0, 1), (0, 2)]) == "c"
 
@@ -290,6 +350,38 @@ def test_op9_finds_nine_of_ten_among_a_tenth(n):
     assert wrong < 0.5 * 60 * 11
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, __row string, __cuts int, __again int, __txt long, sig long"
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    """Nulls, empty and long texts, repeated rows and ids, columns with clashing names, in every stage; and empty tables."""
+    sf, draw = "/root/testdata/sf0.001", random.Random(33)
+    some = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and length(text) > 400").orderBy("doc_id").limit(6).collect()]
+    rows = [(900 + k, t) for k, t in enumerate(some)]
+    rows += [(None, None), (None, some[0]), (None, some[0]), (910, None), (911, ""), (912, " \n"), (913, "\n".join(some) * 40), (900, some[0]), (901, some[2]), (914, some[3]), (915, some[4] + " more"), (916, "12 34")]
+    docs = spark.createDataFrame([(k, t, None, None, len(t or ""), "x", 1, 2, 3, 4) for k, t in rows], ODD)
+    both = docs.unionByName(spark.read.parquet(f"{sf}/documents.parquet"), allowMissingColumns=True)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["language"](spark, both, sf)
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns and {900, 901, 913, None} <= ids and not {910, 911, 912, 916} & ids
+    clean = stages["toxicity"](spark, docs, sf)
+    assert clean.columns == docs.columns and clean.count() >= docs.count() - 3
+    single = stages["near copies"](spark, docs, sf).collect()
+    found = sorted((r.doc_id, r.text or "") for r in single if r.doc_id is not None)
+    assert [k for k, _ in found].count(900) == 1 and 914 not in dict(found) and 915 not in dict(found) and {910, 911, 912, 913} <= set(dict(found))
+    assert sorted(r.text or "" for r in single if r.doc_id is None) == ["", some[0]]
+    cut = stages["repeated passages"](spark, docs, sf)
+    texts = {}
+    for r in cut.collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+    assert cut.columns == docs.columns and texts[900] == [some[0]] * 2 and 902 not in texts and 914 not in texts and len(texts[913][0]) < 0.1 * len(rows[12][1]) if 913 in texts else True
+    packed = stages["packing"](spark, docs, sf).collect()
+    assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0) and len([r for r in packed if r.start == 0]) == docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
 def test_pipeline_stages_act(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
