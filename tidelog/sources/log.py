@@ -118,6 +118,12 @@ def _line_checksum(line: Column) -> Column:
     return F.sha2(F.regexp_replace(line, r'"checksum":"[^"]*"\}\s*$', r'"checksum":""}'), 256)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """The same rows. What makes their columns runs once a row: no filter or projection above goes below a generator, where
+    each of their uses of a column would make it again."""
+    return rows.select(F.explode(F.array(F.struct("*"))).alias("row")).select("row.*")
+
+
 def read_lines(spark: SparkSession, path: str, stop_at_error: bool = False) -> tuple[DataFrame, DataFrame]:
     """Events of a newline-delimited JSON log, and its quarantine: where the line stands (file, block, place), the line,
     a message, and id, type and time as far as they can be read.
@@ -138,13 +144,14 @@ def read_lines(spark: SparkSession, path: str, stop_at_error: bool = False) -> t
     if stop_at_error:
         first = parsed.where("bad").agg(F.min("at").alias("cut"))
         parsed = parsed.crossJoin(F.broadcast(first)).where("cut is null or at < cut")  # one row
-    flat = parsed.where("not bad").select("e.*", (F.col("e.checksum") == _line_checksum(F.col("value"))).alias("sound")).withColumn("timestamp", _utc("timestamp"))
+    flat = _once(parsed).where("not bad").select("e.*", (F.col("e.checksum") == _line_checksum(F.col("value"))).alias("sound")).withColumn("timestamp", _utc("timestamp"))
     definition = F.when(F.col("type") == EVOLVED, F.col("payload")).otherwise(F.get_json_object("payload", "$.columns"))
-    events = flat.select(
+    events = _once(flat).select(
         "id", "type", "timestamp", "version", "tx_id", F.get_json_object("payload", "$.table_name").alias("table_name"), F.get_json_object("payload", "$.row_id").cast("long").alias("row_id"),
         F.when(F.col("type") != DELETED, _values(*_DATA[:2])).alias("data"), F.when(F.col("type") == DELETED, _values(_DATA[2])).otherwise(_values(_OLD)).alias("old"), definition.alias("definition"), "checksum", "sound",
     )
-    return events.withColumn("checksum", F.when(F.col("sound"), checksum()).otherwise(F.col("checksum"))).select(SCHEMA.names), quarantine
+    events = _once(events).withColumn("checksum", F.when(F.col("sound"), checksum()).otherwise(F.col("checksum")))
+    return _once(events.select(SCHEMA.names)), quarantine
 
 
 def read_all(spark: SparkSession, path: str) -> DataFrame:
