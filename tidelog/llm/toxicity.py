@@ -160,6 +160,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], features:
         g[:k] += l2 * w[:k]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+        w[k] = min(w[k], np.log(prior / (1 - prior)))  # a text of no toxic feature is never likelier toxic than any text
     return LinearModel(dict(zip(names, w[:k].tolist(), strict=True)), float(w[k]))
 
 
