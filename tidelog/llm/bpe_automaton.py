@@ -189,7 +189,7 @@ class AutomatonTokenizer:
         return " ".join(ids), " ".join(labels)
 
 
-_loaded: dict[str, AutomatonTokenizer] = {}
+_loaded: dict[str, AutomatonTokenizer] = common.memory("automaton")
 
 
 def automaton(path: str) -> AutomatonTokenizer:
@@ -208,7 +208,7 @@ def tokenization_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = automaton(tokenizer_path)
-        for b in common.slices(batches):
+        for b in common.slices(batches, owner="automaton"):
             n, a, d = [], [], []
             for text in b.column(1).to_pylist():
                 ids, decoded = t.encode_and_decode(text)

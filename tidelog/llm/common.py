@@ -7,6 +7,7 @@ that the cluster names in ``spark.checkpoint.dir``, so a lost executor costs onl
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import threading
@@ -118,8 +119,29 @@ def parts_of(rows: DataFrame, key: str, weight: Column, least: int) -> DataFrame
     return rows.groupBy(key).agg(F.sum(weight).alias("w")).where(F.col("w") > share).select(key, F.ceil(F.col("w") / share).alias("parts"))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that what Python objects hold at once is bounded. Spark bounds a batch's bytes itself."""
+#: What this worker process remembers between tasks, by the operator whose it is.
+_memories: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    """What tasks of one operator remember in this process, until tasks of another begin."""
+    return _memories.setdefault(owner, {})
+
+
+def forget(but: str | None = None) -> None:
+    """Drop what other operators' tasks left in this process, and give free pages back: workers outlive the steps of a pipeline."""
+    for owner, held in _memories.items():
+        if owner != but:
+            held.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what Python objects hold at once is bounded. Spark bounds a batch's bytes itself.
+    Of what the process remembers only the ``owner``'s stays."""
+    forget(owner)
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)

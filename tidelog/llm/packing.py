@@ -138,7 +138,7 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterat
     """(doc_id, ids with the end id) of every document of a task."""
     t = tokens.tokenizer(path)
     end = np.array([end_id], t.dtype)
-    for b in common.slices(batches):
+    for b in common.slices(batches, owner="pieces"):
         for doc, ids in zip(b.column(0).to_pylist(), t.encode(b.column(1).to_pylist()), strict=True):
             yield doc, np.concatenate([ids, end])
 

@@ -15,6 +15,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from . import common
+
 #: Most distinct pieces that one worker remembers, and characters split at once.
 MAX_REMEMBERED, CHARS_AT_ONCE = 700_000, 1_000_000
 
@@ -138,7 +140,7 @@ class PieceTokenizer:
                 del self.known[p]
 
 
-_loaded: dict[str, PieceTokenizer] = {}
+_loaded: dict[str, PieceTokenizer] = common.memory("pieces")
 
 
 def tokenizer(path: str) -> PieceTokenizer:
