@@ -4,8 +4,12 @@ Two sets with Jaccard similarity t or more and sizes below u differ in at most H
 n-grams. Sizes are dealt into bands; in a band, hashing splits the universe of n-grams into m segments
 of which d also take the neighbourhood of one deletion, with m + d = H + 1 + e. By the pigeonhole
 principle two similar sets agree on e + 1 segments, or differ by one n-gram on one of those d. A set's
-signatures are its subsets by segment, and on d segments also each subset less one n-gram; a set with at
-most e empty subsets leaves these out, as another agreement remains. d is the one of least cost:
+signatures are its subsets by segment, and on d segments also each subset less one n-gram, but never an
+empty subset, which unrelated sets would share: a segment counts 0 for a set that has nothing there, 2 if
+it takes deletions and two n-grams or more, else 1, and each set takes deletions on its own first segments
+until these sum to H + 1. Of two similar sets the one with fewer such segments differs from the other by
+fewer n-grams than its sum, so they share a signature. A set that can't reach the sum takes deletions on
+all segments, and empty subsets too, which only such sets need to share. m and d, for the mean set, are those of least cost:
 signatures to ship against chance meetings, which grow with the square of the number of documents.
 
 Documents with equal sets form a class. Buckets of the same classes count once. In each bucket of classes
@@ -201,13 +205,17 @@ class Bands:
                 sums = np.zeros(segments, np.uint64)
                 np.add.at(sums, segment, spread)
                 names = mix(np.arange(segments, dtype=np.uint64) + np.uint64(band << 32) + np.uint64(1))
-                kept = np.bincount(segment, minlength=segments) > 0
-                if segments - kept.sum() > spare:
-                    kept[:] = True
-                kept[:deleting] = True
+                held = np.bincount(segment, minlength=segments)
+                kept = held > 0
+                missing = segments + deleting - spare - int(kept.sum())
+                gained = np.cumsum(held > 1)
+                if missing > gained[-1]:  # too few n-grams for these segments
+                    deleting, kept, several = segments, held >= 0, held >= 0
+                else:
+                    deleting, several = int(np.searchsorted(gained, missing)) + 1 if missing > 0 else 0, held > 1
                 out.append(mix(sums[kept]) + names[kept])
                 if deleting:
-                    has = segment < deleting
+                    has = (segment < deleting) & several[segment]
                     out.append(mix(sums[segment[has]] - spread[has]) + names[segment[has]])
             return distinct(mix(np.concatenate(out))) if out else np.zeros(0, np.uint64)
 
