@@ -48,8 +48,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     at = np.cumsum(lens, dtype=np.int64) - lens
     data = np.zeros(int(lens.sum(dtype=np.int64)), np.uint8)
-    for k in range(4):
-        has = lens > k
+    data[at] = ranks & np.uint32(0xFF)
+    for k in range(1, 4):
+        has = np.flatnonzero(lens > k)
         data[at[has] + k] = (ranks[has] >> np.uint32(8 * k)) & np.uint32(0xFF)
     return control.tobytes(), data.tobytes()
 

@@ -2,7 +2,8 @@
 
 Both supported layouts (lower-casing word BPE, byte-level BPE) split a text into pieces that are
 encoded independently, so the library needs to see each distinct piece once; ids of a document are
-the concatenation over its pieces. Texts with any character outside a proven range, or that hold
+the concatenation over its pieces. Pieces of the lower-casing layout hold no white space, so there
+texts are split at it, and what lies between is remembered. Texts with any character outside a proven range, or that hold
 the start of an added token, go to the library whole, so results are always the library's own.
 """
 
@@ -12,17 +13,20 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 
 from . import common
 
-#: Most distinct pieces that one worker remembers, and characters split at once.
-MAX_REMEMBERED, CHARS_AT_ONCE = 700_000, 1_000_000
+#: Most distinct pieces that one worker remembers, characters that these have at most, and characters split at once.
+MAX_REMEMBERED, LONGEST, CHARS_AT_ONCE = 700_000, 64, 1_000_000
 
 #: The contractions that both tokenizers split off, and Unicode white space below U+0180.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WHITE = "\t\n\x0b\x0c\r \x85\xa0"
+#: Fixed value: what else Python splits at below U+0180.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Fixed value: how byte-level vocabularies write a space.
 SPACE = "\u0120"
 
@@ -62,6 +66,7 @@ class PieceTokenizer:
     def __init__(self, path: str, max_remembered: int = MAX_REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -77,6 +82,12 @@ class PieceTokenizer:
         vocabulary = self.library.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[k for t, k in vocabulary.items() if (t == self.digit if self.lower else t.startswith(SPACE))]] = True
+        # a lower-case ASCII word needs no more than the model, which marks its end
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        suffix = self.lower and self.library.model.end_of_word_suffix
+        self.last = np.zeros(len(self.begins), bool)
+        self.last[[k for t, k in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.max_remembered = max_remembered
 
@@ -90,9 +101,30 @@ class PieceTokenizer:
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text.lower() if self.lower else text)
 
+    def _split(self, text: str) -> list[str]:
+        """What is remembered of a text: its pieces, or what lies between its white space."""
+        if self.lower and not any(c in text for c in SEPARATORS):
+            return text.lower().split()
+        return self.pieces(text)
+
+    def _learn_all(self, fresh: list[str]) -> None:
+        """Learn what ``_split`` gave."""
+        several = {x: self.pattern.findall(x) for x in fresh if not x.isalpha()} if self.lower else {}
+        pieces = {p for x in several.values() for p in x}.union(x for x in fresh if x not in several)
+        self._learn(list(pieces.difference(self.known)))
+        self.known.update((x, b"".join(map(self.known.__getitem__, ps))) for x, ps in several.items() if len(ps) > 1)
+
     def _learn(self, pieces: list[str]) -> None:
-        """One call for many pieces. Words, which nearly all of them are, are told apart by the digit between them, or
-        by the space that each begins with; other pieces by an added token between them, which is slower."""
+        """One call for many pieces. ASCII words of the lower-casing layout are told apart by the tokens that end words.
+        Other words are by the digit between them, or by the space that each begins with; other pieces by an added
+        token between them, which is slower."""
+        if self.last.any():
+            words = [p for p in pieces if p.isascii() and p.isalpha()]
+            ids = np.asarray(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.last[ids]) + 1
+            if words and len(last) == len(words):
+                self._remember(words, ids, np.concatenate([[0], last[:-1]]), last)
+                pieces = [p for p in pieces if p not in self.known]
         words = [p for p in pieces if self.word.fullmatch(p)]
         if words:
             ids = self._together(self.digit.join(words))
@@ -125,19 +157,20 @@ class PieceTokenizer:
             start = end
 
     def _encode_some(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [self.pieces(t) if self.is_plain(t) else None for t in texts]
-        found = [x and list(map(self.known.get, x)) for x in split]
-        fresh = {p for x, f in zip(split, found, strict=True) if f and None in f for p, v in zip(x, f, strict=True) if v is None}
+        split = [self._split(t) if self.is_plain(t) else None for t in texts]
+        before = len(self.known)
+        fresh = set().union(*(x for x in split if x)).difference(self.known)
         if fresh:
-            self._learn(list(fresh))
-        for text, x, f in zip(texts, split, found, strict=True):
-            if x is None:
-                yield self.ids(text)
-            else:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, x) if None in (f or ()) else f or ()), self.dtype)
+            self._learn_all(list(fresh))
+        for text, x in zip(texts, split, strict=True):
+            yield self.ids(text) if x is None else np.frombuffer(b"".join(map(self.known.__getitem__, x)), self.dtype)
         if len(self.known) > self.max_remembered:  # what came first is the most frequent
-            for p in fresh:
-                del self.known[p]
+            while len(self.known) > before:
+                self.known.popitem()
+        elif fresh:
+            for x in list(islice(reversed(self.known), len(self.known) - before)):
+                if len(x) > LONGEST:
+                    del self.known[x]
 
 
 _loaded: dict[str, PieceTokenizer] = common.memory("pieces")
