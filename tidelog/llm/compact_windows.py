@@ -188,7 +188,7 @@ def passage_around(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: i
     if near is None:
         return None
     left, right = _scores(a, b, seed, width, percent, len(a) + len(b))
-    for x, y in (_longest(left, right), (int(left.argmax()), int(right.argmax())), near):
+    for x, y in dict.fromkeys((_longest(left, right), (int(left.argmax()), int(right.argmax())), near)):
         found = passage_of(a, b, seed, x, y, width, percent, words)
         if found:
             return found
@@ -468,35 +468,46 @@ class Cell:
                     components += self.component[b] != before
                     others = others[self.matters(others, b)]
 
-
     def _sharing(self, b: int, part: slice) -> np.ndarray:
-        """The windows that share enough tokens with b, as far apart in the other window as in a passage."""
-        tokens = np.sort(self.token[part][self.near[part]])
-        tokens = tokens[self.alive[tokens]]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        tokens, weights = tokens[first], np.diff(np.append(first, len(tokens)))
-        start, counts = self.first[tokens], self.first[tokens + 1] - self.first[tokens]
-        places = np.repeat(start - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        """The windows before b that share enough tokens with it, as far apart in the other window as in a passage."""
+        own = np.sort(self.entry[part][self.near[part] & self.alive[self.token[part]]])
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+        own, weights = own[first], np.diff(np.append(first, len(own)))
+        places, counts = self._before(own)
         whose = self.index_owner[places]
         shared = np.bincount(whose, np.repeat(weights, counts), self.n)
-        low, high = np.full(self.n, 1 << 30), np.zeros(self.n, np.int64)
-        np.minimum.at(low, whose, self.index_low[places])
-        np.maximum.at(high, whose, self.index_high[places])
-        return np.flatnonzero((shared >= self.need) & (high - low + 1 >= self.width))
+        enough = np.flatnonzero(shared >= self.need)
+        enough = enough[self.matters(enough, b)]
+        if not len(enough):
+            return enough
+        row = np.full(self.n, -1)
+        row[enough] = np.arange(len(enough))
+        row = row[whose]
+        places, row = places[row >= 0], row[row >= 0]
+        low, high = np.full(len(enough), 1 << 30), np.zeros(len(enough), np.int64)
+        np.minimum.at(low, row, self.index_low[places])
+        np.maximum.at(high, row, self.index_high[places])
+        return enough[high - low + 1 >= self.width]
+
+    def _before(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of a window's entries, those of the same token in the windows before it, and how many."""
+        low = self.first[self.index_token[own]]
+        counts = own - low
+        return np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum()), counts
 
     def _dense(self, b: int, part: slice, others: np.ndarray) -> np.ndarray:
-        """``stretch_near`` of b beside each of the ``others`` at once: whether it is not None."""
+        """``stretch_near`` of b beside each of the ``others``, which come before it, at once: whether it is not None."""
         at, length = int(self.at[b]), len(self.contexts[b])
         first, last = max(0, at - 2 * self.width), min(length - 1, at + 2 * self.width)
         tokens = self.token[part][first : last + 1]
         place = np.flatnonzero(self.alive[tokens])
-        low, counts = self.first[tokens[place]], self.first[tokens[place] + 1] - self.first[tokens[place]]
-        entries = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        entries, counts = self._before(self.entry[part][first : last + 1][place])
         row = np.full(self.n, -1)
         row[others] = np.arange(len(others))
         row = row[self.index_owner[entries]]
         score = np.full((len(others), last - first + 1), -2 * self.percent / (100 - self.percent), np.float32)
-        score[row[row >= 0], np.repeat(place, counts)[row >= 0]] = 1
+        meets = np.flatnonzero(row >= 0)
+        score[row[meets], np.repeat(place, counts)[meets]] = 1
         left = np.cumsum(score[:, : at - first + 1][:, ::-1], axis=1)
         right = np.cumsum(score[:, at - first :], axis=1)
         beyond = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]  # the best end from here on
