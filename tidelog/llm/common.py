@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: A key is dealt apart from the others if more than one row in so many of a sample has it; the sample takes one row in SAMPLE.
 HOT_SHARE, SAMPLE, HOT_LEAST = 2_000, 32, 64
+#: Bits of what tells rows apart before they are shipped: 1 MB to broadcast; and of one of its rows.
+SLOTS, ROW_OF_SLOTS = 1 << 23, 1 << 15
 
 _own_folder: list[str] = []
 
@@ -113,6 +115,19 @@ def with_totals(rows: DataFrame, key: str, hot: DataFrame, **totals: Column) ->
     return cold.unionByName(rows.join(F.broadcast(few), key).select(cold.columns))
 
 
+def split_by(rows: DataFrame, keys: list[str], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: all that have the ``keys`` of a row of ``wanted``, which is staged, with few others; and the rest.
+    Nothing of ``rows`` is shipped for it: a bitmap of the wanted keys' digests is broadcast, of the same size whatever the tables.
+    """
+    slot = F.pmod(F.xxhash64(*[F.col(k).cast("long") for k in keys]), F.lit(SLOTS))
+    row, held = (f"{x}_{uuid.uuid4().hex}" for x in ("row", "bits"))
+    bits = wanted.select(slot.alias("s")).groupBy(F.expr(f"s div {ROW_OF_SLOTS}").alias(row)).agg(F.expr(f"bitmap_construct_agg(s % {ROW_OF_SLOTS})").alias(held))
+    place = F.pmod(slot, F.lit(ROW_OF_SLOTS)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(held), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (F.floor(slot / ROW_OF_SLOTS) == F.col(row)) & (byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0)
+    return rows.join(F.broadcast(bits), hit, "left_semi"), rows.join(F.broadcast(bits), hit, "left_anti")
+
+
 def parts_of(rows: DataFrame, key: str, weight: Column, least: int) -> DataFrame:
     """``key``, ``parts``: keys of more than ``least`` and 1 / HOT_SHARE of all weight, at most HOT_SHARE of them, and in how many parts to deal each."""
     share = max(least, (rows.agg(F.sum(weight)).first()[0] or 0) // HOT_SHARE)

@@ -242,7 +242,8 @@ def _verified(seeds: DataFrame, docs: DataFrame, words: int, width: int, percent
     nothing = F.array().cast(members.schema["seeds"].dataType).alias("seeds")
     centres = pairs.select("a", "a_txt").distinct().join(parts, "a_txt", "left").select("a", "a_txt", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"), F.col("a_txt").alias("b_txt"), nothing)
     texts = common.texts(docs).select(F.col("doc_id").alias("b"), digest_column().alias("b_txt"), "text")
-    rows = centres.unionByName(members).join(texts, ["b", "b_txt"])
+    few = pairs.select("b", "b_txt").unionByName(pairs.select(F.col("a").alias("b"), F.col("a_txt").alias("b_txt")))
+    rows = centres.unionByName(members).join(common.split_by(texts, ["b", "b_txt"], few)[0], ["b", "b_txt"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, centre, ordered, last = None, None, None, None
@@ -658,21 +659,22 @@ def cut_repeats(docs: DataFrame, **parameters: int) -> DataFrame:
         found = common.staged(repeated_passages(docs, **parameters), "found", keep=True)
     names = {"b": "__cut_doc", "b_txt": "__cut_txt"}
     cuts = found.groupBy("b", "b_txt").agg(F.collect_set("cuts").alias("__cuts")).withColumnsRenamed(names)
+    which = found.select(F.col("b").alias("__doc"), F.col("b_txt").alias("__txt"))
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__doc"), digest.alias("__txt"))
-    joined = rows.join(cuts, (F.col("__doc") == F.col("__cut_doc")) & (F.col("__txt") == F.col("__cut_txt")), "left")
-    untouched = joined.where("__cuts is null").select("__row.*")
+    some, untouched = common.split_by(rows, ["__doc", "__txt"], which)  # most rows stay where they are
+    joined = some.join(cuts, (F.col("__doc") == F.col("__cut_doc")) & (F.col("__txt") == F.col("__cut_txt")), "left")
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
             row, own = b.column(0), b.column(1).to_pylist()
-            spans = [[(c[k], c[k + 1]) for c in x for k in range(0, len(c), 2)] for x in own]
-            new = [without_spans(t or "", s) for t, s in zip(row.field(at).to_pylist(), spans, strict=True)]
+            spans = [x and [(c[k], c[k + 1]) for c in x for k in range(0, len(c), 2)] for x in own]
+            new = [t if s is None else without_spans(t or "", s) for t, s in zip(row.field(at).to_pylist(), spans, strict=True)]
             columns = {f.name: row.field(k) for k, f in enumerate(row.type)}
             columns["text"] = pa.array(new, pa.string())
             if "n_chars" in columns:
-                columns["n_chars"] = pa.array(map(len, new), columns["n_chars"].type)
-            yield pa.RecordBatch.from_pydict(columns).filter(pa.array([bool(t.strip()) for t in new], pa.bool_()))
+                columns["n_chars"] = pa.array([n if s is None else len(t) for n, t, s in zip(columns["n_chars"].to_pylist(), new, spans, strict=True)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_pydict(columns).filter(pa.array([s is None or bool(t.strip()) for t, s in zip(new, spans, strict=True)], pa.bool_()))
 
-    return untouched.unionByName(joined.where("__cuts is not null").select("__row", "__cuts").mapInArrow(run, docs.schema))
+    return untouched.select("__row.*").unionByName(joined.select("__row", "__cuts").mapInArrow(run, docs.schema))

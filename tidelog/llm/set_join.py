@@ -284,7 +284,9 @@ def shared_signatures(docs: DataFrame, words: int, percent: int) -> tuple[DataFr
 def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls, n, text of the ``wanted`` classes (cls). ``classes``: cls, n, rep (a document of it)."""
     chosen = classes.join(wanted.distinct(), "cls").select("cls", "n", F.col("rep").alias("doc_id"))
-    found = common.texts(docs).join(chosen, "doc_id").groupBy("cls").agg(F.first("n").alias("n"), F.min("text").alias("text"))
+    chosen = common.staged(chosen, "chosen")
+    some, _ = common.split_by(common.texts(docs), ["doc_id"], chosen)  # few texts are wanted; all would be shipped
+    found = some.join(chosen, "doc_id").groupBy("cls").agg(F.first("n").alias("n"), F.min("text").alias("text"))
     return common.staged(found, "candidates", compression="zstd")
 
 
@@ -515,8 +517,11 @@ def keep_one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
     Rows without an id are no copies of others; of those with the same text one stays. Empty texts stay. The
     columns are those of ``docs``, whatever their names; an empty table gives no rows.
     """
-    kept = jaccard_components(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__doc")).distinct()
+    named = jaccard_components(docs, words, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc"))
+    ids = common.staged(named.agg(F.bool_or(F.expr("doc_id = component_id")).alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "ids")
     rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__txt"), F.xxhash64(*docs.columns).alias("__order"))
     again = F.row_number().over(Window.partitionBy("__doc", "__txt").orderBy("__order"))  # in the join's partitions
-    named = rows.join(kept, "__doc", "left_semi").withColumn("__again", again).where("__again = 1").select("__row.*")
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    # ids of one row, which stays, are the most; their rows stay where they are
+    some, single = common.split_by(rows, ["__doc"], ids)
+    stay = some.join(ids.where("not kept"), "__doc", "left_anti").withColumn("__again", again).where("__again = 1")
+    return single.select("__row.*").unionByName(stay.select("__row.*")).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
