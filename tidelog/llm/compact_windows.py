@@ -38,6 +38,10 @@ WORDS, MIN_WORDS, PERCENT, FUNCTIONS, GROUP_TOKENS = 5, 50, 80, 4, 2_000_000
 #: Tokens that one half of a cell holds; windows up to which a cell compares all pairs without an index, and those
 #: that share tokens are not looked for first; passes that start from one window. All but the first for speed only.
 CELL_TOKENS, FEW, MANY, LEADERS = 2_000_000, 6, 64, 8
+#: Windows of cells that are looked at at once, 4,096 at most; for speed only.
+CELLS_AT_ONCE = 4_096
+#: Parts of each function's keys, and bytes of windows that a task takes up at once.
+PARTS, PACKED_BYTES = 256, 32_000_000
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * j + 1) & (1 << 64) - 1) for j in range(8)]
 _WINDOW = "key long, txt long, c int, l int, r int"
 _PASSAGE = "a long, a_txt long, a_start int, a_end int, b long, b_txt long, b_start int, b_end int, similarity double, cuts array<int>"
@@ -105,8 +109,8 @@ def digest_column() -> Column:
 
 
 def all_windows(docs: DataFrame, words: int, width: int, functions: int) -> DataFrame:
-    """The windows of every distinct text, once for each task that meets it; the low 3 bits of a key name the function.
-    A text that has windows has one row more, without a key, whose c is its number of words."""
+    """The windows of every distinct text, ``packed``, once for each task that meets it; the low 3 bits of a key name the function.
+    A text that has windows has one more, without a key, whose c is its number of words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -137,7 +141,81 @@ def all_windows(docs: DataFrame, words: int, width: int, functions: int) -> Data
                 left, c, right = (found - starts[text][:, None]).astype(np.int32).T
                 yield pa.RecordBatch.from_pydict({"key": keys, "txt": every[text], "c": c, "l": left, "r": right})
 
-    return common.texts(docs).select(digest_column(), "text").mapInArrow(run, _WINDOW)
+    return common.texts(docs).select(digest_column(), "text").mapInArrow(lambda batches: map(packed, run(batches)), "part int, data binary")
+
+
+def packed(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Windows (columns _WINDOW) with many in one row, by a part of their key: part, and the columns one after the other.
+    Windows without a key are one row, of txt and c, without a part."""
+    if b.column(0).null_count:
+        data = b"".join(b.column(k).to_numpy().tobytes() for k in (1, 2))
+        return pa.RecordBatch.from_pydict({"part": pa.nulls(1, pa.int32()), "data": pa.array([data], pa.binary())})
+    columns = [b.column(k).to_numpy() for k in range(5)]
+    part = ((columns[0] & 7) * PARTS + (columns[0] >> 8) % PARTS).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [x[order] for x in columns]
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+    data = [b"".join(x[i:j].tobytes() for x in columns) for i, j in zip(edges, edges[1:])]
+    return pa.RecordBatch.from_pydict({"part": pa.array(part[edges[:-1]]), "data": pa.array(data, pa.binary())})
+
+
+def unpacked(data: list[bytes], types: tuple[str, ...]) -> list[np.ndarray]:
+    """The columns of several packed rows."""
+    width = sum(np.dtype(t).itemsize for t in types)
+    out: list[list[np.ndarray]] = [[] for _ in types]
+    for d in data:
+        n, at = len(d) // width, 0
+        for x, t in zip(out, types, strict=True):
+            x.append(np.frombuffer(d, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, types, strict=True)]
+
+
+def shared_windows(rows: DataFrame) -> DataFrame:
+    """Of ``packed`` windows those whose key another text has too. Columns: _WINDOW.
+
+    A task holds the windows of keys that it has met with one text only; those of others are handed on at once, so
+    that a frequent key isn't gathered.
+    """
+    arrow = pa.schema([("key", pa.int64()), ("txt", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32())])
+    types = ("i8", "i8", "i4", "i4", "i4")
+
+    def told_apart(held: list[np.ndarray], known: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """The windows with keys of several texts, the others, and the keys of the first."""
+        order = np.lexsort((held[1], held[0]))
+        held = [x[order] for x in held]
+        starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]]))
+        sizes = np.diff(np.append(starts, len(order)))
+        several = held[1][starts] != held[1][starts + sizes - 1]
+        if len(known):
+            several |= among(held[0][starts], known)
+        known, kept = np.union1d(known, held[0][starts[several]]), np.repeat(several, sizes)
+        return [x[kept] for x in held], [x[~kept] for x in held], known
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rest, known, data, size = None, [np.zeros(0, t) for t in types], np.zeros(0, np.int64), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal rest, known, data, size
+            rest = [np.concatenate(x) for x in zip(rest, unpacked(data, types), strict=True)]
+            data, size = [], 0
+            if len(rest[0]):
+                found, rest, known = told_apart(rest, known)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=arrow)
+
+        for b in batches:
+            for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if p != part:
+                    yield from flush()
+                    part, rest, known = p, [np.zeros(0, t) for t in types], np.zeros(0, np.int64)
+                data.append(d)
+                size += len(d)
+                if size > max(PACKED_BYTES, 28 * len(rest[0])):
+                    yield from flush()
+        yield from flush()
+
+    dealt = rows.where("part is not null").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, _WINDOW)
 
 
 def _scores(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: int, percent: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -523,16 +601,59 @@ def shared_least(width: int, percent: int) -> int:
     return int(np.ceil(width * cost / (1 + cost) - 1e-9))
 
 
-def worth_a_cell(held: list, width: int, percent: int) -> bool:
-    """Whether a bucket's windows, as ``Cell`` takes them, may hold a pair to look at; for two windows by their tokens."""
-    if len(held) < 2 or held[0][0] == held[-1][0] or all(r[5] for r in held):
-        return False
-    if len(held) == 2:
-        a, b = held
-        at = b[2] - max(b[3], b[2] - 3 * width)
-        near = np.frombuffer(b[7], np.uint32)[max(0, at - 2 * width) : at + 2 * width + 1]
-        return int(among(near, np.sort(np.frombuffer(a[7], np.uint32))).sum()) >= shared_least(width, percent)
-    return True
+def worth_a_cell(held: list) -> bool:
+    """Whether a bucket's windows, as ``Cell`` takes them, are of two documents or more and not all linked."""
+    return len(held) > 1 and held[0][0] != held[-1][0] and not all(r[5] for r in held)
+
+
+def promising(cells: list[list], width: int, percent: int) -> list[bool]:
+    """Which of several cells, of CELLS_AT_ONCE windows in all, ``Cell`` may find a pair in; all of them are looked at at once.
+
+    A token counts if windows of two documents hold it, not all of them linked, and one of these windows has a stretch around its
+    seed that is a passage if all tokens that count are shared. Cells without such a window have no pair.
+    """
+    if 4 * width + 2 > 1 << 8:
+        return [True] * len(cells)
+    rows = [r for held in cells for r in held]
+    cell = np.repeat(np.arange(len(cells)), [len(held) for held in cells])
+    contexts = [np.frombuffer(r[7], np.uint32) for r in rows]
+    lengths = np.array([len(x) for x in contexts])
+    window = np.repeat(np.arange(len(rows)), lengths)
+    at = np.array([r[2] - max(r[3], r[2] - 3 * width) for r in rows])
+    place = np.arange(len(window)) - np.repeat(np.cumsum(lengths) - lengths + at, lengths) + 2 * width
+    place = np.where((place >= 0) & (place <= 4 * width), place, 255)
+    # cell, token, window and place in one number: 12, 32, 12 and 8 bits
+    order = np.sort(cell[window].astype(np.uint64) << np.uint64(52) | np.concatenate(contexts).astype(np.uint64) << np.uint64(20) | (window << 8 | place).astype(np.uint64))
+    inside = np.full((len(rows), 4 * width + 1), -1e6, np.float32)  # no stretch goes beyond a window
+    inside[window[place < 255], place[place < 255]] = -2 * percent / (100 - percent)
+    kind = order >> np.uint64(20)
+    starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+    sizes = np.diff(np.append(starts, len(order)))
+    window, place = (order >> np.uint64(8) & np.uint64(0xFFF)).astype(np.int64), (order & np.uint64(0xFF)).astype(np.int64)
+    doc, wanting = np.array([r[0] for r in rows]), ~np.array([r[5] for r in rows], bool)
+    alive = doc[window[starts]] != doc[window[starts + sizes - 1]]  # a cell's windows come by document
+    alive &= np.logical_or.reduceat(wanting[window], starts)
+    least = np.maximum(0, width - 1 - np.arange(2 * width + 1))
+    wanting = np.ones(len(rows), bool)
+    while True:
+        kept = np.repeat(alive, sizes)
+        window, place, sizes = window[kept], place[kept], sizes[alive]
+        near = place < 255
+        some = np.flatnonzero(wanting & (np.bincount(window[near], minlength=len(rows)) >= shared_least(width, percent)))
+        score = inside[some]
+        row = np.full(len(rows), -1)
+        row[some] = np.arange(len(some))
+        near &= row[window] >= 0
+        score[row[window[near]], place[near]] = 1
+        left, right = np.cumsum(score[:, 2 * width :: -1], axis=1), np.cumsum(score[:, 2 * width :], axis=1)
+        beyond = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]  # the best end from here on
+        found = (left + beyond[:, least] >= 1 - 1e-3).any(axis=1)
+        before, wanting = wanting.sum(), np.zeros(len(rows), bool)
+        wanting[some[found]] = True
+        if wanting.sum() == before or not wanting.any():
+            break
+        alive = np.logical_or.reduceat(wanting[window], np.cumsum(sizes) - sizes)
+    return np.isin(np.arange(len(cells)), cell[wanting]).tolist()
 
 
 def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percent: int) -> DataFrame:
@@ -546,23 +667,31 @@ def _cell_links(rest: DataFrame, docs: DataFrame, words: int, width: int, percen
     arrow = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in schema.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> list[tuple]:
-            return [(*x, key[0] & 7) for x in Cell(held, width, percent, words).seeds()] if worth_a_cell(held, width, percent) else []
-
-        key, held, out = None, [], []
-        for batch in batches:
-            for k, i, j, *window in zip(*(batch.column(x).to_pylist() for x in range(11)), strict=True):
-                if (k, i, j) != key:
-                    out += flush()
-                    key, held = (k, i, j), []
-                if not held or window[:3] != held[-1][:3]:  # rows that repeat an id and text give a window each
-                    held.append(window)
+        def full() -> Iterator[list]:
+            """Cells, about CELLS_AT_ONCE windows at a time."""
+            key, held, some, n = None, [], [], 0
+            for batch in batches:
+                for k, i, j, *window in zip(*(batch.column(x).to_pylist() for x in range(11)), strict=True):
+                    if (k, i, j) != key:
+                        if worth_a_cell(held):
+                            if n + len(held) > CELLS_AT_ONCE:
+                                yield some
+                                some, n = [], 0
+                            some.append((key, held))
+                            n += len(held)
+                        key, held = (k, i, j), []
+                    if not held or window[:3] != held[-1][:3]:  # rows that repeat an id and text give a window each
+                        held.append(window)
+            yield some
+            if worth_a_cell(held):
+                yield [(key, held)]
+
+        for some in full():
+            whole = len(some) == 1 and len(some[0][1]) > CELLS_AT_ONCE
+            may = [True] if whole else promising([held for _, held in some], width, percent) if some else []
+            out = [(*x, key[0] & 7) for (key, held), found in zip(some, may, strict=True) if found for x in Cell(held, width, percent, words).seeds()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-                out = []
-        out = flush()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "txt", "c").mapInArrow(run, schema)
 
@@ -573,18 +702,23 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return common.staged(common.with_totals(found, "txt", common.hot_keys(found, "txt"), rep=F.min("doc_id")).distinct(), "reps")
 
 
+def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        txt, words = unpacked(b.column(1).to_pylist(), ("i8", "i4"))
+        yield pa.RecordBatch.from_pydict({"txt": txt, "n_words": words})
+
+
 def _held(docs: DataFrame, reps: DataFrame, words: int, width: int, functions: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The windows that share a key with those of another text (key, doc, txt, c, l, r, function), the frequent keys,
     and n_words of texts (txt) that have windows."""
     with common.scratch(docs.sparkSession):
         found = common.staged(all_windows(docs.where("doc_id is not null"), words, width, functions), "windows", compression="zstd")
-        sizes = common.staged(found.where("key is null").select("txt", F.col("c").alias("n_words")).distinct(), "sizes", keep=True)
-        found = found.where("key is not null")
-        hot = common.hot_keys(found.select("key", "txt"), "key")
-        shared = common.with_totals(found, "key", hot, least=F.min("txt"), most=F.max("txt")).where("least < most").drop("least", "most").distinct()
+        sizes = common.staged(found.where("part is null").mapInArrow(_sizes, "txt long, n_words int").distinct(), "sizes", keep=True)
+        shared = shared_windows(found).distinct()
         own = reps.select("txt", F.col("rep").alias("doc")).distinct()
         held = shared.join(own, "txt").select("key", "doc", "txt", "c", "l", "r", F.col("key").bitwiseAND(F.lit(7)).alias("function"))
-        return common.staged(held, "held", keep=True, compression="zstd"), hot, sizes
+        held = common.staged(held, "held", keep=True, compression="zstd")
+        return held, common.hot_keys(held.select("key", "txt"), "key"), sizes
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, percent: int = PERCENT, functions: int = FUNCTIONS) -> DataFrame:
