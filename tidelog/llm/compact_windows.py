@@ -40,6 +40,9 @@ WORDS, MIN_WORDS, PERCENT, FUNCTIONS, GROUP_TOKENS = 5, 50, 80, 4, 2_000_000
 CELL_TOKENS, FEW, MANY, LEADERS = 2_000_000, 6, 64, 8
 #: Windows of cells that are looked at at once, 4,096 at most; for speed only.
 CELLS_AT_ONCE = 4_096
+#: Tokens on each side of its own that a window brings to a cell, 3 widths at least; different tokens on a side up to which pairs
+#: are looked at at once, pairs from which that pays, bits by which tokens are told apart there. For speed only.
+HELD, OUTWARD, PAYS, BITS = 1_024, 128, 4, 12
 #: Parts of each function's keys, and bytes of windows that a task takes up at once.
 PARTS, PACKED_BYTES = 256, 32_000_000
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * j + 1) & (1 << 64) - 1) for j in range(8)]
@@ -257,17 +260,18 @@ def passage_of(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], x: int, y: i
     return a_start, a_end + words, start, end + words, similarity, edges.tolist()
 
 
-def passage_around(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: int, percent: int, words: int) -> tuple | None:
-    """The best similar passages around a shared token: seed is c, l, r in ``a``, then in ``b``."""
+def passage_around(a: np.ndarray, b: np.ndarray, seed: tuple[int, ...], width: int, percent: int, words: int, failed: tuple | None = None) -> tuple | None:
+    """The best similar passages around a shared token: seed is c, l, r in ``a``, then in ``b``. ``failed`` is what
+    ``stretch_near`` gave if that is known to make none."""
     ca, _, ra, cb, _, rb = seed
     if ra >= len(a) or rb >= len(b) or a[ca] != b[cb]:
         return None
-    near = stretch_near(a, b, seed, width, percent)
+    near = failed or stretch_near(a, b, seed, width, percent)
     if near is None:
         return None
     left, right = _scores(a, b, seed, width, percent, len(a) + len(b))
     for x, y in dict.fromkeys((_longest(left, right), (int(left.argmax()), int(right.argmax())), near)):
-        found = passage_of(a, b, seed, x, y, width, percent, words)
+        found = (x, y) != failed and passage_of(a, b, seed, x, y, width, percent, words)
         if found:
             return found
     return None
@@ -350,7 +354,8 @@ def _around_centre(held: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def _contexts(rest: DataFrame, docs: DataFrame, words: int, width: int) -> DataFrame:
-    """``rest`` (key, doc, txt, c, l, r, linked, h, halves) with the window's tokens up to 3 widths from c, 32 bits of each."""
+    """``rest`` (key, doc, txt, c, l, r, linked, h, halves) with the window's tokens up to ``reach`` from c, 32 bits of each."""
+    reach = max(HELD, 3 * width)
     fields = ("key", "c", "l", "r", "linked", "h", "halves")
     own = rest.groupBy("doc", "txt").agg(F.collect_list(F.struct(*fields)).alias("ws"))
     texts = common.texts(docs).select(F.col("doc_id").alias("doc"), digest_column(), "text")
@@ -364,15 +369,16 @@ def _contexts(rest: DataFrame, docs: DataFrame, words: int, width: int) -> DataF
             counts = np.diff(ws.offsets.to_numpy())
             every = ws.flatten()
             c, left, right = (every.field(k).to_numpy() for k in (1, 2, 3))
-            first, lengths = np.maximum(left, c - 3 * width), np.minimum(right, c + 3 * width) - np.maximum(left, c - 3 * width) + 1
+            first, lengths = np.maximum(left, c - reach), np.minimum(right, c + reach) - np.maximum(left, c - reach) + 1
             # the texts' tokens one after the other, and each window's part of them
             tokens = ngrams_of(batch.column(3).to_pylist(), words)
             starts = np.cumsum([0, *map(len, tokens)])[:-1]
             low = (np.concatenate(tokens) & np.uint64(0xFFFFFFFF)).astype(np.uint32) if tokens else np.zeros(0, np.uint32)
             first = first + np.repeat(starts, counts)
             names = [pa.array(np.repeat(batch.column(k).to_numpy(), counts)) for k in (0, 1)]
-            for k in range(0, len(every), 20_000):
-                part = slice(k, k + 20_000)
+            bounds = np.flatnonzero(np.diff(np.cumsum(lengths) // CELL_TOKENS)) + 1  # a batch holds that many tokens
+            for k, end in zip([0, *bounds.tolist()], [*bounds.tolist(), len(every)]):
+                part = slice(k, end)
                 n = lengths[part]
                 ends = np.cumsum(n)
                 data = low[np.repeat(first[part] - ends + n, n) + np.arange(ends[-1])]
@@ -384,6 +390,25 @@ def _contexts(rest: DataFrame, docs: DataFrame, words: int, width: int) -> DataF
     return rows.select("doc", "txt", "ws", "text").mapInArrow(run, schema)
 
 
+def held_tokens(row: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that a window (doc, txt, c, l, r, linked, half, tokens) brings, and those up to 3 widths from its own."""
+    tokens, start = np.frombuffer(row[7], np.uint32), max(row[3], row[2] - max(HELD, 3 * width))
+    return tokens, tokens[max(row[3], row[2] - 3 * width) - start : row[2] + 3 * width + 1 - start]
+
+
+def outward(tokens: np.ndarray, at: int) -> list[tuple[np.ndarray, ...]]:
+    """To the right from ``at``, then to the left from the token beside it: the different tokens, where each comes
+    first, and whether none of the same is nearer on the other side; nearest first."""
+    right, left = tokens[at:], tokens[:at][::-1]
+    (r, r_at), (l, l_at) = (np.unique(x, return_index=True) for x in (right, left))
+    l_at = l_at + 1
+    nearer_r, nearer_l = np.ones(len(r), bool), np.ones(len(l), bool)
+    both, in_r, in_l = np.intersect1d(r, l, True, True)
+    nearer_r[in_r] = r_at[in_r] <= l_at[in_l]
+    nearer_l[in_l] = ~nearer_r[in_r]
+    return [(x[o], d[o], near[o]) for x, d, near in ((r, r_at, nearer_r), (l, l_at, nearer_l)) for o in (np.argsort(d),)]
+
+
 class Cell:
     """All pairs of a bucket's windows (doc, txt, c, l, r, linked, half, tokens), sorted, that still matter.
 
@@ -398,11 +423,13 @@ class Cell:
         docs, linked, half = zip(*((r[0], r[5], r[6]) for r in rows), strict=True)
         self.doc, self.linked, self.half = np.array(docs), np.array(linked), np.array(half)
         self.crosswise = bool(self.half.any() and not self.half.all())
-        self.contexts = [np.frombuffer(r[7], np.uint32) for r in rows]
+        self.held, self.contexts = zip(*(held_tokens(r, width) for r in rows), strict=True)
         self.starts = np.array([max(r[3], r[2] - 3 * width) for r in rows])
         self.place = np.array([r[2] for r in rows])
         self.at = self.place - self.starts
         self.whole = [len(x) == r[4] - r[3] + 1 for x, r in zip(self.contexts, rows, strict=True)]
+        self.full = np.array([len(x) == r[4] - r[3] + 1 for x, r in zip(self.held, rows, strict=True)])
+        self.tables: tuple[np.ndarray, ...] = ()
         self.component = np.where(self.linked, self.n, np.arange(self.n))
         self.lesser = self.linked.copy()
         self.failed: set[tuple] = set()
@@ -414,7 +441,7 @@ class Cell:
 
     def tried(self, a: int, b: int) -> Iterator[tuple]:
         """The seed of this pair and its passage, if there is one; where the tokens around don't reach as far as the
-        windows, the seed alone if they make a passage. What the passage joins is joined."""
+        windows, the seed alone if they or the windows make a passage. What the passage joins is joined."""
         what = (self.masked[a], self.masked[b]) if self.masked else (a, b)
         if what in self.failed:
             return
@@ -427,7 +454,7 @@ class Cell:
         else:
             near = stretch_near(x, y, seed, self.width, self.percent)
             p = near and passage_of(x, y, seed, *near, self.width, self.percent, self.words)
-            if near:
+            if p or near and self._may(a, b, near):
                 yield *self.rows[a][:2], *self.rows[b][:2], *self.rows[a][2:5], *self.rows[b][2:5], *(None,) * 6
         if not p:
             self.failed.add(what)
@@ -444,6 +471,14 @@ class Cell:
             self._join(k, b)
             self.lesser[k] = True
 
+    def _may(self, a: int, b: int, failed: tuple) -> bool:
+        """Whether the windows make a passage, of which the tokens around made none, or go on beyond what is held of them."""
+        if not (self.full[a] and self.full[b]):
+            return True
+        x, y = self.held[a], self.held[b]
+        seed = (self.rows[a][2] - self.rows[a][3], 0, len(x) - 1, self.rows[b][2] - self.rows[b][3], 0, len(y) - 1)
+        return passage_around(x, y, seed, self.width, self.percent, self.words, failed) is not None
+
     def _inside(self, k: int, first: int, last: int) -> range:
         low, high = np.searchsorted(self.doc, self.doc[k], "left"), np.searchsorted(self.doc, self.doc[k], "right")
         return range(*(int(low + np.searchsorted(self.place[low:high], self.starts[k] + v, side)) for v, side in ((first, "left"), (last, "right"))))
@@ -539,6 +574,8 @@ class Cell:
             others = others[self.matters(others, b)]
             if len(others):
                 others = others[self._dense(b, part, others)]
+            if len(others) >= PAYS:
+                others = others[self._similar(b, others)]
             while len(others):
                 before = self.component[b]
                 yield from self.tried(int(others[0]), b)
@@ -595,6 +632,71 @@ class Cell:
         return (left[:, within] + beyond[:, least[within]] >= 1 - 1e-3).any(axis=1)
 
 
+    def _similar(self, b: int, others: np.ndarray) -> np.ndarray:
+        """Which of the ``others`` may make a passage with b, all looked at at once.
+
+        On both sides a passage has at least a width of tokens around the window's own, and at most (100 - percent) / percent
+        different ones that the other window lacks for each that it has. Those that it has are counted to the right and
+        to the left, those that it lacks where they are nearest. Windows that aren't held as a whole, or hold too many
+        different tokens, may; a token may pass for another.
+        """
+        if not self.tables:
+            of_tokens = (np.zeros((self.n, OUTWARD), t) for t in (np.uint32, np.uint32, np.int8, np.int8, np.int16))
+            self.tables = np.zeros(self.n, np.int8), *of_tokens, np.zeros((self.n, 2), np.int16), np.zeros((self.n, 1 << BITS >> 3), np.uint8)
+        state, right, left, right_kind, left_kind, least, counts, bits = self.tables
+        for k in (b, *others.tolist()):
+            if not state[k]:
+                state[k] = self._tabled(k)
+        may = np.ones(len(others), bool)
+        if state[b] < 0:
+            return may
+        for some in np.array_split(np.flatnonzero(state[others] > 0), len(others) // 2_048 + 1):
+            k, (r, l) = others[some], counts[b]
+            has = [bits[k][:, x >> 3] >> (x & 7).astype(np.uint8) & 1 for x in (right[b, :r], left[b, :l])]
+            may[some] = self._reaches(has[0], has[1], right_kind[b, :r], left_kind[b, :l], np.broadcast_to(least[b, : l + 1], (len(k), l + 1)))
+            some = some[may[some]]
+            if len(some):
+                k = others[some]
+                r, l = counts[k].max(axis=0)
+                has = [bits[b, x >> 3] >> (x & 7).astype(np.uint8) & 1 for x in (right[k, :r], left[k, :l])]
+                may[some] = self._reaches(has[0], has[1], right_kind[k, :r], left_kind[k, :l], least[k, : l + 1])
+        return may
+
+    def _reaches(self, right: np.ndarray, left: np.ndarray, right_kind: np.ndarray, left_kind: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Of rows of tokens to the right and to the left, 1 where the other window has them: whether some are far enough apart and not too few."""
+        share = (100 - self.percent) / self.percent
+        has, lacks = np.array([0, share, share], np.float32), np.array([0, 0, -1], np.float32)
+        ends, begins = (np.cumsum(np.where(x, has[kind], lacks[kind]), axis=1) for x, kind in ((right, right_kind), (left, left_kind)))
+        beyond = np.full((len(right), right.shape[1] + 1), -np.inf, np.float32)
+        beyond[:, :-1] = np.maximum.accumulate(ends[:, ::-1], axis=1)[:, ::-1]  # the best end from here on
+        at = np.take_along_axis(beyond, np.minimum(least, right.shape[1]).astype(np.int64), axis=1)
+        at[:, 1:] += begins
+        return (at >= -1e-3).any(axis=1)
+
+    def _tabled(self, k: int) -> int:
+        """Puts a window's tokens into the tables: 1, or -1 if they aren't all held or are too many. A kind is 0 where there is no
+        token, 1 where the same is nearer on the other side, 2 where it is nearest."""
+        at = self.rows[k][2] - self.rows[k][3]
+        if not self.full[k]:
+            return -1
+        (r, r_at, r_near), (l, l_at, l_near) = outward(self.held[k], at)
+        if len(r) >= OUTWARD or len(l) >= OUTWARD:
+            return -1
+        _, right, left, right_kind, left_kind, least, counts, bits = self.tables
+        r, l = (x & np.uint32((1 << BITS) - 1) for x in (r, l))
+        right[k, : len(r)], left[k, : len(l)], counts[k] = r, l, (len(r), len(l))
+        right_kind[k, : len(r)], left_kind[k, : len(l)] = 1 + r_near, 1 + l_near
+        held = np.zeros(1 << BITS, np.uint8)
+        held[r], held[l] = 1, 1
+        bits[k] = np.packbits(held, bitorder="little")
+        # how far it goes before the next token that is new on its side; the first end that is far enough
+        y, x = np.append(r_at[1:] - 1, len(self.held[k]) - 1 - at), np.append(l_at - 1, at)
+        first = np.searchsorted(y, self.width - 1 - x)
+        least[k] = OUTWARD
+        least[k, : len(x)] = np.where(first < len(y), first, OUTWARD)
+        return 1
+
+
 def shared_least(width: int, percent: int) -> int:
     """How many of a passage's tokens that are near its seed the other text has at least."""
     cost = 2 * percent / (100 - percent)
@@ -616,7 +718,7 @@ def promising(cells: list[list], width: int, percent: int) -> list[bool]:
         return [True] * len(cells)
     rows = [r for held in cells for r in held]
     cell = np.repeat(np.arange(len(cells)), [len(held) for held in cells])
-    contexts = [np.frombuffer(r[7], np.uint32) for r in rows]
+    contexts = [held_tokens(r, width)[1] for r in rows]
     lengths = np.array([len(x) for x in contexts])
     window = np.repeat(np.arange(len(rows)), lengths)
     at = np.array([r[2] - max(r[3], r[2] - 3 * width) for r in rows])
